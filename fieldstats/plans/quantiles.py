@@ -2,7 +2,7 @@
 
 The built-in exact ``percentile`` keeps every distinct value in one buffer, which does not survive a column with
 billions of them. Here a sketch pass brackets each wanted quantile first; the values are then clamped into that
-bracket before ``percentile`` sees them. Clamping keeps the order, so every order statistic inside the bracket is
+bracket before ``percentile`` sees them. Snapping keeps the order, so every order statistic inside the bracket is
 unchanged and the result is exact, while the buffer holds only the distinct values inside the bracket. When a
 bracket may still hold too many, further sketch passes narrow it. Each pass is one scan with map-side aggregation
 and returns one row.
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 ACCURACY = 10_000
 # Kept on each side of the wanted quantile; several times the sketch's own rank error.
 MARGIN = 5 / ACCURACY
+# Up to this many rows the margin could be less than the distance of two ranks; the whole range is used instead.
+SMALL = int(4 / MARGIN)
 # Most distinct values one exact buffer may have to hold.
 BUFFER_VALUES = 100_000
 GRID = 256
@@ -65,6 +67,9 @@ def finish(
             continue
         low, high, sketch = first_pass[f"low_{i}"], first_pass[f"high_{i}"], first_pass[f"sketch_{i}"]
         for k, p in enumerate(probabilities):
+            if counts[name] <= SMALL:
+                brackets.append(_Bracket(name, p, low, high, counts[name]))
+                continue
             left = low if p <= MARGIN else sketch[2 * k]
             right = high if p >= 1 - MARGIN else sketch[2 * k + 1]
             brackets.append(_Bracket(name, p, left, right, counts[name] * (2 * MARGIN + 2 / ACCURACY)))
@@ -72,7 +77,7 @@ def finish(
         narrowed = _narrow(df, brackets, counts, buffer_values)
         if not narrowed:
             break
-    found = _clamped(df, brackets, counts)
+    found = _exact_pass(df, brackets, counts)
     out: dict[str, list[float | None]] = {name: [] for name in columns}
     for name in columns:
         if not counts[name]:
@@ -118,26 +123,50 @@ def _narrow(df: DataFrame, brackets: list[_Bracket], counts: dict[str, int], lim
     return moved
 
 
-def _clamped(df: DataFrame, brackets: list[_Bracket], counts: dict[str, int]) -> list[float]:
+def _snap(value: Column, spans: list[tuple[float, float]]) -> Column:
+    """``value`` where it lies in one of the (ascending, disjoint) spans, else the nearest span end below it, or the
+    first span's start. Never decreasing in ``value``."""
+    low, high = spans[0]
+    expr = F.when(value < low, F.lit(low)).when(value <= high, value)
+    for i, (start, end) in enumerate(spans[1:]):
+        expr = expr.when(value < start, F.lit(spans[i][1])).when(value <= end, value)
+    return expr.when(value.isNotNull(), F.lit(spans[-1][1]))
+
+
+def _spans(brackets: list[_Bracket]) -> list[tuple[float, float]]:
+    merged: list[tuple[float, float]] = []
+    for low, high in sorted((b.low, b.high) for b in brackets):
+        if merged and low <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(merged[-1][1], high))
+        else:
+            merged.append((low, high))
+    return merged
+
+
+def _exact_pass(df: DataFrame, brackets: list[_Bracket], counts: dict[str, int]) -> list[float]:
     """The exact pass; the two counts prove that each bracket holds the order statistics asked for."""
     if not brackets:
         return []
     parts: list[Column] = []
-    for i, b in enumerate(brackets):
-        value = F.col(b.column)
-        clamped = F.greatest(F.lit(b.low), F.least(F.lit(b.high), value))
-        parts += [
-            F.percentile(F.when(value.isNotNull(), clamped), F.lit(b.probability)).alias(f"q_{i}"),
-            F.count_if(value < b.low).alias(f"below_{i}"),
-            F.count_if(value <= b.high).alias(f"upto_{i}"),
-        ]
-    row = df.agg(*parts).head()
+    # Snapped in a projection, which is compiled; inside the aggregate it would be interpreted per row.
+    snapped: dict[str, Column] = {}
+    names = list(dict.fromkeys(b.column for b in brackets))
+    for k, name in enumerate(names):
+        own = [b for b in brackets if b.column == name]
+        wanted = F.array(*[F.lit(b.probability) for b in own])
+        snapped[f"__snap_{k}"] = _snap(F.col(name), _spans(own))
+        parts.append(F.percentile(f"__snap_{k}", wanted).alias(f"q_{k}"))
+        for i, b in enumerate(own):
+            parts.append(F.count_if(F.col(name) < b.low).alias(f"below_{k}_{i}"))
+            parts.append(F.count_if(F.col(name) <= b.high).alias(f"upto_{k}_{i}"))
+    row = df.withColumns(snapped).agg(*parts).head()
     out: list[float] = []
-    for i, b in enumerate(brackets):
-        first, last = _ranks(counts[b.column], b.probability)
-        if not (row[f"below_{i}"] <= first and last < row[f"upto_{i}"]):
-            raise ArithmeticError("A quantile sketch missed its bracket.")
-        out.append(row[f"q_{i}"])
+    for k, name in enumerate(names):
+        for i, b in enumerate([b for b in brackets if b.column == name]):
+            first, last = _ranks(counts[name], b.probability)
+            if not (row[f"below_{k}_{i}"] <= first and last < row[f"upto_{k}_{i}"]):
+                raise ArithmeticError("A quantile sketch missed its bracket.")
+            out.append(row[f"q_{k}"][i])
     return out
 
 
