@@ -37,7 +37,7 @@ def describe_table(df: DataFrame, columns: Sequence[str], exact: bool = True) ->
     """
     slim = df.select(*[number(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
     names = slim.columns
-    parts = quantiles.sketch_columns(names, _QUARTILES)
+    table, parts = quantiles.sketched(slim, names)
     parts += [F.avg(c).alias(f"mean_{i}") for i, c in enumerate(names)]
     parts += [F.stddev_samp(c).alias(f"std_{i}") for i, c in enumerate(names)]
     if not exact:
@@ -45,7 +45,7 @@ def describe_table(df: DataFrame, columns: Sequence[str], exact: bool = True) ->
             F.percentile_approx(c, list(_QUARTILES), quantiles.ACCURACY).alias(f"near_{i}")
             for i, c in enumerate(names)
         ]
-    first = slim.agg(*parts).head()
+    first = table.agg(*parts).head()
     if exact:
         quartiles = quantiles.finish(slim, names, _QUARTILES, first)
     else:

@@ -1,11 +1,11 @@
 """Exact quantiles of unbounded columns.
 
 The built-in exact ``percentile`` keeps every distinct value in one buffer, which does not survive a column with
-billions of them. Here a sketch pass brackets each wanted quantile first; the values are then clamped into that
-bracket before ``percentile`` sees them. Snapping keeps the order, so every order statistic inside the bracket is
-unchanged and the result is exact, while the buffer holds only the distinct values inside the bracket. When a
-bracket may still hold too many, further sketch passes narrow it. Each pass is one scan with map-side aggregation
-and returns one row.
+billions of them. Here a sketch brackets each wanted quantile first. The exact pass then counts the distinct values
+inside the brackets, and everything between two brackets as one group, with an ordinary (partial, spilling) group-by;
+a running count over that small table finds the order statistics. The groups between brackets carry exact counts,
+so a bracket that misses its quantile shows, and is replaced by the whole range. When a bracket may hold too many
+values, further sketch passes narrow it. Each pass is one scan with map-side aggregation.
 """
 
 from __future__ import annotations
@@ -14,17 +14,19 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 10_000
-# Kept on each side of the wanted quantile; several times the sketch's own rank error.
-MARGIN = 5 / ACCURACY
-# Up to this many rows the margin could be less than the distance of two ranks; the whole range is used instead.
-SMALL = int(4 / MARGIN)
-# Most distinct values one exact buffer may have to hold.
-BUFFER_VALUES = 100_000
-GRID = 256
+# About this many rows feed the first sketch; it only has to aim, the exact pass verifies.
+SKETCH_ROWS = 200_000
+FIRST_GRID = 512
+# Up to this many rows the whole range is used instead of a bracket.
+SMALL = 2_000
+# Most distinct values that the brackets of one column may hold in the exact pass.
+KEPT_VALUES = 10_000_000
+NARROW_GRID = 4096
+_ATTEMPTS = 4
 
 
 @dataclass
@@ -34,22 +36,58 @@ class _Bracket:
     low: float
     high: float
     rows: float  # upper estimate of the rows inside
+    floor: float
+    ceiling: float
 
+    def widen(self, rows: int) -> None:
+        self.low, self.high, self.rows = self.floor, self.ceiling, rows
 
-def sketch_columns(columns: Sequence[str], probabilities: Sequence[float]) -> list[Column]:
-    """Aggregates for the first pass, to be put into whatever ``agg`` already runs over the columns."""
-    wanted: list[float] = []
-    for p in probabilities:
-        wanted += [max(p - MARGIN, 0.0), min(p + MARGIN, 1.0)]
+
+def _sketch_share(df: DataFrame) -> float:
+    """Share of the rows to sketch, from the planner's size estimate; a wrong estimate costs time, not exactness."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:  # the planner does not know
+        return 1.0
+    rows = size / (8 * max(len(df.columns), 1))
+    return min(1.0, SKETCH_ROWS / max(rows, 1.0))
+
+
+def _even_steps(count: int) -> Column:
+    """0 to 1 in ``count`` equal steps, as one parsed constant rather than thousands of literal columns."""
+    return F.expr("array(" + ",".join(f"{g / count!r}D" for g in range(count + 1)) + ")")
+
+
+def sketched(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[Column]]:
+    """The table and the aggregates of the first pass, to be put into whatever ``agg`` already runs over it."""
+    share = _sketch_share(df)
+    if share < 1:
+        df = df.withColumn("__seen", F.rand(7) < share)
+    grid = _even_steps(FIRST_GRID)
     out: list[Column] = []
     for i, name in enumerate(columns):
+        seen = F.when(F.col("__seen"), F.col(name)) if share < 1 else F.col(name)
         out += [
             F.count(name).alias(f"n_{i}"),
             F.min(name).alias(f"low_{i}"),
             F.max(name).alias(f"high_{i}"),
-            F.percentile_approx(name, wanted, ACCURACY).alias(f"sketch_{i}"),
+            F.count(seen).alias(f"seen_{i}"),
+            F.percentile_approx(seen, grid, ACCURACY).alias(f"sketch_{i}"),
         ]
-    return out
+    return df, out
+
+
+def _aim(bracket: _Bracket, count: int, seen: int, sketch: Sequence[float] | None) -> None:
+    """Five standard errors of a sample rank, the sketch's own error and one grid step on each side."""
+    if count <= SMALL or seen <= SMALL or not sketch:
+        return
+    margin = 2.5 / math.sqrt(seen) + 2 / ACCURACY
+    left = math.floor((bracket.probability - margin) * FIRST_GRID)
+    right = math.ceil((bracket.probability + margin) * FIRST_GRID)
+    if left > 0:
+        bracket.low = sketch[left]
+    if right < FIRST_GRID:
+        bracket.high = sketch[right]
+    bracket.rows = count * (min(right, FIRST_GRID) - max(left, 0)) / FIRST_GRID + 2 * margin * count
 
 
 def finish(
@@ -57,45 +95,46 @@ def finish(
     columns: Sequence[str],
     probabilities: Sequence[float],
     first_pass: Row,
-    buffer_values: int = BUFFER_VALUES,
+    kept_values: int = KEPT_VALUES,
 ) -> dict[str, list[float | None]]:
-    """Exact quantiles (linear interpolation) of NULL-free double columns, from the row of the first pass."""
+    """Exact quantiles (linear interpolation) of NaN-free double columns, from the row of the first pass."""
     counts = {name: first_pass[f"n_{i}"] for i, name in enumerate(columns)}
     brackets: list[_Bracket] = []
     for i, name in enumerate(columns):
         if not counts[name]:
             continue
-        low, high, sketch = first_pass[f"low_{i}"], first_pass[f"high_{i}"], first_pass[f"sketch_{i}"]
-        for k, p in enumerate(probabilities):
-            if counts[name] <= SMALL:
-                brackets.append(_Bracket(name, p, low, high, counts[name]))
-                continue
-            left = low if p <= MARGIN else sketch[2 * k]
-            right = high if p >= 1 - MARGIN else sketch[2 * k + 1]
-            brackets.append(_Bracket(name, p, left, right, counts[name] * (2 * MARGIN + 2 / ACCURACY)))
-    while any(b.rows > buffer_values and b.low < b.high for b in brackets):
-        narrowed = _narrow(df, brackets, counts, buffer_values)
-        if not narrowed:
+        low, high = first_pass[f"low_{i}"], first_pass[f"high_{i}"]
+        for p in probabilities:
+            bracket = _Bracket(name, p, low, high, counts[name], low, high)
+            _aim(bracket, counts[name], first_pass[f"seen_{i}"], first_pass[f"sketch_{i}"])
+            brackets.append(bracket)
+    found: dict[tuple[str, float], float] = {}
+    for _ in range(_ATTEMPTS):
+        todo = [b for b in brackets if (b.column, b.probability) not in found]
+        if not todo:
             break
-    found = _exact_pass(df, brackets, counts)
-    out: dict[str, list[float | None]] = {name: [] for name in columns}
-    for name in columns:
-        if not counts[name]:
-            out[name] = [None] * len(probabilities)
-    for bracket, value in zip(brackets, found):
-        out[bracket.column].append(value)
-    return out
-
-
-def _ranks(count: int, probability: float) -> tuple[int, int]:
+        while any(b.rows > kept_values and b.low < b.high for b in todo):
+            if not _narrow(df, todo, counts, kept_values):
+                break
+        found.update(_exact_pass(df, todo, counts))
+        for b in todo:
+            if (b.column, b.probability) not in found:
+                b.widen(counts[b.column])
+    else:
+        if len(found) < len(brackets):
+            raise ArithmeticError("The sketches kept missing a quantile.")
+    return {c: [found.get((c, p)) for p in probabilities] for c in columns}
+
+
+def _ranks(count: int, probability: float) -> tuple[int, int, float]:
     position = (count - 1) * probability
-    return math.floor(position), math.ceil(position)
+    return math.floor(position), math.ceil(position), position
 
 
 def _narrow(df: DataFrame, brackets: list[_Bracket], counts: dict[str, int], limit: int) -> bool:
     """One more sketch pass over the values inside the brackets that are still too full."""
     todo = [b for b in brackets if b.rows > limit and b.low < b.high]
-    grid = [g / GRID for g in range(GRID + 1)]
+    grid = _even_steps(NARROW_GRID)
     parts: list[Column] = []
     for i, b in enumerate(todo):
         value = F.col(b.column)
@@ -109,31 +148,26 @@ def _narrow(df: DataFrame, brackets: list[_Bracket], counts: dict[str, int], lim
     moved = False
     for i, b in enumerate(todo):
         below, inside, marks = row[f"below_{i}"], row[f"inside_{i}"], row[f"grid_{i}"]
-        first, last = _ranks(counts[b.column], b.probability)
+        first, last, _ = _ranks(counts[b.column], b.probability)
         if not (below <= first and last < below + inside):
-            raise ArithmeticError("A quantile sketch missed its bracket.")
+            b.widen(counts[b.column])
+            moved = True
+            continue
         span = max(inside - 1, 1)
-        left = max(math.floor((first - below) / span * GRID) - 1, 0)
-        right = min(math.ceil((last - below) / span * GRID) + 1, GRID)
+        # The sketch may be off by inside / ACCURACY ranks; one grid step more than that on each side.
+        slack = 1 + math.ceil(NARROW_GRID / ACCURACY)
+        left = max(math.floor((first - below) / span * NARROW_GRID) - slack, 0)
+        right = min(math.ceil((last - below) / span * NARROW_GRID) + slack, NARROW_GRID)
         low = b.low if left == 0 else marks[left]
-        high = b.high if right == GRID else marks[right]
+        high = b.high if right == NARROW_GRID else marks[right]
         moved = moved or low > b.low or high < b.high
         b.low, b.high = low, high
-        b.rows = inside * ((right - left) / GRID + 2 / ACCURACY)
+        b.rows = inside * ((right - left) / NARROW_GRID + 2 / ACCURACY)
     return moved
 
 
-def _snap(value: Column, spans: list[tuple[float, float]]) -> Column:
-    """``value`` where it lies in one of the (ascending, disjoint) spans, else the nearest span end below it, or the
-    first span's start. Never decreasing in ``value``."""
-    low, high = spans[0]
-    expr = F.when(value < low, F.lit(low)).when(value <= high, value)
-    for i, (start, end) in enumerate(spans[1:]):
-        expr = expr.when(value < start, F.lit(spans[i][1])).when(value <= end, value)
-    return expr.when(value.isNotNull(), F.lit(spans[-1][1]))
-
-
 def _spans(brackets: list[_Bracket]) -> list[tuple[float, float]]:
+    """The brackets of one column as ascending, disjoint spans."""
     merged: list[tuple[float, float]] = []
     for low, high in sorted((b.low, b.high) for b in brackets):
         if merged and low <= merged[-1][1]:
@@ -143,38 +177,55 @@ def _spans(brackets: list[_Bracket]) -> list[tuple[float, float]]:
     return merged
 
 
-def _exact_pass(df: DataFrame, brackets: list[_Bracket], counts: dict[str, int]) -> list[float]:
-    """The exact pass; the two counts prove that each bracket holds the order statistics asked for."""
-    if not brackets:
-        return []
-    parts: list[Column] = []
-    # Snapped in a projection, which is compiled; inside the aggregate it would be interpreted per row.
-    snapped: dict[str, Column] = {}
+def _zone(value: Column, spans: list[tuple[float, float]]) -> Column:
+    """Position among the spans: 2i is the gap before span i, 2i + 1 is span i. NULL stays NULL."""
+    expr: Column | None = None
+    for i, (low, high) in enumerate(spans):
+        before = F.when(value < low, F.lit(2 * i)) if expr is None else expr.when(value < low, F.lit(2 * i))
+        expr = before.when(value <= high, F.lit(2 * i + 1))
+    return expr.when(value.isNotNull(), F.lit(2 * len(spans)))
+
+
+def _exact_pass(df: DataFrame, brackets: list[_Bracket], counts: dict[str, int]) -> dict[tuple[str, float], float]:
+    """The quantiles whose order statistics both lie inside a bracket."""
     names = list(dict.fromkeys(b.column for b in brackets))
+    entries: list[Column] = []
+    zones: dict[str, Column] = {}
+    wanted: Column = F.lit(False)
     for k, name in enumerate(names):
         own = [b for b in brackets if b.column == name]
-        wanted = F.array(*[F.lit(b.probability) for b in own])
-        snapped[f"__snap_{k}"] = _snap(F.col(name), _spans(own))
-        parts.append(F.percentile(f"__snap_{k}", wanted).alias(f"q_{k}"))
-        for i, b in enumerate(own):
-            parts.append(F.count_if(F.col(name) < b.low).alias(f"below_{k}_{i}"))
-            parts.append(F.count_if(F.col(name) <= b.high).alias(f"upto_{k}_{i}"))
-    row = df.withColumns(snapped).agg(*parts).head()
-    out: list[float] = []
-    for k, name in enumerate(names):
-        for i, b in enumerate([b for b in brackets if b.column == name]):
-            first, last = _ranks(counts[name], b.probability)
-            if not (row[f"below_{k}_{i}"] <= first and last < row[f"upto_{k}_{i}"]):
-                raise ArithmeticError("A quantile sketch missed its bracket.")
-            out.append(row[f"q_{k}"][i])
-    return out
+        zones[f"__zone_{k}"] = _zone(F.col(name), _spans(own))
+        zone = F.col(f"__zone_{k}")
+        value = F.when(zone % 2 == 1, F.col(name))
+        entries.append(F.struct(F.lit(k).alias("k"), zone.alias("zone"), value.alias("v")))
+        for rank in {r for b in own for r in _ranks(counts[name], b.probability)[:2]}:
+            covers = (F.col("before") <= rank) & (F.col("upto") > rank)
+            wanted = wanted | ((F.col("k") == k) & covers)
+    cells = df.withColumns(zones).select(F.explode(F.array(*entries)).alias("cell")).select("cell.*")
+    sizes = cells.where(F.col("zone").isNotNull()).groupBy("k", "zone", "v").agg(F.count(F.lit(1)).alias("n"))
+    running = F.sum("n").over(Window.partitionBy("k").orderBy("zone", "v"))
+    ranked = sizes.select("k", "v", running.alias("upto"), (running - F.col("n")).alias("before"))
+    hits = ranked.where(wanted).collect()  # at most two rows per quantile
+
+    def at(k: int, rank: int) -> float | None:
+        return next((h["v"] for h in hits if h["k"] == k and h["before"] <= rank < h["upto"]), None)
+
+    found: dict[tuple[str, float], float] = {}
+    for b in brackets:
+        k = names.index(b.column)
+        first, last, position = _ranks(counts[b.column], b.probability)
+        low, high = at(k, first), at(k, last)
+        if low is not None and high is not None:
+            found[b.column, b.probability] = low + (high - low) * (position - first)
+    return found
 
 
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
     probabilities: Sequence[float],
-    buffer_values: int = BUFFER_VALUES,
+    kept_values: int = KEPT_VALUES,
 ) -> dict[str, list[float | None]]:
-    first = df.agg(*sketch_columns(columns, probabilities)).head()
-    return finish(df, columns, probabilities, first, buffer_values)
+    table, parts = sketched(df, columns)
+    first = table.agg(*parts).head()
+    return finish(df, columns, probabilities, first, kept_values)
