@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fieldstats import fixed
 from fieldstats.functions.calendar import frequency as frequency_code
-from fieldstats.functions.coerce import bounded, ref, timestamp
+from fieldstats.functions.coerce import bounded, ref, require_times, timestamp
 from fieldstats.model import Result, Roles
 from fieldstats.operators import registry
 from fieldstats.operators.aggregate import check_aggregations, temporal_aggregation, value_columns
@@ -80,7 +80,8 @@ class Dataset:
         return replace(self, roles=self.roles.override(**roles))
 
     def add_recipe(self, source: str, operation: str, output: str | None = None, **parameters: object) -> Dataset:
-        """A checked recipe; its column joins the variables. No job runs until the column is read."""
+        """A checked recipe; its column joins the variables. The column is computed where it is read; only a time
+        column is probed, up to its first readable cell."""
         if source not in self.columns:
             raise ValueError(f"Source column '{source}' is not in the dataset.")
         recipe = make_recipe(source, operation, output, self.mapping, **parameters)
@@ -89,6 +90,8 @@ class Dataset:
         time = recipe.parameters.get("time_column")
         if time and time not in self.columns:
             raise ValueError(f"Time column '{time}' is not in the dataset.")
+        if time in self.base.columns:
+            require_times(self.base, time)
         return replace(self, recipes=(*self.recipes, recipe))
 
     def suggestions(self, units: dict[str, str] | None = None) -> DataFrame:

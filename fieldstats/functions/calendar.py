@@ -66,15 +66,14 @@ def hours(spark: SparkSession) -> DataFrame:
     return spark.range(0, 24, 1, 1).select(F.col("id").cast("int").alias("hour"))
 
 
-def periods_between(bounds: DataFrame, code: str) -> DataFrame:
-    """Every period from ``first`` to ``last`` (one row in ``bounds``), as ``period`` dates."""
+def periods_from(period: Column, following: Column, code: str) -> Column:
+    """Array of the period labels from ``period`` up to, not including, the label ``following`` (NULL: just itself)."""
     if code == "D":
-        return bounds.select(F.explode(F.sequence("first", "last")).alias("period"))
+        return F.sequence(period, F.coalesce(F.date_sub(following, 1), period))
     if code == "ME":
         # Step over month starts: stepping from a month end drifts (29 Feb + 1 month = 29 Mar).
-        starts = F.sequence(F.trunc("first", "month"), F.trunc("last", "month"), F.expr("interval 1 month"))
-        return bounds.select(F.explode(starts).alias("start")).select(F.last_day("start").alias("period"))
-    years = F.sequence(F.year("first"), F.year("last"))
-    return bounds.select(F.explode(years).alias("y")).select(
-        F.make_date("y", F.lit(12), F.lit(31)).alias("period")
-    )
+        start = F.trunc(period, "month")
+        last = F.coalesce(F.add_months(F.trunc(following, "month"), -1), start)
+        return F.transform(F.sequence(start, last, F.expr("interval 1 month")), F.last_day)
+    last = F.coalesce(F.year(following) - 1, F.year(period))
+    return F.transform(F.sequence(F.year(period), last), lambda y: F.make_date(y, F.lit(12), F.lit(31)))

@@ -97,6 +97,12 @@ def timestamp(df: DataFrame, name: str, pattern: str | None = None) -> Column:
     return time_expr(ref(name), data_type, pattern if pattern else time_pattern(df, name))
 
 
+def require_times(df: DataFrame, name: str) -> None:
+    """Raises when no cell of a time column can be read. Stops at the first that can."""
+    if not df.select(timestamp(df, name).alias("t")).where("t is not null").head(1):
+        raise ValueError(f"Column '{name}' holds no readable time.")
+
+
 def naive(column: Column) -> Column:
     """UTC timestamp without a zone, the form every output table uses."""
     return column.cast("timestamp_ntz")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldstats import fixed
 from fieldstats.functions.calendar import frequency as frequency_code
-from fieldstats.functions.calendar import period_date, periods_between
+from fieldstats.functions.calendar import period_date, periods_from
 from fieldstats.functions.coerce import number, numeric_columns, timestamp
 from fieldstats.model import Roles
 from fieldstats.plans.periods import midnight
@@ -58,6 +58,22 @@ def aggregate_columns(columns: Sequence[str], aggregations: Sequence[str]) -> li
     ]
 
 
+def fill_gaps(table: DataFrame, outputs: Sequence[str], zeroed: Sequence[str], code: str) -> DataFrame:
+    """Lists the periods between a period and the next one as well, with NULLs, or 0 for sums and counts.
+
+    Each period brings the gap after it along, so the aggregate is computed once and joined to nothing. The window
+    runs over the calendar-bounded period table.
+    """
+    following = F.lead("period").over(Window.orderBy("period"))
+    listed = table.withColumn("__next", following).withColumn(
+        "__label", F.explode(periods_from(F.col("period"), F.col("__next"), code))
+    )
+    own = F.col("__label") == F.col("period")
+    cells = [F.when(own, F.col(f"`{c}`")) for c in outputs]
+    filled = [F.coalesce(v, F.lit(0)) if c in zeroed else v for c, v in zip(outputs, cells)]
+    return listed.select(F.col("__label").alias("period"), *[v.alias(c) for c, v in zip(outputs, filled)])
+
+
 def temporal_aggregation(
     df: DataFrame,
     time: str | None = None,
@@ -86,9 +102,7 @@ def temporal_aggregation(
     table = rows.groupBy("period").agg(*aggregate_columns(columns, aggregations))
     zeroed = [f"{c}_{a}" for a in aggregations for c in columns if a in ("sum", "count")]
     if zeroed:
-        bounds = table.agg(F.min("period").alias("first"), F.max("period").alias("last"))
-        spine = periods_between(bounds, code)
-        table = spine.join(table, "period", "left").fillna(0, subset=[f"`{c}`" if "." in c else c for c in zeroed])
+        table = fill_gaps(table, outputs, zeroed, code)
     else:
         table = table.dropna("all", subset=[f"`{c}`" if "." in c else c for c in outputs])
     return table.select(midnight(F.col("period")).alias("period_start"), *[F.col(f"`{c}`") for c in outputs])

@@ -142,7 +142,9 @@ def baseline_anomalies(
     return bundle.result(
         "baseline_anomalies",
         facts={
-            "coverage": lambda: periods.coverage(groups, "daily_periods"),
+            "coverage": lambda: periods.coverage(
+                groups, "daily_periods", annual_periods=F.count_distinct(F.year("period"))
+            ),
             "baseline": baseline,
             "summary": summary,
         },

@@ -78,9 +78,13 @@ def spatial_grid(
     return grid.join(F.broadcast(means), ["lat_bin", "lon_bin"], "left").fillna(0.0, subset=["value"])
 
 
-def grid_edges(
-    df: DataFrame, column: str, bins: int
-) -> DataFrame:
+def grid_matrix(grid: DataFrame, lon_bins: int = fixed.GRID_LON_BINS) -> DataFrame:
+    """The grid with one row per latitude bin and one column per longitude bin."""
+    columns = list(range(lon_bins))
+    return grid.groupBy("lat_bin").pivot("lon_bin", columns).agg(F.first("value"))
+
+
+def grid_edges(df: DataFrame, column: str, bins: int) -> DataFrame:
     """The intervals (left, right] of one axis; the first is opened by 0.1 % so that it holds the minimum."""
     values = df.select(number(df, column).alias("v"))
     low, high = binning.widen_cut(F.min("v"), F.max("v"))

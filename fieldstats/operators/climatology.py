@@ -60,11 +60,14 @@ def _month_summary(groups: DataFrame) -> DataFrame:
     )
 
 
-def _quality(groups: DataFrame, observed: str, complete: str, keys: DataFrame, size: int) -> DataFrame:
-    count = keys.agg(F.count(F.lit(1)).alias(observed)).withColumn(complete, F.col(observed) == size)
+def _quality(groups: DataFrame, key: str, observed: str, complete: str, size: int) -> DataFrame:
+    seen = F.count_distinct(key)
     return groups.agg(
-        F.sum("missing_time").alias("missing_time"), F.sum("missing_target").alias("missing_target")
-    ).crossJoin(count)
+        F.sum("missing_time").alias("missing_time"),
+        F.sum("missing_target").alias("missing_target"),
+        seen.alias(observed),
+        (seen == size).alias(complete),
+    )
 
 
 def seasonal_patterns(
@@ -84,12 +87,11 @@ def seasonal_patterns(
     def pattern(key: str, table: DataFrame) -> DataFrame:
         return table.where(F.col("mean").isNotNull()).select(key, F.col("mean").alias("mean_value"))
 
-    months = periods.observed(groups, "month").select("month")
     return bundle.result(
         "seasonal_patterns",
         facts={
             "coverage": lambda: periods.coverage(groups).drop("missing_time", "missing_target"),
-            "data_quality": lambda: _quality(groups, "observed_months", "complete_12_month_profile", months, 12),
+            "data_quality": lambda: _quality(groups, "month", "observed_months", "complete_12_month_profile", 12),
             "summary": lambda: _month_summary(groups),
         },
         records={
@@ -161,14 +163,13 @@ def diurnal_cycle(
     offset = bounded(timezone_offset_hours, fixed.HOUR_OFFSET)
     bundle = Bundle(checked)
     groups = bundle.hold(hour_groups(series(df, time, target), offset))
-    hours = periods.observed(groups, "hour").select("hour").distinct()
     bundle.require_coverage(groups, periods=False)
-    bundle.require(lambda: hours.agg(F.count("hour").alias("n")), "n", fixed.MIN_HOURS, "distinct hours")
+    bundle.require(lambda: groups.agg(F.count_distinct("hour").alias("n")), "n", fixed.MIN_HOURS, "distinct hours")
     return bundle.result(
         "diurnal_cycle",
         facts={
             "coverage": lambda: periods.coverage(groups).drop("missing_time", "missing_target"),
-            "data_quality": lambda: _quality(groups, "observed_hours", "complete_24_hour_profile", hours, 24),
+            "data_quality": lambda: _quality(groups, "hour", "observed_hours", "complete_24_hour_profile", 24),
             "summary": lambda: _hour_summary(groups),
         },
         records={

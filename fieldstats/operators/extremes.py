@@ -91,7 +91,9 @@ def extreme_events(
     return bundle.result(
         "extreme_events",
         facts={
-            "coverage": lambda: periods.coverage(groups, "daily_periods"),
+            "coverage": lambda: periods.coverage(
+                groups, "daily_periods", annual_periods=F.count_distinct(F.year("period"))
+            ),
             "thresholds": lambda: thresholds(days, high, low),
             "summary": summary,
         },

@@ -14,7 +14,7 @@ from fieldstats.functions.coerce import naive, number, ref, timestamp
 from fieldstats.model import Result, Roles
 from fieldstats.plans import gram
 from fieldstats.plans.halo import lagged
-from fieldstats.plans.rowindex import with_row_index
+from fieldstats.plans.rowindex import number_rows
 from fieldstats.plans.series import clean, series
 from fieldstats.session import use_utc
 
@@ -41,22 +41,21 @@ def time_series_forecasting(
     lags, horizon = int(lags), int(horizon)
     rows = series(df, time, target) if not order_by else _keyed_series(df, time, target, order_by)
     keys = [f"k{i}" for i in range(len(order_by))]
-    indexed = with_row_index(clean(rows), ["time", *keys], "row_index").select("row_index", "time", "value")
-    tail = indexed.orderBy(F.col("row_index").desc()).limit(max(lags, 1)).collect()
-    total = tail[0]["row_index"] + 1 if tail else 0
+    indexed, total = number_rows(clean(rows), ["time", *keys], "row_index")
+    indexed = indexed.select("row_index", "time", "value")
     if total <= lags + fixed.FORECAST_EXTRA_ROWS:
         raise ValueError(f"More than {lags + fixed.FORECAST_EXTRA_ROWS} rows are needed, found {total}.")
     names = [f"lag_{k}" for k in range(1, lags + 1)]
     model = gram.fit(lagged(indexed, "value", lags, block_rows=block_rows).dropna(subset=names), names, "value")
-    recent = [r["value"] for r in tail]  # newest first
+    ends = indexed.where((F.col("row_index") < _SAMPLE) | (F.col("row_index") >= total - max(lags, 1)))
+    known = sorted(ends.select("row_index", naive(F.col("time")).alias("time"), "value").collect())
+    recent = [r["value"] for r in known[::-1][:lags]]  # newest first
     steps: list[float] = []
     for _ in range(horizon):
         following = model.intercept + sum(w * v for w, v in zip(model.coefficients, recent))
         steps.append(following)
         recent = [following, *recent][:lags] if lags else recent
-    head = indexed.where(F.col("row_index") < _SAMPLE).select("row_index", naive(F.col("time")).alias("time")).collect()
-    last = indexed.where(F.col("row_index") == total - 1).select(naive(F.col("time")).alias("time")).head()["time"]
-    future = extend_times([r["time"] for r in sorted(head)], last, horizon)
+    future = extend_times([r["time"] for r in known if r["row_index"] < _SAMPLE], known[-1]["time"], horizon)
     spark = df.sparkSession
 
     def forecast() -> DataFrame:

@@ -96,6 +96,8 @@ def random_forest_regression(
     target, features = _features(df, target, features, roles)
     rows = complete_rows(df, features, target, held_out, split_key)
     _enough(rows, fixed.MIN_FOREST_ROWS)
+    # The trees go over the rows many times; rebalancing evens out few or lopsided input partitions once.
+    rows = rows.hint("rebalance")
     assembled = VectorAssembler(inputCols=list(features), outputCol="__features").transform(rows)
     forest = RandomForestRegressor(
         featuresCol="__features",

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldstats import fixed
-from fieldstats.functions.coerce import field_type, number, ref, timestamp
+from fieldstats.functions.coerce import field_type, number, ref, require_times, timestamp
 from fieldstats.model import Roles
 from fieldstats.plans.halo import rolling_mean
 from fieldstats.plans.rowindex import with_row_index
@@ -134,6 +134,7 @@ def rolling_column(
     Equal times follow ``order_by``, then the scan order. The order is global, so the rows are numbered and rolled in
     overlapping blocks (see ``plans.halo``).
     """
+    require_times(df, time)
     staged = df.withColumn("__time", timestamp(df, time))
     order = [F.col("__time").asc_nulls_last(), *[ref(c) for c in order_by]]
     indexed = with_row_index(staged, order, "__row").drop("__time")

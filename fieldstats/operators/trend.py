@@ -138,16 +138,15 @@ def annual_trend_signal(
     groups = bundle.hold(periods.period_groups(series(df, time, target), "D"))
     days = periods.observed(groups)
     years = yearly_means(days)
-
-    def coverage() -> DataFrame:
-        known = periods.coverage(groups, "daily_periods")
-        return known.crossJoin(years.agg(F.count(F.lit(1)).alias("annual_periods")))
-
+    observed_years = F.count_distinct(F.year("period"))
     bundle.require_coverage(groups)
     bundle.require(lambda: years.agg(F.count(F.lit(1)).alias("n")), "n", fixed.MIN_YEARS, "observed years")
     return bundle.result(
         "annual_trend_signal",
-        facts={"coverage": coverage, "summary": lambda: year_summary(years)},
+        facts={
+            "coverage": lambda: periods.coverage(groups, "daily_periods", annual_periods=observed_years),
+            "summary": lambda: year_summary(years),
+        },
         records={"annual_series": lambda: year_line(years, "mean", "trend")},
         info={"time_column": time, "target_column": target},
     )

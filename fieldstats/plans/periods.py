@@ -55,8 +55,8 @@ def observed(groups: DataFrame, key: str = "period") -> DataFrame:
     return groups.where(F.col(key).isNotNull())
 
 
-def coverage(groups: DataFrame, periods: str | None = None) -> DataFrame:
-    """One row: how much was read, how much was usable, and from when to when."""
+def coverage(groups: DataFrame, periods: str | None = None, **extra: Column) -> DataFrame:
+    """One row: how much was read, how much was usable, and from when to when; ``extra`` aggregates join the same pass."""
     parts = [
         F.sum("rows").alias("source_rows"),
         F.sum("count").alias("valid_rows"),
@@ -69,6 +69,7 @@ def coverage(groups: DataFrame, periods: str | None = None) -> DataFrame:
         F.sum("missing_time").alias("missing_time"),
         F.sum("missing_target").alias("missing_target"),
     ]
+    parts += [expr.alias(name) for name, expr in extra.items()]
     return groups.agg(*parts)
 
 

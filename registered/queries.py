@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldstats import Dataset, Roles
+from fieldstats import Dataset, Roles, list_datasets
 from fieldstats.functions.coerce import number
 from fieldstats.operators import aggregate, anomaly, baseline, charts, climatology, describe, distribution, extremes
 from fieldstats.operators import forecast, models, recipes, relate, roles, trend, workflow
@@ -148,16 +148,15 @@ def temporal_agg_yearly(spark, d):
 
 @query
 def temporal_agg_gapfill(spark, d):
-    # The dearest orders are days apart, so most days in between have no row.
+    # Days without an order are listed, with sum and count 0.
     orders = table(spark, d, "orders")
-    dear = orders.where(F.col("o_totalprice") > 490000)
-    return rounded(
-        aggregate.temporal_aggregation(dear, "o_orderdate", ["o_totalprice"], "D", ["sum", "count", "mean"])
-    )
+    days = aggregate.temporal_aggregation(orders, "o_orderdate", ["o_totalprice"], "D", ["sum", "count", "mean"])
+    return rounded(nudged(days, "o_totalprice_mean"))
 
 
 @query
 def temporal_agg_gapfill_monthly(spark, d):
+    # Only some months hold an order this dear.
     orders = table(spark, d, "orders")
     dear = orders.where(F.col("o_totalprice") > 499000)
     return rounded(aggregate.temporal_aggregation(dear, "o_orderdate", ["o_totalprice"], "ME", ["max", "count"]))
@@ -251,6 +250,11 @@ def diurnal_summary(spark, d):
     return rounded(result["summary"])
 
 
+@query
+def diurnal_quality(spark, d):
+    return climatology.diurnal_cycle(table(spark, d, "events"), *EVENTS)["data_quality"]
+
+
 # --- baseline anomalies -----------------------------------------------------------------------------------
 
 
@@ -580,6 +584,18 @@ def spatial_grid(spark, d):
     return rounded(charts.spatial_grid(table(spark, d, "lineitem"), "l_quantity", "l_discount", "l_extendedprice", 12, 8))
 
 
+@query
+def spatial_grid_matrix(spark, d):
+    grid = charts.spatial_grid(table(spark, d, "lineitem"), "l_quantity", "l_discount", "l_extendedprice", 6, 4)
+    wide = charts.grid_matrix(grid, 4)
+    return rounded(wide.toDF("lat_bin", *[f"lon_{i}" for i in range(4)]))
+
+
+@query
+def grid_edges(spark, d):
+    return rounded(charts.grid_edges(table(spark, d, "lineitem"), "l_extendedprice", 10), 6)
+
+
 @query
 def chart_heatmap_corr(spark, d):
     return charts.heatmap(table(spark, d, "lineitem").select(*MEASURES))
@@ -695,6 +711,15 @@ def dataset_profile(spark, d):
     )
 
 
+@query
+def dataset_list(spark, d):
+    known = [
+        Dataset(table(spark, d, name), Roles(), f"{name}.parquet", "parquet") for name in ("orders", "lineitem", "events")
+    ]
+    listed = list_datasets(spark, known)
+    return listed.select("name", "source_format", "row_count", F.size("columns").alias("column_count"))
+
+
 @query
 def export_flat(spark, d):
     """The one-row form that an export writes for a result without a leading record table."""
