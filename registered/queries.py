@@ -581,13 +581,14 @@ def infer_roles_text(spark, d):
 
 @query
 def spatial_grid(spark, d):
-    return rounded(charts.spatial_grid(table(spark, d, "lineitem"), "l_quantity", "l_discount", "l_extendedprice", 12, 8))
+    grid = charts.spatial_grid(table(spark, d, "lineitem"), "l_quantity", "l_discount", "l_extendedprice", 12, 8)
+    return rounded(nudged(grid, "value"))
 
 
 @query
 def spatial_grid_matrix(spark, d):
     grid = charts.spatial_grid(table(spark, d, "lineitem"), "l_quantity", "l_discount", "l_extendedprice", 6, 4)
-    wide = charts.grid_matrix(grid, 4)
+    wide = charts.grid_matrix(nudged(grid, "value"), 4)
     return rounded(wide.toDF("lat_bin", *[f"lon_{i}" for i in range(4)]))
 
 
