@@ -85,6 +85,9 @@ class Result:
     def __contains__(self, name: str) -> bool:
         return name in self._facts or name in self._records
 
+    def add(self, name: str, table: Table) -> None:
+        self._records[name] = table
+
     def names(self) -> list[str]:
         return [*self._facts, *self._records]
 

@@ -46,9 +46,11 @@ def time_series_forecasting(
     if total <= lags + fixed.FORECAST_EXTRA_ROWS:
         raise ValueError(f"More than {lags + fixed.FORECAST_EXTRA_ROWS} rows are needed, found {total}.")
     names = [f"lag_{k}" for k in range(1, lags + 1)]
-    model = gram.fit(lagged(indexed, "value", lags, block_rows=block_rows).dropna(subset=names), names, "value")
     ends = indexed.where((F.col("row_index") < _SAMPLE) | (F.col("row_index") >= total - max(lags, 1)))
     known = sorted(ends.select("row_index", naive(F.col("time")).alias("time"), "value").collect())
+    centre = dict.fromkeys([*names, "value"], sum(r["value"] for r in known) / len(known))
+    history = lagged(indexed, "value", lags, block_rows=block_rows).dropna(subset=names)
+    model = gram.fit(history, names, "value", centre)
     recent = [r["value"] for r in known[::-1][:lags]]  # newest first
     steps: list[float] = []
     for _ in range(horizon):

@@ -43,7 +43,7 @@ def _features(df: DataFrame, target: str | None, features: Sequence[str] | None,
 
 def _enough(rows: DataFrame, at_least: int) -> None:
     """Counts no further than it has to."""
-    found = rows.limit(at_least).count()
+    found = len(rows.take(at_least))
     if found < at_least:
         raise ValueError(f"At least {at_least} complete rows are needed, found {found}.")
 

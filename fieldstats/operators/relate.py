@@ -2,42 +2,97 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldstats.functions.coerce import number
 from fieldstats.model import Result, Roles
 from fieldstats.operators.describe import choose_features
+from fieldstats.plans.gram import sample_centre
 
 
-def pearson(x: Column, y: Column) -> Column:
-    """Correlation over the rows where both are present; NULL when either is constant there."""
-    product = F.regr_sxy(y, x)
-    return F.try_divide(product, F.sqrt(F.regr_sxx(y, x)) * F.sqrt(F.regr_syy(y, x)))
+def _complete_sums(slim: DataFrame, pairs: list[tuple[int, int]], size: int) -> tuple[dict, int]:
+    """Sums of products over the rows without any missing value, and how many rows have one. These rows need one
+    sum per column and per pair, which compiles to tight code."""
+    names = [f"c{i}" for i in range(size)]
+    whole = F.lit(True)
+    for c in names:
+        whole = whole & F.col(c).isNotNull()
+    # 0 for every cell of an incomplete row, so that it adds nothing.
+    filled = slim.select(
+        whole.alias("whole"), *[F.when(whole, F.col(c)).otherwise(0.0).alias(c) for c in names]
+    )
+    row = filled.agg(
+        F.count_if("whole").alias("n"),
+        F.count_if(~F.col("whole")).alias("incomplete"),
+        *[F.sum(c).alias(c) for c in names],
+        *[F.sum(F.col(f"c{i}") * F.col(f"c{j}")).alias(f"p{i}_{j}") for i, j in pairs],
+    ).head()
+
+    def total(name: str) -> float:
+        return row[name] or 0.0
+
+    sums = {
+        (i, j): (row["n"], total(f"c{i}"), total(f"c{j}"), total(f"p{i}_{i}"), total(f"p{j}_{j}"), total(f"p{i}_{j}"))
+        for i, j in pairs
+    }
+    return sums, row["incomplete"]
+
+
+def _partial_sums(slim: DataFrame, pairs: list[tuple[int, int]], size: int) -> dict:
+    """The same sums per pair over the incomplete rows only, each row giving the pairs it has both values of."""
+    lacking = F.lit(False)
+    for i in range(size):
+        lacking = lacking | F.col(f"c{i}").isNull()
+    entries = [
+        F.struct(F.lit(k).alias("k"), F.col(f"c{i}").alias("x"), F.col(f"c{j}").alias("y"))
+        for k, (i, j) in enumerate(pairs)
+    ]
+    cells = slim.where(lacking).select(F.explode(F.array(*entries)).alias("cell")).select("cell.*")
+    x, y = F.col("x"), F.col("y")
+    rows = (
+        cells.where(x.isNotNull() & y.isNotNull())
+        .groupBy("k")
+        .agg(F.count(F.lit(1)), F.sum(x), F.sum(y), F.sum(x * x), F.sum(y * y), F.sum(x * y))
+        .collect()  # one row per pair
+    )
+    return {pairs[r["k"]]: tuple(r)[1:] for r in rows}
+
+
+def _pearson(n: float, x: float, y: float, xx: float, yy: float, xy: float) -> float | None:
+    """NULL when either side is constant: its spread is within rounding of zero."""
+    if not n:
+        return None
+    spread_x, spread_y = xx - x * x / n, yy - y * y / n
+    if not (spread_x > xx * 1e-13 and spread_y > yy * 1e-13):
+        return None
+    r = (xy - x * y / n) / (math.sqrt(spread_x) * math.sqrt(spread_y))
+    return None if math.isnan(r) else max(-1.0, min(1.0, r))
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str], digits: int | None = 6) -> DataFrame:
-    """Every ordered pair as ``(col_a, col_b, r)``; all pairs come from one scan."""
+    """Every ordered pair as ``(col_a, col_b, r)``.
+
+    Rows missing a value are left out of the pairs that need it. One scan covers the complete rows; a second one runs
+    only when there are incomplete rows. Each returns a row of sums, or one per pair.
+    """
     slim = df.select(*[number(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
+    centre = sample_centre(slim, slim.columns)
+    slim = slim.select(*[(F.col(c) - F.lit(centre[c])).alias(c) for c in slim.columns])
     size = len(columns)
-    upper = {
-        (i, j): pearson(F.col(f"c{i}"), F.col(f"c{j}")).alias(f"r_{i}_{j}")
-        for i in range(size)
-        for j in range(i, size)
-    }
-    sums = slim.agg(*upper.values())
-    cells = [
-        F.struct(
-            F.lit(a).alias("col_a"),
-            F.lit(b).alias("col_b"),
-            F.col(f"r_{min(i, j)}_{max(i, j)}").alias("r"),
-        )
-        for i, a in enumerate(columns)
-        for j, b in enumerate(columns)
+    pairs = [(i, j) for i in range(size) for j in range(i, size)]
+    sums, incomplete = _complete_sums(slim, pairs, size)
+    if incomplete:
+        for pair, extra in _partial_sums(slim, pairs, size).items():
+            sums[pair] = tuple(a + b for a, b in zip(sums[pair], extra))
+    found = {pair: _pearson(*parts) for pair, parts in sums.items()}
+    rows = [
+        (a, b, found[min(i, j), max(i, j)]) for i, a in enumerate(columns) for j, b in enumerate(columns)
     ]
-    long = sums.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
+    long = df.sparkSession.createDataFrame(rows, "col_a string, col_b string, r double")
     return long.withColumn("r", F.round("r", digits)) if digits is not None else long
 
 
@@ -49,9 +104,7 @@ def correlation_matrix(pairs: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def correlation(df: DataFrame, features: Sequence[str] | None = None, roles: Roles | None = None) -> Result:
     columns = choose_features(df, features, roles, at_least=2)
-    pairs = correlation_pairs(df, columns)
-    return Result(
-        "correlation",
-        records={"pairs": pairs, "matrix": lambda: correlation_matrix(pairs, columns)},
-        info={"columns": columns},
-    )
+    result = Result("correlation", info={"columns": columns})
+    result.add("pairs", lambda: correlation_pairs(df, columns))
+    result.add("matrix", lambda: correlation_matrix(result["pairs"], columns))
+    return result

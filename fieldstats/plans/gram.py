@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+CENTRE_ROWS = 200
+
+
 @dataclass(frozen=True)
 class LinearFit:
     features: tuple[str, ...]
@@ -24,30 +27,55 @@ class LinearFit:
         return expr
 
 
-def fit(df: DataFrame, features: Sequence[str], target: str) -> LinearFit:
+def sample_centre(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    """Rough means from the first few rows; ``take`` reads no further than it must.
+
+    Sums of products are taken around them, so that little cancels. Plain sums compile to tight code, which
+    the built-in covariance aggregates, many at a time, do not.
+    """
+    rows = df.select(*[F.col(f"`{c}`") for c in columns]).take(CENTRE_ROWS)
+    centre: dict[str, float] = {}
+    for i, c in enumerate(columns):
+        known = [r[i] for r in rows if r[i] is not None]
+        centre[c] = sum(known) / len(known) if known else 0.0
+    return centre
+
+
+def fit(
+    df: DataFrame, features: Sequence[str], target: str, centre: dict[str, float] | None = None
+) -> LinearFit:
     """Ordinary least squares on rows without NULLs.
 
-    One scan gives the (p+1)² covariances, whatever the number of rows; only that small matrix is solved on the
-    driver. Dependent features get the solution of least norm.
+    One scan gives the (p+1)² sums of products, whatever the number of rows; only that small matrix is solved on the
+    driver. Dependent features get the solution of least norm. ``centre`` gives rough means, to save the sample.
     """
     names = [*features, target]
+    centre = centre or sample_centre(df, names)
+    slim = df.select(*[(F.col(f"`{c}`") - F.lit(centre[c])).alias(f"x{i}") for i, c in enumerate(names)])
     parts: list[Column] = [F.count(F.lit(1)).alias("n")]
-    parts += [F.avg(f"`{c}`").alias(f"mean_{i}") for i, c in enumerate(names)]
-    for i, a in enumerate(names):
+    parts += [F.sum(f"x{i}").alias(f"s_{i}") for i in range(len(names))]
+    for i in range(len(names)):
         for j in range(i, len(names)):
-            parts.append(F.covar_pop(f"`{a}`", f"`{names[j]}`").alias(f"c_{i}_{j}"))
-    row = df.agg(*parts).head()
-    p = len(features)
-    if not row["n"]:
+            parts.append(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p_{i}_{j}"))
+    row = slim.agg(*parts).head()
+    n, p = row["n"], len(features)
+    if not n:
         raise ValueError("No complete rows to fit.")
-    gram = np.array([[row[f"c_{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)])
-    cross = np.array([row[f"c_{i}_{p}"] for i in range(p)])
+    means = np.array([row[f"s_{i}"] / n for i in range(p + 1)])
+    products = np.array([[row[f"p_{min(i, j)}_{max(i, j)}"] / n for j in range(p + 1)] for i in range(p + 1)])
+    moments = products - np.outer(means, means)
+    # A spread within rounding of zero is a constant column.
+    spread = np.where(np.diag(moments) > 1e-13 * np.diag(products), np.diag(moments), 0.0)
     # Scale to unit variance first: features may differ by many orders of magnitude.
-    scale = np.sqrt(np.diag(gram))
-    scale[scale == 0] = 1.0
-    solved = np.linalg.lstsq(gram / np.outer(scale, scale), cross / scale, rcond=1e-12)[0] / scale
-    intercept = row[f"mean_{p}"] - sum(w * row[f"mean_{i}"] for i, w in enumerate(solved))
-    return LinearFit(tuple(features), tuple(float(w) for w in solved), float(intercept), row["n"])
+    scale = np.sqrt(spread[:p])
+    usable = scale > 0
+    scale[~usable] = 1.0
+    gram = moments[:p, :p] / np.outer(scale, scale) * np.outer(usable, usable)
+    cross = moments[:p, p] / scale * usable
+    solved = np.linalg.lstsq(gram, cross, rcond=1e-12)[0] / scale
+    means = means + np.array([centre[c] for c in names])
+    intercept = means[p] - float(np.dot(solved, means[:p]))
+    return LinearFit(tuple(features), tuple(float(w) for w in solved), float(intercept), n)
 
 
 def metrics(scored: DataFrame, target: str, prediction: str = "prediction") -> DataFrame:
