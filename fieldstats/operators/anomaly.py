@@ -93,9 +93,10 @@ def anomaly_detection(
             order = [ref(c) for c in order_by] if order_by else [F.monotonically_increasing_id()]
             table = table.orderBy(*order).limit(limit)
         shown = ["time"] if "time" in table.columns else []
-        table = table.withColumn("time", F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss")) if "time_text" in table.columns else table
         if "time_text" in table.columns:
-            table = table.withColumn("time", F.coalesce("time", "time_text"))
+            # A text time that cannot be read is shown as it is.
+            iso = F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss")
+            table = table.withColumn("time", F.coalesce(iso, "time_text"))
         return table.select(*shown, "value", "z_score", *[ref(c) for c in order_by])
 
     return bundle.result(

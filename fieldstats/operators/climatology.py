@@ -19,8 +19,7 @@ _STATS = ("mean", "std", "min", "max")
 
 def _complete(stats: DataFrame, dimension: DataFrame, *keys: str) -> DataFrame:
     """Every member of a fixed dimension, those without rows with a zero count."""
-    joined = dimension.join(F.broadcast(stats), list(keys), "left")
-    return joined.select(*keys, *_STATS, F.coalesce("count", F.lit(0)).alias("count"))
+    return dimension.join(F.broadcast(stats), list(keys), "left").select(*keys, *_STATS, F.coalesce("count", F.lit(0)).alias("count"))
 
 
 def month_groups(rows: DataFrame) -> DataFrame:

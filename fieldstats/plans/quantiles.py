@@ -24,7 +24,7 @@ FIRST_GRID = 512
 # Up to this many rows the whole range is used instead of a bracket.
 SMALL = 2_000
 # Most distinct values that the brackets of one column may hold in the exact pass.
-KEPT_VALUES = 10_000_000
+KEPT_VALUES = 1_000_000
 NARROW_GRID = 4096
 _ATTEMPTS = 4
 

@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 
 def connect(app_name: str = "fieldstats", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with UTC calendar maths and adaptive execution; ``conf`` uses ``_`` for ``.``-free keys as given."""
+    """A session with UTC calendar maths and adaptive execution; more settings as ``**{"spark.key": "value"}``."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
