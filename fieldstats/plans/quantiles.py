@@ -1,7 +1,7 @@
 """Exact quantiles of unbounded columns.
 
 The built-in exact ``percentile`` keeps every distinct value in one buffer, which does not survive a column with
-billions of them. Here a sketch brackets each wanted quantile first. The exact pass then counts the distinct values
+billions of them. Here a sketch of a sample brackets each wanted quantile first. The exact pass then counts the distinct values
 inside the brackets, and everything between two brackets as one group, with an ordinary (partial, spilling) group-by;
 a running count over that small table finds the order statistics. The groups between brackets carry exact counts,
 so a bracket that misses its quantile shows, and is replaced by the whole range. When a bracket may hold too many
@@ -43,37 +43,30 @@ class _Bracket:
         self.low, self.high, self.rows = self.floor, self.ceiling, rows
 
 
-def _sketch_share(df: DataFrame) -> float:
-    """Share of the rows to sketch, from the planner's size estimate; a wrong estimate costs time, not exactness."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= 1 << 60:  # the planner does not know
-        return 1.0
-    rows = size / (8 * max(len(df.columns), 1))
-    return min(1.0, SKETCH_ROWS / max(rows, 1.0))
-
-
 def _even_steps(count: int) -> Column:
     """0 to 1 in ``count`` equal steps, as one parsed constant rather than thousands of literal columns."""
     return F.expr("array(" + ",".join(f"{g / count!r}D" for g in range(count + 1)) + ")")
 
 
-def sketched(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[Column]]:
-    """The table and the aggregates of the first pass, to be put into whatever ``agg`` already runs over it."""
-    share = _sketch_share(df)
-    if share < 1:
-        df = df.withColumn("__seen", F.rand(7) < share)
-    grid = _even_steps(FIRST_GRID)
+def ranges(columns: Sequence[str]) -> list[Column]:
+    """Aggregates for the count and the ends of each column, to be put into whatever ``agg`` runs over them first."""
     out: list[Column] = []
     for i, name in enumerate(columns):
-        seen = F.when(F.col("__seen"), F.col(name)) if share < 1 else F.col(name)
-        out += [
-            F.count(name).alias(f"n_{i}"),
-            F.min(name).alias(f"low_{i}"),
-            F.max(name).alias(f"high_{i}"),
-            F.count(seen).alias(f"seen_{i}"),
-            F.percentile_approx(seen, grid, ACCURACY).alias(f"sketch_{i}"),
-        ]
-    return df, out
+        out += [F.count(name).alias(f"n_{i}"), F.min(name).alias(f"low_{i}"), F.max(name).alias(f"high_{i}")]
+    return out
+
+
+def _sketch(df: DataFrame, columns: Sequence[str], rows: int) -> Row:
+    """Evenly spaced approximate quantiles of a sample. Rows are dropped before the sketch sees them, so this pass costs
+    little more than reading."""
+    share = SKETCH_ROWS / max(rows, 1)
+    sample = df.where(F.rand(7) < share) if share < 1 else df
+    grid = _even_steps(FIRST_GRID)
+    parts: list[Column] = []
+    for i, name in enumerate(columns):
+        parts.append(F.count(name).alias(f"seen_{i}"))
+        parts.append(F.percentile_approx(name, grid, ACCURACY).alias(f"sketch_{i}"))
+    return sample.agg(*parts).head()
 
 
 def _aim(bracket: _Bracket, count: int, seen: int, sketch: Sequence[float] | None) -> None:
@@ -94,19 +87,21 @@ def finish(
     df: DataFrame,
     columns: Sequence[str],
     probabilities: Sequence[float],
-    first_pass: Row,
+    known: Row,
     kept_values: int = KEPT_VALUES,
 ) -> dict[str, list[float | None]]:
-    """Exact quantiles (linear interpolation) of NaN-free double columns, from the row of the first pass."""
-    counts = {name: first_pass[f"n_{i}"] for i, name in enumerate(columns)}
+    """Exact quantiles (linear interpolation) of NaN-free double columns, from a row with their ``ranges``."""
+    counts = {name: known[f"n_{i}"] for i, name in enumerate(columns)}
+    sketch = _sketch(df, columns, max(counts.values())) if max(counts.values()) > SMALL else None
     brackets: list[_Bracket] = []
     for i, name in enumerate(columns):
         if not counts[name]:
             continue
-        low, high = first_pass[f"low_{i}"], first_pass[f"high_{i}"]
+        low, high = known[f"low_{i}"], known[f"high_{i}"]
         for p in probabilities:
             bracket = _Bracket(name, p, low, high, counts[name], low, high)
-            _aim(bracket, counts[name], first_pass[f"seen_{i}"], first_pass[f"sketch_{i}"])
+            if sketch is not None:
+                _aim(bracket, counts[name], sketch[f"seen_{i}"], sketch[f"sketch_{i}"])
             brackets.append(bracket)
     found: dict[tuple[str, float], float] = {}
     for _ in range(_ATTEMPTS):
@@ -226,6 +221,5 @@ def exact_quantiles(
     probabilities: Sequence[float],
     kept_values: int = KEPT_VALUES,
 ) -> dict[str, list[float | None]]:
-    table, parts = sketched(df, columns)
-    first = table.agg(*parts).head()
-    return finish(df, columns, probabilities, first, kept_values)
+    known = df.agg(*ranges(columns)).head()
+    return finish(df, columns, probabilities, known, kept_values)

@@ -179,17 +179,15 @@ def test_a_missed_bracket_is_noticed_and_replaced(spark, monkeypatch):
     rng = np.random.default_rng(9)
     values = rng.normal(size=20_000)
     df = spark.createDataFrame(pd.DataFrame({"v": values}))
-    table, parts = quantiles.sketched(df, ["v"])
-    first = table.agg(*parts).head().asDict()
-    first["sketch_0"] = [9.0] * 513  # a sketch that is wrong everywhere
-    got = quantiles.finish(df, ["v"], (0.25, 0.5), first)["v"]
-    assert got == pytest.approx(list(np.quantile(values, (0.25, 0.5))))
-    got = quantiles.finish(df, ["v"], (0.25, 0.5), first, 500)["v"]
-    assert got == pytest.approx(list(np.quantile(values, (0.25, 0.5))))
+    want = pytest.approx(list(np.quantile(values, (0.25, 0.5))))
     # A sketch from a small sample only aims; the result stays exact.
-    monkeypatch.setattr(quantiles, "_sketch_share", lambda df: 0.2)
-    assert quantiles.exact_quantiles(df, ["v"], (0.25, 0.5))["v"] == pytest.approx(got)
-    assert quantiles.exact_quantiles(df, ["v"], (0.25, 0.5), 300)["v"] == pytest.approx(got)
+    monkeypatch.setattr(quantiles, "SKETCH_ROWS", 4000)
+    assert quantiles.exact_quantiles(df, ["v"], (0.25, 0.5))["v"] == want
+    assert quantiles.exact_quantiles(df, ["v"], (0.25, 0.5), 300)["v"] == want
+    # A sketch that is wrong everywhere is noticed by the counts.
+    monkeypatch.setattr(quantiles, "_sketch", lambda *a: {"seen_0": 20_000, "sketch_0": [9.0] * 513})
+    assert quantiles.exact_quantiles(df, ["v"], (0.25, 0.5))["v"] == want
+    assert quantiles.exact_quantiles(df, ["v"], (0.25, 0.5), 500)["v"] == want
 
 
 def test_correlation_of_shifted_and_sparse_columns(spark):
