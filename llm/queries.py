@@ -7,9 +7,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm.bpe import encode_documents
-from llm.common import table
+from llm.common import shared_folder, table
+from llm.fingerprint_blocks import document_fingerprints
 from llm.mixing import mix_counts
+from llm.projected_ann import nearest
+from llm.secret_spans import secret_spans
 from llm.simhash_variants import near_duplicates
+from llm.toxicity import toxicity
+from llm.url_alias import judge
+from llm.warc import archive_round_trip
+
+#: Host, path and verdict of the URL rules.
+RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
 def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
@@ -20,13 +39,40 @@ def op4_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), words=3, radius=2)
 
 
+def op5_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
+def op6_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return document_fingerprints(table(spark, folder, "documents"))
+
+
+def op7_secret_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_spans(table(spark, folder, "documents"))
+
+
+def op8_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    return archive_round_trip(table(spark, folder, "pages"), shared_folder(spark, "warc"))
+
+
 def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return encode_documents(table(spark, folder, "documents"), path, public_tokenizers.PATTERN, with_ids=False)
 
 
+def op10_url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    return judge(table(spark, folder, "pages"), spark.createDataFrame(RULES, "host string, path string, verdict string"))
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_mix_sources": op2_mix_sources,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_nearest_vectors": op5_nearest_vectors,
+    "op6_document_fingerprints": op6_document_fingerprints,
+    "op7_secret_spans": op7_secret_spans,
+    "op8_warc_revisits": op8_warc_revisits,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_url_verdicts": op10_url_verdicts,
 }
