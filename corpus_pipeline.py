@@ -6,12 +6,42 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from llm.bpe import encode_documents
-from llm.common import saved
+from llm.common import ref, saved, table
 from llm.mixing import mixed
+from llm.pii import replaced
+from llm.queries import SURROGATE_KEY
+from llm.simhash_variants import near_duplicates
+from llm.toxicity import without_toxic
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Stands for a null id in joins.
+NO_ID = -(1 << 63)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the models trained on ``labels`` do not call toxic."""
+    return without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-copies the document with the smallest id, one row of it. Rows with a null id stay unless their group has another."""
+    named = saved(near_duplicates(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("kept"), "component_id"))
+    kept = named.where(F.col("kept") == F.coalesce("component_id", F.lit(NO_ID))).groupBy("kept").agg(F.count(F.lit(1)).alias("n"))
+    kept = saved(kept)
+    rows = docs.join(kept, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("kept"))
+    single = rows.where("n = 1").select(*[ref(c) for c in docs.columns])
+    if kept.where("n > 1").isEmpty():
+        return single
+    repeated = docs.join(kept.where("n > 1"), F.coalesce("doc_id", F.lit(NO_ID)) == F.col("kept")).dropDuplicates(["kept"])
+    return single.unionByName(repeated.select(*[ref(c) for c in docs.columns]))
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Surrogates instead of personal data; ``n_chars`` follows the new text."""
+    return replaced(docs, SURROGATE_KEY)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,6 +55,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("drop_toxic", drop_toxic),
+    ("drop_near_copies", drop_near_copies),
+    ("replace_personal_data", replace_personal_data),
     ("mix_sources", mix_sources),
     ("encode", encode),
 ]
@@ -35,7 +68,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what a stage keeps is saved in the shared checkpoint folder before the next reads it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:

@@ -10,6 +10,7 @@ from llm.bpe import encode_documents
 from llm.common import shared_folder, table
 from llm.fingerprint_blocks import document_fingerprints
 from llm.mixing import mix_counts
+from llm.pii import surrogates
 from llm.projected_ann import nearest
 from llm.secret_spans import secret_spans
 from llm.simhash_variants import near_duplicates
@@ -17,6 +18,9 @@ from llm.toxicity import toxicity
 from llm.url_alias import judge
 from llm.warc import archive_round_trip
 
+#: A secret in production; here it only has to be the same on every run.
+SURROGATE_KEY = b"example key"
+
 #: Host, path and verdict of the URL rules.
 RULES = [
     ("org", "/", "allow"),
@@ -35,6 +39,10 @@ def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mix_counts(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken", "repeats")
 
 
+def op3_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    return surrogates(table(spark, folder, "documents"), SURROGATE_KEY)
+
+
 def op4_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), words=3, radius=2)
 
@@ -68,6 +76,7 @@ def op10_url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_mix_sources": op2_mix_sources,
+    "op3_pii_surrogates": op3_pii_surrogates,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_nearest_vectors": op5_nearest_vectors,
     "op6_document_fingerprints": op6_document_fingerprints,
