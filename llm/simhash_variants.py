@@ -17,7 +17,7 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 #: Shingles whose bits are unpacked at once.
 _AT_ONCE = 1 << 16
 #: Fingerprints of one signature that are compared with each other; larger groups are cut by further segments.
-GROUP = 128
+GROUP = 1024
 
 
 def fingerprint(text: bytes, words: int, seed: int = 42) -> int:
@@ -119,11 +119,15 @@ def _verified(radius: int):
         columns = [a.view(np.int64), b.view(np.int64), trail.view(np.int64), spent.view(np.int64)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "trail", "spent"])
 
+    def divisible(spent: np.ndarray) -> np.ndarray:
+        """Enough open bits that each further segment keeps one after a deletion; fewer bits tell few fingerprints apart."""
+        return 64 - np.bitwise_count(spent).astype(int) >= 2 * (radius // 2 + 1)
+
     def closed(key, value, spent) -> Iterator[pa.RecordBatch]:
         """The runs of equal keys in these rows are whole."""
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[start, len(key)])
-        crowded = np.repeat(size > GROUP, size)
+        crowded = np.repeat(size > GROUP, size) & divisible(spent)
         if crowded.any():
             yield rows(value[crowded], value[crowded], key[crowded], spent[crowded])
         small = ~crowded
@@ -154,7 +158,7 @@ def _verified(radius: int):
             done, held = [x[:open_from] for x in now], [x[open_from:] for x in now]
             if len(done[0]):
                 yield from closed(*done)
-            if len(held[0]) > GROUP:
+            if len(held[0]) > GROUP and divisible(held[2][:1])[0]:
                 hot = held[0][0]
                 yield rows(held[1], held[1], held[0], held[2])
                 held = None
@@ -171,7 +175,7 @@ def near_links(prints: DataFrame, radius: int = 2) -> DataFrame:
     signature that leaves this bit out. Signatures meet in one shuffle and are compared in sorted order, batch by batch. A
     signature with over ``GROUP`` fingerprints is not compared but cut again: its members get signatures of the remaining
     bits under the same rule, which can differ in no more bits than the whole, until groups are small. Each level
-    settles nearly half of the bits that are left, and 7 bits tell ``GROUP`` fingerprints apart, so this ends after a few levels.
+    settles nearly half of the bits that are left, so this ends after a few levels.
     """
     level, todo, found = 0, prints.select("fp").distinct(), None
     while True:
