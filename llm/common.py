@@ -23,6 +23,13 @@ def ref(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, longer if the table has such a column."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def saved(df: DataFrame) -> DataFrame:
     """The rows written to the shared checkpoint folder and read from there: the plan behind them is cut, and a lost
     executor costs no recomputation."""

@@ -59,7 +59,7 @@ def _ranked(sources: DataFrame) -> DataFrame:
 
 
 def _marked(docs: DataFrame, seed: int, id_col: str, source_col: str, text_col: str) -> DataFrame:
-    """Adds the struct ``__mix``: id, source, size and the key that orders the documents of a source."""
+    """The row as ``__row`` and the struct ``__mix``: id, source, size and the key that orders the documents of a source."""
     text, own = ref(text_col).cast("string"), ref(id_col).cast("string")
     key = F.xxhash64(F.lit(seed), own, F.coalesce(F.xxhash64(text), F.lit(0)))
     mark = F.struct(
@@ -69,7 +69,7 @@ def _marked(docs: DataFrame, seed: int, id_col: str, source_col: str, text_col:
         key.alias("key"),
         F.shiftrightunsigned(key, 64 - (SLICES.bit_length() - 1)).alias("slice"),
     )
-    return docs.withColumn("__mix", mark)
+    return docs.select(F.struct(*[ref(c) for c in docs.columns]).alias("__row"), mark.alias("__mix"))
 
 
 def _facts(slim: DataFrame, cycle: tuple[float, ...], max_epochs: float) -> DataFrame:
@@ -158,5 +158,5 @@ def mixed(
     those of the edge slices."""
     rows = _marked(docs, seed, id_col, source_col, text_col)
     out = _repeated(rows, _facts(saved(rows.select("__mix")), cycle, max_epochs)).where(F.col("__repeats") > 0)
-    out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__repeats").cast("int"))))
-    return out.select(*[ref(c) for c in docs.columns])
+    out = out.select("__row", F.explode(F.sequence(F.lit(1), F.col("__repeats").cast("int"))))
+    return out.select(*[F.col("__row")[c].alias(c) for c in docs.columns])

@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import ref, saved
+from llm.common import ref, saved, unused
 
 _EMAIL = re.compile(r"(?<![\w.+-])([A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?)@((?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24})(?![\w-])")
 _IPV4 = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)", re.ASCII)
@@ -279,8 +279,8 @@ def _replaced(key: bytes, text: Column, retries: Column | None, sent: dict[tuple
     return F.arrow_udf(joined, "text string, n_entities bigint, kinds string")(text, retries)
 
 
-def with_surrogates(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the personal data in the text replaced, and a struct ``__pii`` of text, n_entities and kinds (``kind:count``, comma-joined).
+def with_surrogates(docs: DataFrame, key: bytes, name: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with a further column ``name``, a struct of the text without personal data, n_entities and kinds (``kind:count``, comma-joined).
 
     Entities: e-mail addresses, phone numbers, IPv4 addresses, card numbers, IBANs, US social security numbers, and names behind a form of address.
     Each becomes a surrogate of its type, made from a keyed hash of its normal form, so one entity has one surrogate in all
@@ -297,25 +297,27 @@ def with_surrogates(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_co
     count = retries.count()
     if count <= SENT_RETRIES:
         sent = {(r["kind"], r["norm"]): r["attempt"] for r in retries.collect()}
-        return docs.withColumn("__pii", _replaced(key, text, None, sent))
+        return docs.withColumn(name, _replaced(key, text, None, sent))
     mark = F.xxhash64(text)
     pairs = docs.select(mark.alias("m"), F.explode(entities(text)).alias("e")).select("m", "e.kind", "e.norm").distinct()
-    lists = pairs.join(retries, ["kind", "norm"]).groupBy("m").agg(F.collect_list(F.struct("kind", "norm", "attempt")).alias("__retries"))
-    rows = docs.withColumn("__mark", mark).join(lists, F.col("__mark") == F.col("m"), "left")
-    return rows.withColumn("__pii", _replaced(key, text, F.col("__retries"), {})).drop("__mark", "m", "__retries")
+    mine, its, own = (unused(docs, n) for n in ("__mark", "__its_mark", "__retries"))
+    lists = pairs.join(retries, ["kind", "norm"]).groupBy(F.col("m").alias(its)).agg(F.collect_list(F.struct("kind", "norm", "attempt")).alias(own))
+    rows = docs.withColumn(mine, mark).join(lists, F.col(mine) == F.col(its), "left")
+    return rows.withColumn(name, _replaced(key, text, F.col(own), {})).drop(mine, its, own)
 
 
 def surrogates(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of ``docs``: the id, the text with surrogates, n_entities and kinds; see ``with_surrogates``."""
-    rows = with_surrogates(docs.select(ref(id_col).alias(id_col), ref(text_col).alias(text_col)), key, id_col, text_col)
-    return rows.select(ref(id_col), F.col("__pii.text").alias("text"), F.col("__pii.n_entities").alias("n_entities"), F.col("__pii.kinds").alias("kinds"))
+    rows = with_surrogates(docs.select(ref(id_col).alias(id_col), ref(text_col).alias(text_col)), key, "__pii", text_col)
+    return rows.select(ref(id_col), *[F.col("__pii")[n].alias(n) for n in ("text", "n_entities", "kinds")])
 
 
-def replaced(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+def replaced(docs: DataFrame, key: bytes, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with the texts replaced, the same columns in the same order; ``length_col``, if there, is the length of the new text."""
-    rows = with_surrogates(docs, key, id_col, text_col)
-    new = {text_col: F.col("__pii.text")}
+    name = unused(docs, "__pii")
+    rows = with_surrogates(docs, key, name, text_col)
+    new = {text_col: F.col(name)["text"]}
     if length_col in docs.columns:
         kind = dict(docs.dtypes)[length_col]
-        new[length_col] = F.length("__pii.text").cast(kind)
+        new[length_col] = F.length(F.col(name)["text"]).cast(kind)
     return rows.select(*[new[c].alias(c) if c in new else ref(c) for c in docs.columns])
