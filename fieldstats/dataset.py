@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from fieldstats import fixed
 from fieldstats.functions.calendar import frequency as frequency_code
-from fieldstats.functions.coerce import bounded, ref, require_times, timestamp
+from fieldstats.functions.coerce import ref, require_times, timestamp
+from fieldstats.functions.options import option
 from fieldstats.model import Result, Roles
 from fieldstats.operators import registry
 from fieldstats.operators.aggregate import check_aggregations, temporal_aggregation, value_columns
@@ -146,7 +147,9 @@ class Dataset:
 
     def preview(self, order_by: Sequence[str], limit: object = None, offset: int = 0) -> DataFrame:
         """Rows ``offset`` to ``offset + limit`` of an order; NaN is shown as NULL."""
-        size = int(bounded(limit, fixed.PREVIEW_ROWS, int))
+        size = int(option(limit, fixed.PREVIEW_ROWS, whole=True))
+        if isinstance(limit, int) and limit > size:
+            raise ValueError(f"A preview has at most {fixed.PREVIEW_ROWS[2]} rows; write the table to read more.")
         if offset < 0:
             raise ValueError("The offset must not be negative.")
         return sinks.page(self.df(), order_by, size, offset)

@@ -15,9 +15,7 @@ TEMPERATURE_HINTS = ("temp", "temperature")
 PRECIPITATION_HINTS = ("precip", "rain")
 
 # Role inference.
-DATETIME_SAMPLE_ROWS = 200
 DATETIME_MIN_SHARE = 0.8
-DEFAULT_VARIABLE_COUNT = 8
 
 # File suffix -> format.
 FILE_FORMATS = {
@@ -73,13 +71,9 @@ LOW_QUANTILE = (0.05, 0.001, 0.5)
 HOUR_OFFSET = (0.0, -14.0, 14.0)
 HISTOGRAM_BINS = (50, 10, 100)
 Z_THRESHOLD = 2.0
-ANOMALY_LIST_ROWS = 500
-PERIOD_PREVIEW_ROWS = 1000
 FOREST_TREES = 200
 FORECAST_LAGS = 6
 FORECAST_HORIZON = 12
-MAP_POINTS = 5000
-RASTER_POINTS = 300_000
 GRID_LAT_BINS = 45
 GRID_LON_BINS = 90
 PREVIEW_ROWS = (100, 1, 1000)

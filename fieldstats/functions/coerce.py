@@ -48,11 +48,17 @@ def number_expr(column: Column, data_type: T.DataType) -> Column:
 
 
 def time_expr(column: Column, data_type: T.DataType, pattern: str | None = None) -> Column:
-    """UTC timestamp, with bad text as NULL. Plain numbers count nanoseconds since 1970."""
+    """UTC timestamp, with bad text as NULL. Plain numbers count nanoseconds since 1970.
+
+    Text is read cell by cell: by ``pattern`` if there is one, else as an ISO form or by the first listed pattern that fits.
+    """
     if isinstance(data_type, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return column.cast("timestamp")
     if isinstance(data_type, (T.StringType, T.VarcharType, T.CharType)):
-        return F.try_to_timestamp(column, F.lit(pattern)) if pattern else column.try_cast("timestamp")
+        if pattern:
+            return F.try_to_timestamp(column, F.lit(pattern))
+        forms = [F.try_to_timestamp(column, F.lit(p)) for p in fixed.DATETIME_PATTERNS]
+        return F.coalesce(column.try_cast("timestamp"), *forms)
     if isinstance(data_type, T.IntegralType):
         return F.timestamp_micros(F.floor(column / F.lit(1000)).cast("long"))
     if isinstance(data_type, T.NumericType):
@@ -73,28 +79,8 @@ def present(df: DataFrame, name: str) -> Column:
     return column.isNotNull()
 
 
-def time_pattern(df: DataFrame, name: str) -> str | None:
-    """One pattern for a text column, chosen from its first value; NULL means the ISO forms."""
-    if not isinstance(field_type(df, name), (T.StringType, T.VarcharType, T.CharType)):
-        return None
-    column = ref(name)
-    probes = [column.try_cast("timestamp").isNotNull().alias("iso")]
-    probes += [
-        F.try_to_timestamp(column, F.lit(p)).isNotNull().alias(f"p{i}")
-        for i, p in enumerate(fixed.DATETIME_PATTERNS)
-    ]
-    first = df.where(column.isNotNull()).select(*probes).head(1)
-    if not first or first[0]["iso"]:
-        return None
-    for i, pattern in enumerate(fixed.DATETIME_PATTERNS):
-        if first[0][f"p{i}"]:
-            return pattern
-    return None
-
-
 def timestamp(df: DataFrame, name: str, pattern: str | None = None) -> Column:
-    data_type = field_type(df, name)
-    return time_expr(ref(name), data_type, pattern if pattern else time_pattern(df, name))
+    return time_expr(ref(name), field_type(df, name), pattern)
 
 
 def require_times(df: DataFrame, name: str) -> None:
@@ -106,13 +92,3 @@ def require_times(df: DataFrame, name: str) -> None:
 def naive(column: Column) -> Column:
     """UTC timestamp without a zone, the form every output table uses."""
     return column.cast("timestamp_ntz")
-
-
-def bounded(value: object, limits: tuple[float, float, float], kind: type = float) -> float:
-    """A user option: parsed, or the default, then moved into its bounds."""
-    default, lowest, highest = limits
-    try:
-        parsed = kind(value)
-    except (TypeError, ValueError):
-        parsed = default
-    return min(max(parsed, lowest), highest)

@@ -92,9 +92,9 @@ class Result:
         return [*self._facts, *self._records]
 
     def primary(self) -> DataFrame:
-        """The one table that stands for the result in an export."""
+        """The one table that stands for the result in an export: the first listed one that has rows, else the matrix, else the facts."""
         for name in fixed.PRIMARY_TABLES:
-            if name in self._records:
+            if name in self._records and not self[name].isEmpty():
                 return self[name]
         if "matrix" in self._records:
             return self["matrix"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fieldstats import fixed
 from fieldstats.functions.calendar import frequency as frequency_code
 from fieldstats.functions.calendar import period_date, periods_from
-from fieldstats.functions.coerce import number, numeric_columns, timestamp
+from fieldstats.functions.coerce import number, numeric_columns, ref, timestamp
 from fieldstats.model import Roles
 from fieldstats.plans.periods import midnight
 from fieldstats.session import use_utc
@@ -39,23 +39,19 @@ def check_aggregations(names: Sequence[str]) -> list[str]:
 def value_columns(
     df: DataFrame, time: str, columns: Sequence[str] | None, roles: Roles | None, verify: bool = True
 ) -> list[str]:
-    """The columns to aggregate. ``verify`` drops those without a single numeric value; each test stops at the
-    first value found, so only a column without any is read to its end."""
+    """The columns to aggregate. ``verify`` drops those without a single numeric value, found in one scan."""
     wanted = list(columns or ()) or list(roles.variables if roles else ()) or numeric_columns(df)
     known = [c for c in wanted if c in df.columns and c != time]
-    if verify:
-        known = [c for c in known if df.select(number(df, c).alias("v")).where("v is not null").head(1)]
+    if verify and known:
+        found = df.agg(*[F.count(number(df, c)).alias(f"n{i}") for i, c in enumerate(known)]).head()
+        known = [c for i, c in enumerate(known) if found[i]]
     if not known:
         raise ValueError("There is no numeric value column to aggregate.")
     return known
 
 
 def aggregate_columns(columns: Sequence[str], aggregations: Sequence[str]) -> list[Column]:
-    return [
-        _FUNCTIONS[a](F.col(f"`{c}`")).alias(f"{c}_{a}")
-        for a in aggregations
-        for c in columns
-    ]
+    return [_FUNCTIONS[a](ref(c)).alias(f"{c}_{a}") for a in aggregations for c in columns]
 
 
 def fill_gaps(table: DataFrame, outputs: Sequence[str], zeroed: Sequence[str], code: str) -> DataFrame:
@@ -69,7 +65,7 @@ def fill_gaps(table: DataFrame, outputs: Sequence[str], zeroed: Sequence[str], c
         "__label", F.explode(periods_from(F.col("period"), F.col("__next"), code))
     )
     own = F.col("__label") == F.col("period")
-    cells = [F.when(own, F.col(f"`{c}`")) for c in outputs]
+    cells = [F.when(own, ref(c)) for c in outputs]
     filled = [F.coalesce(v, F.lit(0)) if c in zeroed else v for c, v in zip(outputs, cells)]
     return listed.select(F.col("__label").alias("period"), *[v.alias(c) for c, v in zip(outputs, filled)])
 
@@ -95,14 +91,17 @@ def temporal_aggregation(
     code = frequency_code(frequency)
     aggregations = check_aggregations(aggregations)
     columns = value_columns(df, time, columns, roles, verify)
-    outputs = [f"{c}_{a}" for a in aggregations for c in columns]
+    # Names of our own until the end, so that a value column may be called anything.
+    inner = [f"c{i}" for i in range(len(columns))]
+    outputs = [f"{c}_{a}" for a in aggregations for c in inner]
     rows = df.select(
-        period_date(timestamp(df, time), code).alias("period"), *[number(df, c).alias(c) for c in columns]
+        period_date(timestamp(df, time), code).alias("period"), *[number(df, c).alias(i) for c, i in zip(columns, inner)]
     ).where(F.col("period").isNotNull())
-    table = rows.groupBy("period").agg(*aggregate_columns(columns, aggregations))
-    zeroed = [f"{c}_{a}" for a in aggregations for c in columns if a in ("sum", "count")]
+    table = rows.groupBy("period").agg(*aggregate_columns(inner, aggregations))
+    zeroed = [f"{c}_{a}" for a in aggregations for c in inner if a in ("sum", "count")]
     if zeroed:
         table = fill_gaps(table, outputs, zeroed, code)
     else:
-        table = table.dropna("all", subset=[f"`{c}`" if "." in c else c for c in outputs])
-    return table.select(midnight(F.col("period")).alias("period_start"), *[F.col(f"`{c}`") for c in outputs])
+        table = table.dropna("all", subset=outputs)
+    named = [f"{c}_{a}" for a in aggregations for c in columns]
+    return table.select(midnight(F.col("period")).alias("period_start"), *[F.col(o).alias(n) for o, n in zip(outputs, named)])

@@ -63,10 +63,10 @@ def anomaly_detection(
     roles: Roles | None = None,
     z_threshold: float = fixed.Z_THRESHOLD,
     order_by: Sequence[str] = (),
-    limit: int | None = fixed.ANOMALY_LIST_ROWS,
+    limit: int | None = None,
     checked: bool = False,
 ) -> Result:
-    """``anomalies`` lists the first ``limit`` anomalous rows in ``order_by`` order (scan order without one);
+    """``anomalies`` lists the anomalous rows, with a ``limit`` the first of them in ``order_by`` order (scan order without one);
     ``summary`` counts all of them, and ``all_anomalies`` holds all of them."""
     roles = roles or Roles()
     time, target = time or roles.time, target or roles.target

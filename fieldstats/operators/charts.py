@@ -122,10 +122,10 @@ def map_points(
     longitude: str | None = None,
     value: str | None = None,
     roles: Roles | None = None,
-    max_points: int | None = fixed.MAP_POINTS,
+    max_points: int | None = None,
     order_by: Sequence[str] = (),
 ) -> DataFrame:
-    """``(lat, lon, value)`` of complete rows, at most ``max_points`` of them, evenly spaced."""
+    """``(lat, lon, value)`` of complete rows: all, or at most ``max_points`` of them, evenly spaced."""
     roles = roles or Roles()
     latitude, longitude = latitude or roles.latitude, longitude or roles.longitude
     value = value or roles.target
@@ -154,7 +154,7 @@ def anomaly_graph(
     roles: Roles | None = None,
     z_threshold: float = fixed.Z_THRESHOLD,
 ) -> DataFrame:
-    """Every point, rounded to 6 places, flagged when it is anomalous. Without a time, ``x`` is the row number."""
+    """Every point, rounded to 6 places, flagged when it is anomalous; values that are all equal raise. Without a time, ``x`` is the row number."""
     roles = roles or Roles()
     value, time = value or roles.target, time or roles.time
     if not value or value not in df.columns:
@@ -164,9 +164,8 @@ def anomaly_graph(
         rows = value_rows(df, value, time).select(F.col("time").alias("x"), "value")
     else:
         rows = with_row_index(value_rows(df, value), (), "x")
-    scored = with_z_score(rows, spread(rows))
-    return scored.select(
-        "x",
-        F.round("value", 6).alias("value"),
-        F.coalesce(is_anomaly(F.col("z_score"), z_threshold), F.lit(False)).alias("is_anomaly"),
-    )
+    facts = spread(rows).head()
+    if not facts["std"]:
+        raise ValueError("The values are all equal or missing, so none can be an anomaly.")
+    z = (F.col("value") - F.lit(facts["mean"])) / F.lit(facts["std"])
+    return rows.select("x", F.round("value", 6).alias("value"), F.coalesce(is_anomaly(z, z_threshold), F.lit(False)).alias("is_anomaly"))

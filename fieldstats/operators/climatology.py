@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldstats import fixed
 from fieldstats.functions import calendar
-from fieldstats.functions.coerce import bounded
+from fieldstats.functions.options import option
 from fieldstats.model import Result, Roles
 from fieldstats.operators.common import Bundle
 from fieldstats.plans import periods
@@ -159,7 +159,7 @@ def diurnal_cycle(
     """Hour-of-day statistics, overall and per season, from one scan into 96 groups."""
     roles = roles or Roles()
     time, target = time or roles.time, target or roles.target
-    offset = bounded(timezone_offset_hours, fixed.HOUR_OFFSET)
+    offset = option(timezone_offset_hours, fixed.HOUR_OFFSET)
     bundle = Bundle(checked)
     groups = bundle.hold(hour_groups(series(df, time, target), offset))
     bundle.require_coverage(groups, periods=False)

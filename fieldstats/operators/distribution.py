@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldstats import fixed
 from fieldstats.functions import bins as binning
 from fieldstats.functions.calendar import decade, decade_label
-from fieldstats.functions.coerce import bounded
+from fieldstats.functions.options import option
 from fieldstats.model import Result, Roles
 from fieldstats.operators.common import Bundle
 from fieldstats.plans import periods
@@ -104,7 +104,7 @@ def decadal_distributions(
 ) -> Result:
     roles = roles or Roles()
     time, target = time or roles.time, target or roles.target
-    count = bounded(bins, fixed.HISTOGRAM_BINS, int)
+    count = int(option(bins, fixed.HISTOGRAM_BINS, whole=True))
     bundle = Bundle(checked)
     groups = bundle.hold(periods.period_groups(series(df, time, target), "D"))
     bundle.require_coverage(groups)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldstats import fixed
-from fieldstats.functions.coerce import bounded
+from fieldstats.functions.options import option
 from fieldstats.model import Result, Roles
 from fieldstats.operators.common import Bundle
 from fieldstats.operators.trend import year_line
@@ -75,8 +75,8 @@ def extreme_events(
 ) -> Result:
     roles = roles or Roles()
     time, target = time or roles.time, target or roles.target
-    high = bounded(high_quantile, fixed.HIGH_QUANTILE)
-    low = bounded(low_quantile, fixed.LOW_QUANTILE)
+    high = option(high_quantile, fixed.HIGH_QUANTILE)
+    low = option(low_quantile, fixed.LOW_QUANTILE)
     if low >= high:
         raise ValueError(f"The low quantile ({low}) must be below the high one ({high}).")
     bundle = Bundle(checked)

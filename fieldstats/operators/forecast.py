@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import calendar
 from collections.abc import Sequence
+from dataclasses import dataclass
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
@@ -18,7 +19,52 @@ from fieldstats.plans.rowindex import number_rows
 from fieldstats.plans.series import clean, series
 from fieldstats.session import use_utc
 
-_SAMPLE = 500
+
+@dataclass(frozen=True)
+class Spacing:
+    """How the times of a series follow each other, over all its rows."""
+
+    rows: int
+    gap: timedelta | None  # if all gaps are equal
+    months: int | None  # between neighbours, if equal everywhere and the clock time is too
+    month_starts: bool
+    month_ends: bool
+    weekdays: bool  # every weekday once, at one clock time
+    increasing: bool
+
+
+def spacing(indexed: DataFrame, block_rows: int | None = None) -> Spacing:
+    """One aggregate row over each time and the one before it; ``indexed`` has ``row_index`` and ``time``."""
+    moments = indexed.select("row_index", naive(F.col("time")).alias("t"))
+    pairs = lagged(moments, "t", 1, block_rows=block_rows)
+    t, before = F.col("t"), F.col("lag_1")
+    micros = F.unix_micros(t.cast("timestamp"))
+    gap = micros - F.unix_micros(before.cast("timestamp"))
+    clock = F.pmod(micros, F.lit(86_400_000_000))
+    months = (F.year(t) - F.year(before)) * 12 + F.month(t) - F.month(before)
+    jump = F.floor(gap / F.lit(86_400_000_000)) == F.when(F.weekday(before) == 4, 3).otherwise(1)
+    row = pairs.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.min(gap).alias("least"),
+        F.max(gap).alias("most"),
+        (F.min(clock) == F.max(clock)).alias("one_clock"),
+        F.min(months).alias("fewest"),
+        F.max(months).alias("months"),
+        F.bool_and(F.dayofmonth(t) == 1).alias("starts"),
+        F.bool_and(F.to_date(t) == F.last_day(t)).alias("ends"),
+        F.bool_and((F.weekday(t) < 5) & F.coalesce(jump, F.lit(True))).alias("weekdays"),
+    ).head()
+    even = row["least"] is not None and row["least"] == row["most"]
+    whole = bool(row["one_clock"]) and row["fewest"] == row["months"] and bool(row["months"])
+    return Spacing(
+        row["rows"],
+        timedelta(microseconds=row["least"]) if even else None,
+        row["months"] if whole else None,
+        bool(row["starts"]),
+        bool(row["ends"]),
+        bool(row["one_clock"] and row["weekdays"] and not even),
+        row["least"] is not None and row["least"] > 0,
+    )
 
 
 def time_series_forecasting(
@@ -34,7 +80,7 @@ def time_series_forecasting(
     """Regression of each value on the ``lags`` rows before it, run forward ``horizon`` steps.
 
     Rows are numbered in time order and lagged in overlapping blocks; the fit is one aggregate row. Only the last
-    ``lags`` values and the first 500 times reach the driver.
+    ``lags`` values, one row of sums and one about the spacing reach the driver.
     """
     roles = roles or Roles()
     time, target = time or roles.time, target or roles.target
@@ -46,9 +92,10 @@ def time_series_forecasting(
     if total <= lags + fixed.FORECAST_EXTRA_ROWS:
         raise ValueError(f"More than {lags + fixed.FORECAST_EXTRA_ROWS} rows are needed, found {total}.")
     names = [f"lag_{k}" for k in range(1, lags + 1)]
-    ends = indexed.where((F.col("row_index") < _SAMPLE) | (F.col("row_index") >= total - max(lags, 1)))
+    ends = indexed.where(F.col("row_index") >= total - max(lags, 1))
     known = sorted(ends.select("row_index", naive(F.col("time")).alias("time"), "value").collect())
-    centre = dict.fromkeys([*names, "value"], sum(r["value"] for r in known) / len(known))
+    mean = gram.centres(indexed, ["value"])["value"]
+    centre = dict.fromkeys([*names, "value"], mean)
     history = lagged(indexed, "value", lags, block_rows=block_rows).dropna(subset=names)
     model = gram.fit(history, names, "value", centre)
     recent = [r["value"] for r in known[::-1][:lags]]  # newest first
@@ -57,7 +104,7 @@ def time_series_forecasting(
         following = model.intercept + sum(w * v for w, v in zip(model.coefficients, recent))
         steps.append(following)
         recent = [following, *recent][:lags] if lags else recent
-    future = extend_times([r["time"] for r in known if r["row_index"] < _SAMPLE], known[-1]["time"], horizon)
+    future = extend_times(spacing(indexed, block_rows), known[-1]["time"], horizon)
     spark = df.sparkSession
 
     def forecast() -> DataFrame:
@@ -88,46 +135,25 @@ def _keyed_series(df: DataFrame, time: str, target: str, order_by: Sequence[str]
     return df.select(timestamp(df, time).alias("time"), number(df, target).alias("value"), *keys)
 
 
-def _month_end(t: datetime) -> bool:
-    return t.day == calendar.monthrange(t.year, t.month)[1]
-
-
 def _add_months(t: datetime, months: int, at_end: bool) -> datetime:
     year, month = divmod(t.year * 12 + t.month - 1 + months, 12)
     day = calendar.monthrange(year, month + 1)[1] if at_end else 1
     return t.replace(year=year, month=month + 1, day=day)
 
 
-def extend_times(sample: Sequence[datetime], last: datetime, steps: int) -> list[datetime] | None:
-    """``steps`` times after ``last`` at the spacing seen in ``sample``; NULL when there is no regular spacing.
+def extend_times(seen: Spacing, last: datetime, steps: int) -> list[datetime] | None:
+    """``steps`` times after ``last`` at the spacing of the series; NULL when it has no regular one.
 
     Whole months, quarters and years are stepped on the calendar, weekdays skip weekends, anything else needs one
     constant gap.
     """
-    if len(sample) < 3 or len(set(sample)) < len(sample):
+    if seen.rows < 3 or not seen.increasing:
         return None
-    gaps = {b - a for a, b in zip(sample, sample[1:])}
-    clock = {t.time() for t in sample}
-    if len(clock) == 1:
-        counted = {(b.year - a.year) * 12 + b.month - a.month for a, b in zip(sample, sample[1:])}
-        for at_end, fits in ((False, all(t.day == 1 for t in sample)), (True, all(map(_month_end, sample)))):
-            if fits and len(counted) == 1 and counted != {0}:
-                stride = counted.pop()
-                start = last
-                on_grid = _month_end(last) if at_end else last.day == 1
-                if not on_grid:
-                    start = _add_months(last, 0 if at_end else 1, at_end)
-                return [_add_months(start, stride * k, at_end) for k in range(1, steps + 1)]
-        weekdays = all(t.weekday() < 5 for t in sample)
-        jumps = all((b - a).days == (3 if a.weekday() == 4 else 1) for a, b in zip(sample, sample[1:]))
-        if len(gaps) > 1 and weekdays and jumps:
-            out, moment = [], last
-            while len(out) < steps:
-                moment += timedelta(days=1)
-                if moment.weekday() < 5:
-                    out.append(moment)
-            return out
-    if len(gaps) == 1:
-        gap = gaps.pop()
-        return [last + gap * k for k in range(1, steps + 1)]
+    if seen.months and (seen.month_starts or seen.month_ends):
+        return [_add_months(last, seen.months * k, not seen.month_starts) for k in range(1, steps + 1)]
+    if seen.weekdays:
+        days = (last + timedelta(days=k) for k in range(1, 2 * steps + 8))
+        return [d for d in days if d.weekday() < 5][:steps]
+    if seen.gap is not None:
+        return [last + seen.gap * k for k in range(1, steps + 1)]
     return None

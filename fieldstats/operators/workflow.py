@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldstats import fixed
 from fieldstats.functions.calendar import decade, frequency, season, season_order
-from fieldstats.functions.coerce import bounded
+from fieldstats.functions.options import option
 from fieldstats.model import Result, Roles
 from fieldstats.operators.baseline import baseline_facts, mark_baseline, month_baseline, period_anomalies
 from fieldstats.operators.common import Bundle
@@ -48,14 +48,16 @@ def decade_summary(table: DataFrame) -> DataFrame:
     )
 
 
-def period_preview(table: DataFrame, size: int = fixed.PERIOD_PREVIEW_ROWS) -> DataFrame:
-    """At most ``size`` periods, evenly spaced. The table is calendar-bounded, so a plain row number is enough."""
+def period_preview(table: DataFrame, size: int | None = None) -> DataFrame:
+    """All periods, or at most ``size`` of them, evenly spaced. The table is calendar-bounded, so a plain row number is enough."""
     numbered = table.select(
         "*",
         (F.row_number().over(Window.orderBy("period")) - 1).alias("__row"),
         F.count(F.lit(1)).over(periods.whole()).alias("__total"),
     )
-    taken = (F.col("__total") <= size) | takes_row(F.col("__row"), F.col("__total"), size)
+    taken = F.lit(True)
+    if size is not None:
+        taken = (F.col("__total") <= size) | takes_row(F.col("__row"), F.col("__total"), size)
     return numbered.where(taken).select(
         periods.midnight(F.col("period")).alias("time"),
         "mean",
@@ -77,12 +79,13 @@ def climate_workflow(
     high_quantile: object = None,
     low_quantile: object = None,
     checked: bool = False,
+    preview_rows: int | None = None,
 ) -> Result:
     roles = roles or Roles()
     time, target = time or roles.time, target or roles.target
     code = frequency(aggregation_frequency)
-    high = bounded(high_quantile, fixed.HIGH_QUANTILE)
-    low = bounded(low_quantile, fixed.LOW_QUANTILE)
+    high = option(high_quantile, fixed.HIGH_QUANTILE)
+    low = option(low_quantile, fixed.LOW_QUANTILE)
     rows = series(df, time, target)
     bundle = Bundle(checked)
     groups = bundle.hold(periods.period_groups(rows, code))
@@ -121,7 +124,7 @@ def climate_workflow(
                 "year", F.col("high_days").alias("high_count"), F.col("low_days").alias("low_count")
             ),
             "decadal_distribution": lambda: decade_summary(table),
-            "aggregated_preview": lambda: period_preview(table),
+            "aggregated_preview": lambda: period_preview(table, preview_rows),
         },
         info={"time_column": time, "target_column": target, "aggregation_frequency": code},
     )

@@ -9,8 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-CENTRE_ROWS = 200
+from fieldstats.functions.coerce import ref
 
 
 @dataclass(frozen=True)
@@ -23,22 +22,18 @@ class LinearFit:
     def predict(self) -> Column:
         expr = F.lit(self.intercept)
         for name, weight in zip(self.features, self.coefficients):
-            expr = expr + F.col(f"`{name}`") * F.lit(weight)
+            expr = expr + ref(name) * F.lit(weight)
         return expr
 
 
-def sample_centre(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
-    """Rough means from the first few rows; ``take`` reads no further than it must.
+def centres(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    """The mean of each column over all rows, 0 without values; one aggregate row.
 
     Sums of products are taken around them, so that little cancels. Plain sums compile to tight code, which
     the built-in covariance aggregates, many at a time, do not.
     """
-    rows = df.select(*[F.col(f"`{c}`") for c in columns]).take(CENTRE_ROWS)
-    centre: dict[str, float] = {}
-    for i, c in enumerate(columns):
-        known = [r[i] for r in rows if r[i] is not None]
-        centre[c] = sum(known) / len(known) if known else 0.0
-    return centre
+    row = df.agg(*[F.avg(ref(c)).alias(f"m{i}") for i, c in enumerate(columns)]).head()
+    return {c: row[i] or 0.0 for i, c in enumerate(columns)}
 
 
 def fit(
@@ -47,13 +42,14 @@ def fit(
     """Ordinary least squares on rows without NULLs.
 
     One scan gives the (p+1)² sums of products, whatever the number of rows; only that small matrix is solved on the
-    driver. Dependent features get the solution of least norm. ``centre`` gives rough means, to save the sample.
+    driver. Dependent features get the solution of least norm. ``centre`` gives the means, to save a scan.
     """
     names = [*features, target]
-    centre = centre or sample_centre(df, names)
-    slim = df.select(*[(F.col(f"`{c}`") - F.lit(centre[c])).alias(f"x{i}") for i, c in enumerate(names)])
+    centre = centre or centres(df, names)
+    slim = df.select(*[(ref(c) - F.lit(centre[c])).alias(f"x{i}") for i, c in enumerate(names)])
     parts: list[Column] = [F.count(F.lit(1)).alias("n")]
     parts += [F.sum(f"x{i}").alias(f"s_{i}") for i in range(len(names))]
+    parts += [(F.min(f"x{i}") < F.max(f"x{i}")).alias(f"v_{i}") for i in range(len(names))]
     for i in range(len(names)):
         for j in range(i, len(names)):
             parts.append(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p_{i}_{j}"))
@@ -64,8 +60,9 @@ def fit(
     means = np.array([row[f"s_{i}"] / n for i in range(p + 1)])
     products = np.array([[row[f"p_{min(i, j)}_{max(i, j)}"] / n for j in range(p + 1)] for i in range(p + 1)])
     moments = products - np.outer(means, means)
-    # A spread within rounding of zero is a constant column.
-    spread = np.where(np.diag(moments) > 1e-13 * np.diag(products), np.diag(moments), 0.0)
+    # A constant column has no spread, whatever rounding left of it.
+    varies = np.array([bool(row[f"v_{i}"]) for i in range(p + 1)])
+    spread = np.where(varies, np.maximum(np.diag(moments), 0.0), 0.0)
     # Scale to unit variance first: features may differ by many orders of magnitude.
     scale = np.sqrt(spread[:p])
     usable = scale > 0
@@ -80,8 +77,8 @@ def fit(
 
 def metrics(scored: DataFrame, target: str, prediction: str = "prediction") -> DataFrame:
     """One row: R², RMSE and the number of scored rows."""
-    error = F.pow(F.col(f"`{target}`") - F.col(prediction), 2)
-    total = F.var_pop(f"`{target}`") * F.count(F.lit(1))
+    error = F.pow(ref(target) - F.col(prediction), 2)
+    total = F.var_pop(ref(target)) * F.count(F.lit(1))
     return scored.agg(
         F.when(total == 0, F.when(F.sum(error) == 0, 1.0).otherwise(0.0))
         .otherwise(1 - F.try_divide(F.sum(error), total))

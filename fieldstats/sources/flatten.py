@@ -88,5 +88,5 @@ def flatten_raster(
     )
     if max_points is not None:
         order = [*order_by, "__pos"] if order_by else []
-        points = systematic_sample(points, min(max_points, fixed.RASTER_POINTS), order)
+        points = systematic_sample(points, max_points, order)
     return points.drop("__pos")

@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 from fieldstats import fixed
 from fieldstats.functions.coerce import ref
 
+#: The folders of years in partitioned output; not a column of the table.
+YEAR_FOLDER = "fieldstats_year"
+
 _ARRAY_FORMATS = {
     "netcdf": "flatten_grid",
     "grib": "flatten_grid",
@@ -32,21 +35,26 @@ def read_table(
     are in a table, ``flatten_grid`` and ``flatten_raster`` take over."""
     kind = format or detect_format(path)
     if kind == "parquet":
-        return spark.read.parquet(path)
+        return spark.read.parquet(path).drop(YEAR_FOLDER)
     if kind == "csv":
         return read_csv(spark, path, schema)
     hint = f" Load its arrays into a table and use {_ARRAY_FORMATS[kind]}." if kind in _ARRAY_FORMATS else ""
     raise ValueError(f"'{kind}' files are not read directly.{hint}")
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """CSV with a header row.
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = True
+) -> DataFrame:
+    """CSV with a header row. Quoted cells may hold line breaks; a file is then read by one task. Where no cell does,
+    ``multi_line=False`` splits large files; a line that is not a whole record then raises.
 
     Without a ``schema`` the types are inferred over the whole file in one scan, with every missing-value token as
     NULL: all-integer columns are bigint (double when cells are missing), numeric ones double, True/False boolean,
     the rest text.
     """
-    options = {"header": True, "quote": '"', "escape": '"', "multiLine": False}
+    options = {"header": True, "quote": '"', "escape": '"', "multiLine": multi_line}
+    if not multi_line:
+        options["mode"] = "FAILFAST"
     if schema is not None:
         return null_tokens(spark.read.options(**options).schema(schema).csv(path))
     text = null_tokens(spark.read.options(**options).csv(path))

@@ -10,16 +10,17 @@ from pyspark.sql import types as T
 
 from fieldstats.functions.coerce import ref, timestamp
 from fieldstats.model import Result
+from fieldstats.sources.readers import YEAR_FOLDER
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists", year_of: str | None = None) -> None:
-    """Parquet; with ``year_of`` (a time column), one folder per year, so that date filters skip files."""
-    writer = df
-    if year_of:
-        writer = df.withColumn("year", F.year(timestamp(df, year_of)))
-        writer.write.mode(mode).partitionBy("year").parquet(path)
-    else:
-        writer.write.mode(mode).parquet(path)
+    """Parquet; with ``year_of`` (a time column), one folder per year. ``read_table`` leaves the folder's column out."""
+    if not year_of:
+        df.write.mode(mode).parquet(path)
+        return
+    if YEAR_FOLDER in df.columns:
+        raise ValueError(f"'{YEAR_FOLDER}' names the folders of years; rename the column.")
+    df.withColumn(YEAR_FOLDER, F.year(timestamp(df, year_of))).write.mode(mode).partitionBy(YEAR_FOLDER).parquet(path)
 
 
 def csv_ready(df: DataFrame) -> DataFrame:

@@ -85,8 +85,8 @@ FROM lineitem""")
 
 sql("temporal_agg_daily", """
 SELECT date_trunc('day', l_shipdate)::TIMESTAMP AS period_start,
-       round(avg(l_quantity) + 0.0000033, 4) AS l_quantity_mean,
-       round(avg(l_extendedprice) + 0.0000033, 4) AS l_extendedprice_mean,
+       round(avg(l_quantity), 7) AS l_quantity_mean,
+       round(avg(l_extendedprice), 7) AS l_extendedprice_mean,
        round(min(l_quantity), 4) AS l_quantity_min, round(min(l_extendedprice), 4) AS l_extendedprice_min,
        round(max(l_quantity), 4) AS l_quantity_max, round(max(l_extendedprice), 4) AS l_extendedprice_max,
        round(max(l_quantity) - min(l_quantity), 4) AS l_quantity_range,
@@ -111,15 +111,20 @@ WITH d AS (
   FROM orders GROUP BY 1),
 spine AS (SELECT unnest(generate_series((SELECT min(p) FROM d), (SELECT max(p) FROM d), INTERVAL 1 DAY)) AS p)
 SELECT spine.p AS period_start, round(coalesce(s, 0), 4) AS o_totalprice_sum, coalesce(n, 0) AS o_totalprice_count,
-       round(m + 0.0000033, 4) AS o_totalprice_mean
+       round(m, 7) AS o_totalprice_mean
 FROM spine LEFT JOIN d ON spine.p = d.p""")
 sql("temporal_agg_gapfill_monthly", """
 WITH d AS (
-  SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS p, max(o_totalprice) AS m, count(*) AS n
-  FROM orders WHERE o_totalprice > 499000 GROUP BY 1),
+  SELECT date_trunc('month', DATE '1995-01-31' + CAST(o_orderkey % 40 * 61 AS INTEGER))::TIMESTAMP AS p, max(o_totalprice) AS m,
+         count(*) AS n
+  FROM orders GROUP BY 1),
 spine AS (SELECT unnest(generate_series((SELECT min(p) FROM d), (SELECT max(p) FROM d), INTERVAL 1 MONTH)) AS p)
 SELECT last_day(spine.p)::TIMESTAMP AS period_start, round(m, 4) AS o_totalprice_max, coalesce(n, 0) AS o_totalprice_count
 FROM spine LEFT JOIN d ON spine.p = d.p""")
+sql("temporal_agg_mixed_text", """
+SELECT last_day(o_orderdate)::TIMESTAMP AS period_start, round(max(o_totalprice), 4) AS o_totalprice_max,
+       count(*) AS o_totalprice_count
+FROM orders WHERE o_orderkey % 7 >= 2 GROUP BY 1""")
 sql("derived_dataset", """
 SELECT date_trunc('day', ts)::TIMESTAMP AS period_start, round(avg(value), 6) AS value_mean,
        round(avg(value + 10), 6) AS value_shifted_mean, round(max(value) - min(value), 6) AS value_range,
@@ -145,6 +150,14 @@ sql("describe_orders", _describe("orders", ("o_totalprice", "o_custkey")))
 sql("corr_long", " UNION ALL ".join(
     f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr({a}, {b}), 6) AS r FROM lineitem"
     for a in _MEASURES for b in _MEASURES))
+_HOLES = {
+    "l_quantity": "l_quantity", "l_extendedprice": "CASE WHEN l_extendedprice > 2000 THEN l_extendedprice END",
+    "l_discount": "CASE WHEN l_discount > 0.04 THEN l_discount END", "l_tax": "CASE WHEN l_tax > 0.02 THEN l_tax END",
+    "late": "CASE WHEN l_orderkey > 500 THEN l_quantity END",  # a constant more or less does not matter
+}
+sql("corr_incomplete", " UNION ALL ".join(
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr({x}, {y}), 6) AS r FROM lineitem"
+    for a, x in _HOLES.items() for b, y in _HOLES.items()))
 sql("corr_matrix", " UNION ALL ".join(
     f"SELECT '{a}' AS \"column\", " + ", ".join(f"round(corr({a}, {b}), 6) AS {b}" for b in _MEASURES)
     + " FROM lineitem" for a in _MEASURES))
@@ -391,7 +404,7 @@ pick AS (
 sql("workflow_preview", f"""
 WITH {DAYS}, numbered AS (SELECT *, row_number() OVER (ORDER BY period) - 1 AS i FROM days),
 {spaced('SELECT count(*) FROM days', 1000)}
-SELECT period AS time, round(mean + 0.0000033, 4) AS mean, round(lo, 4) AS min, round(hi, 4) AS max, round(hi - lo, 4) AS range, n AS count
+SELECT period AS time, round(mean, 7) AS mean, round(lo, 4) AS min, round(hi, 4) AS max, round(hi - lo, 4) AS range, n AS count
 FROM numbered JOIN pick USING (i)""")
 
 # --- z-scores ---------------------------------------------------------------------------------------------
@@ -404,6 +417,8 @@ WITH {Z} SELECT event_id, time, round(value, 6) AS value, round(z_score, 6) AS z
 sql("zscore_listing", f"""
 WITH {Z} SELECT time, round(value, 6) AS value, round(z_score, 6) AS z_score, event_id FROM z
 WHERE abs(z_score) >= 1.5 ORDER BY event_id LIMIT 500""")
+sql("zscore_listing_whole", f"""
+WITH {Z} SELECT time, round(value, 6) AS value, round(z_score, 6) AS z_score, event_id FROM z WHERE abs(z_score) >= 2""")
 sql("zscore_summary", f"""
 WITH {Z} SELECT 1.5::DOUBLE AS z_threshold, round(mean, 6) AS mean, round(std, 6) AS std,
   (SELECT count(*) FROM z WHERE abs(z_score) >= 1.5) AS anomaly_count FROM m""")
@@ -467,10 +482,10 @@ sql("recipe_arith", """
 SELECT p_partkey, p_size, round(p_size * 2.5::DOUBLE, 6) AS multiply_constant, round(p_size / 4::DOUBLE, 6) AS divide_constant,
        round(p_size + 100::DOUBLE, 6) AS add_constant, round(p_size - 0.75::DOUBLE, 6) AS subtract_constant
 FROM part""")
-for _name, _reach in (("recipe_rolling_mean", 6), ("recipe_rolling_mean_long", 364)):
+for _name, _reach, _digits in (("recipe_rolling_mean", 6, 7), ("recipe_rolling_mean_long", 364, 9)):
     sql(_name, f"""
 SELECT event_id, ts, round(value, 4) AS value,
-       round(avg(value) OVER (ORDER BY ts, event_id ROWS BETWEEN {_reach} PRECEDING AND CURRENT ROW) + 0.0000033, 4) AS rolled
+       round(avg(value) OVER (ORDER BY ts, event_id ROWS BETWEEN {_reach} PRECEDING AND CURRENT ROW), {_digits}) AS rolled
 FROM events""")
 sql("recipe_day_mean", """
 SELECT event_id, ts, round(value, 6) AS value,
@@ -536,7 +551,7 @@ sql("infer_roles_text", literal_roles([
 
 
 
-def grid(lat_bins: int, lon_bins: int) -> str:
+def grid(lat_bins: int, lon_bins: int, value: str = "l_extendedprice") -> str:
     """Cell means ``means(lat_bin, lon_bin, value)`` of right-closed equal-width bins, the minimum in bin 0."""
 
     def axis(name: str, low: str, high: str, bins: int) -> str:
@@ -549,18 +564,19 @@ def grid(lat_bins: int, lon_bins: int) -> str:
 b AS (SELECT min(l_quantity) AS alo, max(l_quantity) AS ahi, min(l_discount) AS olo, max(l_discount) AS ohi FROM lineitem),
 {axis('lat', 'alo', 'ahi', lat_bins)}, {axis('lon', 'olo', 'ohi', lon_bins)},
 placed AS (
-  SELECT lat_bin, lon_bin, l_extendedprice AS v FROM lineitem
+  SELECT lat_bin, lon_bin, {value} AS v FROM lineitem
   JOIN lat ON (l_quantity > lat.lft OR (lat_bin = 0 AND l_quantity = lat.lft)) AND l_quantity <= lat.rgt
   JOIN lon ON (l_discount > lon.lft OR (lon_bin = 0 AND l_discount = lon.lft)) AND l_discount <= lon.rgt),
 means AS (SELECT lat_bin, lon_bin, avg(v) AS value FROM placed GROUP BY 1, 2)"""
 
 
-sql("spatial_grid", f"""
-WITH {grid(12, 8)}
-SELECT lat.lat_bin, lon.lon_bin, round(coalesce(value, 0) + 0.0000033, 4) AS value
+for _name, _bins, _digits in (("spatial_grid", (12, 8), 7), ("spatial_grid_default", (45, 90, "l_partkey"), 8)):
+    sql(_name, f"""
+WITH {grid(*_bins)}
+SELECT lat.lat_bin, lon.lon_bin, round(coalesce(value, 0), {_digits}) AS value
 FROM lat CROSS JOIN lon LEFT JOIN means ON means.lat_bin = lat.lat_bin AND means.lon_bin = lon.lon_bin""")
 _columns = ", ".join(
-    f"round(coalesce(max(value) FILTER (WHERE lon_bin = {i}), 0) + 0.0000033, 4) AS lon_{i}" for i in range(4)
+    f"round(coalesce(max(value) FILTER (WHERE lon_bin = {i}), 0), 7) AS lon_{i}" for i in range(4)
 )
 sql("spatial_grid_matrix", f"""
 WITH {grid(6, 4)} SELECT lat.lat_bin, {_columns} FROM lat LEFT JOIN means ON means.lat_bin = lat.lat_bin GROUP BY 1""")

@@ -24,7 +24,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORDERS = ("o_orderdate", "o_totalprice")
 EVENTS = ("ts", "value")
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-NUDGE = 0.0000033
+#: Digits of means of cents: a tie there would take a count that 64 divides.
+MEAN_DIGITS = 7
 BASELINE = {"baseline_start": "1996-01-01", "baseline_end": "1998-12-31"}
 
 
@@ -47,11 +48,6 @@ def rounded(df: DataFrame, digits: int = 4, **special: int) -> DataFrame:
     )
 
 
-def nudged(df: DataFrame, *columns: str) -> DataFrame:
-    """Moves means of few cent amounts off the exact halves where two engines may round apart."""
-    return df.withColumns({c: F.col(c) + F.lit(NUDGE) for c in columns})
-
-
 # --- trends over years and over time points ---------------------------------------------------------------
 
 
@@ -124,7 +120,7 @@ def temporal_agg_daily(spark, d):
         table(spark, d, "lineitem"), "l_shipdate", ["l_quantity", "l_extendedprice"], "daily",
         ["mean", "min", "max", "range"],
     )
-    return rounded(nudged(days, "l_quantity_mean", "l_extendedprice_mean"))
+    return rounded(days, l_quantity_mean=MEAN_DIGITS, l_extendedprice_mean=MEAN_DIGITS)
 
 
 @query
@@ -151,15 +147,25 @@ def temporal_agg_gapfill(spark, d):
     # Days without an order are listed, with sum and count 0.
     orders = table(spark, d, "orders")
     days = aggregate.temporal_aggregation(orders, "o_orderdate", ["o_totalprice"], "D", ["sum", "count", "mean"])
-    return rounded(nudged(days, "o_totalprice_mean"))
+    return rounded(days, o_totalprice_mean=MEAN_DIGITS)
 
 
 @query
 def temporal_agg_gapfill_monthly(spark, d):
-    # Only some months hold an order this dear.
-    orders = table(spark, d, "orders")
-    dear = orders.where(F.col("o_totalprice") > 499000)
-    return rounded(aggregate.temporal_aggregation(dear, "o_orderdate", ["o_totalprice"], "ME", ["max", "count"]))
+    # Every order, at a time that only some months have.
+    sparse = F.date_add(F.lit("1995-01-31").cast("date"), (F.col("o_orderkey") % 40 * 61).cast("int"))
+    orders = table(spark, d, "orders").withColumn("due", sparse)
+    return rounded(aggregate.temporal_aggregation(orders, "due", ["o_totalprice"], "ME", ["max", "count"]))
+
+
+@query
+def temporal_agg_mixed_text(spark, d):
+    # Times as text in two forms, the first and many other cells not being times.
+    text = F.when(F.col("o_orderkey") % 7 < 2, F.lit("unknown")).when(
+        F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "M/d/yyyy")
+    ).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    orders = table(spark, d, "orders").withColumn("placed", text)
+    return rounded(aggregate.temporal_aggregation(orders, "placed", ["o_totalprice"], "ME", ["max", "count"]))
 
 
 @query
@@ -193,6 +199,21 @@ def corr_long(spark, d):
     return relate.correlation(table(spark, d, "lineitem"), MEASURES)["pairs"]
 
 
+def _incomplete(spark, d):
+    """Measures with NULLs in different rows, one with a large mean and NULL in the first ones."""
+    late = F.when(F.col("l_orderkey") > 500, F.col("l_quantity") + 1.7e9)
+    items = table(spark, d, "lineitem").withColumn("late", late)
+    holes = {"l_discount": 0.04, "l_tax": 0.02, "l_extendedprice": 2000.0}
+    return items.withColumns(
+        {c: F.when(F.col(c) > low, F.col(c)) for c, low in holes.items()}
+    ).select(*MEASURES, "late")
+
+
+@query
+def corr_incomplete(spark, d):
+    return relate.correlation(_incomplete(spark, d), [*MEASURES, "late"])["pairs"]
+
+
 @query
 def corr_matrix(spark, d):
     return relate.correlation(table(spark, d, "lineitem"), MEASURES)["matrix"]
@@ -343,9 +364,9 @@ def decadal_summary(spark, d):
 # --- the combined workflow ----------------------------------------------------------------------------------
 
 
-def _workflow(spark, d, frequency="D"):
+def _workflow(spark, d, frequency="D", **options):
     return workflow.climate_workflow(
-        table(spark, d, "orders"), *ORDERS, aggregation_frequency=frequency, **BASELINE
+        table(spark, d, "orders"), *ORDERS, aggregation_frequency=frequency, **BASELINE, **options
     )
 
 
@@ -401,7 +422,7 @@ def workflow_decade(spark, d):
 
 @query
 def workflow_preview(spark, d):
-    return rounded(nudged(_workflow(spark, d)["aggregated_preview"], "mean"))
+    return rounded(_workflow(spark, d, preview_rows=1000)["aggregated_preview"], mean=MEAN_DIGITS)
 
 
 # --- z-score anomalies --------------------------------------------------------------------------------------
@@ -416,11 +437,17 @@ def zscore_anomalies(spark, d):
 @query
 def zscore_listing(spark, d):
     result = anomaly.anomaly_detection(
-        table(spark, d, "events"), "value", "ts", z_threshold=1.5, order_by=["event_id"]
+        table(spark, d, "events"), "value", "ts", z_threshold=1.5, order_by=["event_id"], limit=500
     )
     return rounded(result["anomalies"], 6)
 
 
+@query
+def zscore_listing_whole(spark, d):
+    result = anomaly.anomaly_detection(table(spark, d, "events"), "value", "ts", order_by=["event_id"])
+    return rounded(result["anomalies"], 6)
+
+
 @query
 def zscore_summary(spark, d):
     result = anomaly.anomaly_detection(table(spark, d, "events"), "value", "ts", z_threshold=1.5)
@@ -451,7 +478,7 @@ def ols_metrics(spark, d):
 def forest_importance(spark, d):
     result = models.random_forest_regression(
         table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"],
-        n_estimators=20, max_depth=5, split_key=["l_orderkey", "l_linenumber"],
+        n_estimators=200, max_depth=5, split_key=["l_orderkey", "l_linenumber"],
     )
     return result["feature_importance"]
 
@@ -512,13 +539,13 @@ def recipe_arith(spark, d):
 @query
 def recipe_rolling_mean(spark, d):
     events = table(spark, d, "events").select("event_id", "ts", "value")
-    return rounded(nudged(recipes.rolling_column(events, "value", "ts", 7, "rolled", ["event_id"]), "rolled"))
+    return rounded(recipes.rolling_column(events, "value", "ts", 7, "rolled", ["event_id"]), rolled=MEAN_DIGITS)
 
 
 @query
 def recipe_rolling_mean_long(spark, d):
     events = table(spark, d, "events").select("event_id", "ts", "value")
-    return rounded(nudged(recipes.rolling_column(events, "value", "ts", 365, "rolled", ["event_id"]), "rolled"))
+    return rounded(recipes.rolling_column(events, "value", "ts", 365, "rolled", ["event_id"]), rolled=9)
 
 
 @query
@@ -582,14 +609,21 @@ def infer_roles_text(spark, d):
 @query
 def spatial_grid(spark, d):
     grid = charts.spatial_grid(table(spark, d, "lineitem"), "l_quantity", "l_discount", "l_extendedprice", 12, 8)
-    return rounded(nudged(grid, "value"))
+    return rounded(grid, value=MEAN_DIGITS)
+
+
+@query
+def spatial_grid_default(spark, d):
+    # Sums of whole numbers are exact in any order.
+    grid = charts.spatial_grid(table(spark, d, "lineitem"), "l_quantity", "l_discount", "l_partkey")
+    return rounded(grid, value=8)
 
 
 @query
 def spatial_grid_matrix(spark, d):
     grid = charts.spatial_grid(table(spark, d, "lineitem"), "l_quantity", "l_discount", "l_extendedprice", 6, 4)
-    wide = charts.grid_matrix(nudged(grid, "value"), 4)
-    return rounded(wide.toDF("lat_bin", *[f"lon_{i}" for i in range(4)]))
+    wide = charts.grid_matrix(grid, 4)
+    return rounded(wide.toDF("lat_bin", *[f"lon_{i}" for i in range(4)]), MEAN_DIGITS)
 
 
 @query

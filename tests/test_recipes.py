@@ -156,7 +156,8 @@ def test_coordinates_by_range_and_default_variables(spark):
     df = spark.createDataFrame([tuple(float(i * 40) for i in range(12))], names)
     roles = infer_roles(df)
     assert roles.latitude == "c0" and roles.longitude == "c0"
-    assert roles.variables == tuple(f"c{i}" for i in range(1, 9))
+    assert roles.variables == tuple(f"c{i}" for i in range(1, 12))
+    assert infer_roles(df, variable_count=8).variables == tuple(f"c{i}" for i in range(1, 9))
 
 
 def test_later_time_hint_wins(spark):

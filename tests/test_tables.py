@@ -1,6 +1,6 @@
 """Resampling, models, charts, sources, sinks, datasets and streaming."""
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
@@ -9,16 +9,18 @@ from pyspark.sql import functions as F
 
 from fieldstats import ANALYSES, CHARTS, Dataset, Roles, analyze, chart, list_datasets
 from fieldstats.functions.calendar import frequency
+from fieldstats.functions.options import option
 from fieldstats.operators import charts
 from fieldstats.operators.aggregate import temporal_aggregation
-from fieldstats.operators.forecast import extend_times, time_series_forecasting
+from fieldstats.operators.forecast import extend_times, spacing, time_series_forecasting
 from fieldstats.operators.models import linear_regression, random_forest_regression
 from fieldstats.operators.trend import annual_trend_signal
 from fieldstats.operators.anomaly import anomaly_detection
 from fieldstats.operators.relate import correlation
+from fieldstats.operators.roles import infer_roles
 from fieldstats.sources.flatten import flatten_grid, flatten_raster
-from fieldstats.sources.readers import detect_format, read_table
-from fieldstats.sources.sinks import export_result, export_tables, page
+from fieldstats.sources.readers import detect_format, read_csv, read_table
+from fieldstats.sources.sinks import export_result, export_tables, page, write_parquet
 from fieldstats.sources.standardize import standardize
 from fieldstats.streaming.periods import stream_daily_aggregation
 from tests.conftest import rows
@@ -154,17 +156,23 @@ def test_forecast_needs_more_rows_than_lags(frame):
 
 
 @pytest.mark.parametrize("freq", ["D", "h", "15min", "MS", "ME", "YE", "YS", "QS", "QE", "B", "7D", "2MS"])
-def test_future_times_continue_the_spacing(freq):
+def test_future_times_continue_the_spacing(spark, freq):
     times = list(pd.date_range("2020-01-31", periods=40, freq=freq))
-    got = extend_times([t.to_pydatetime() for t in times[:30]], times[29].to_pydatetime(), 10)
+    got = extend_times(seen(spark, [t.to_pydatetime() for t in times[:30]]), times[29].to_pydatetime(), 10)
     assert got == [t.to_pydatetime() for t in times[30:]]
 
 
-def test_irregular_times_have_no_spacing():
+def seen(spark, times):
+    return spacing(spark.createDataFrame(list(enumerate(times)), "row_index bigint, time timestamp_ntz"), block_rows=7)
+
+
+def test_irregular_times_have_no_spacing(spark):
     times = [datetime(2024, 1, d) for d in (1, 2, 4, 9)]
-    assert extend_times(times, times[-1], 3) is None
-    assert extend_times(times[:2], times[1], 3) is None
-    assert extend_times([times[0]] * 3, times[0], 3) is None
+    assert extend_times(seen(spark, times), times[-1], 3) is None
+    assert extend_times(seen(spark, times[:2]), times[1], 3) is None
+    assert extend_times(seen(spark, [times[0]] * 3), times[0], 3) is None
+    late = [datetime(2024, 1, 1) + timedelta(days=d + (d > 700)) for d in range(800)]  # a gap far behind the start
+    assert extend_times(seen(spark, late), late[-1], 3) is None
 
 
 def test_spatial_grid_equals_cut(spark):
@@ -318,7 +326,8 @@ def test_dataset_round_trip(spark, frame, tmp_path):
     assert rows(data.df(["warm_day"]).distinct(), "warm_day") == [{"warm_day": 111.5}, {"warm_day": 121.5}]
     data.write(str(tmp_path / "p"), partition_by_year=True)
     again = Dataset.read(spark, str(tmp_path / "p"), "parquet")
-    assert again.df().count() == 48 and "year" in again.columns
+    assert again.df().count() == 48 and again.columns == data.columns
+    assert spark.read.parquet(str(tmp_path / "p")).where("fieldstats_year = 2024").count() == 48
     data.export_csv(str(tmp_path / "c"))
     assert spark.read.csv(str(tmp_path / "c"), header=True).count() == 48
     profile = rows(data.profile())[0]
@@ -372,3 +381,63 @@ def test_streamed_days_equal_the_batch_ones(spark, frame, tmp_path):
     got = rows(spark.table("days"), "period_start")
     want = rows(temporal_aggregation(spark.read.parquet(src), "observed_at", ["air_value"], "D", ["mean"]), "period_start")
     assert got == want and len(got) == 3
+
+
+def test_a_column_named_year_survives_partitioning(spark, tmp_path):
+    df = spark.createDataFrame([(datetime(2024, 5, 1), 1901.5)], "t timestamp_ntz, year double")
+    Dataset.from_df(df, name="y").set_roles(time="t", variables=["year"]).write(str(tmp_path / "y"), partition_by_year=True)
+    assert [r["year"] for r in read_table(spark, str(tmp_path / "y"), "parquet").collect()] == [1901.5]
+    with pytest.raises(ValueError, match="fieldstats_year"):
+        write_parquet(df.withColumn("fieldstats_year", F.lit(1)), str(tmp_path / "z"), year_of="t")
+
+
+def test_csv_cells_with_line_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,note\n1,"two\nlines"\n2,plain\n')
+    assert [tuple(r) for r in read_csv(spark, str(tmp_path / "a.csv")).orderBy("id").collect()] == [(1, "two\nlines"), (2, "plain")]
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|[Mm]alformed"):
+        read_csv(spark, str(tmp_path / "a.csv"), "id bigint, note string", multi_line=False).collect()
+
+
+def test_value_columns_may_have_any_name(spark):
+    df = spark.createDataFrame([(datetime(2024, 1, 1), 1.0, 2.0), (datetime(2024, 1, 3), 3.0, 4.0)], "t timestamp_ntz, period double, `a.b``c` double")
+    got = temporal_aggregation(df, "t", ["period", "a.b`c"], "D", ["mean", "count"])
+    assert got.columns == ["period_start", "period_mean", "a.b`c_mean", "period_count", "a.b`c_count"]
+    assert [tuple(r)[1:] for r in got.orderBy("period_start").collect()] == [(1.0, 2.0, 1, 1), (None, None, 0, 0), (3.0, 4.0, 1, 1)]
+
+
+def test_times_are_read_cell_by_cell(spark):
+    texts = ["unknown", *["1/1/2024"] * 20, "2024-01-02", "Jan 3, 2024", None]
+    df = spark.createDataFrame([(t, 1.0) for t in texts], "t string, v double")
+    got = temporal_aggregation(df, "t", ["v"], "D", ["count"])
+    assert [r["v_count"] for r in got.orderBy("period_start").collect()] == [20, 1, 1]
+    assert infer_roles(df).time == "t"
+    assert infer_roles(spark.createDataFrame([("x",)] * 300 + [("2024-01-01",)] * 100, "t string")).time is None
+
+
+def test_correlation_of_columns_that_are_incomplete(spark):
+    late = spark.range(2000, numPartitions=4).selectExpr("CASE WHEN id >= 400 THEN 1.7e9 + id END AS a", "CAST(2 * id AS DOUBLE) AS b", "1.0D AS c")
+    found = {(r["col_a"], r["col_b"]): r["r"] for r in correlation(late, ["a", "b", "c"])["pairs"].collect()}
+    assert found["a", "b"] == found["a", "a"] == 1.0 and found["a", "c"] is None and found["c", "c"] is None
+    draw = np.random.default_rng(3)
+    pdf = pd.DataFrame(draw.standard_normal((100, 30)), columns=[f"v{i}" for i in range(30)]).mask(draw.random((100, 30)) < 0.2)
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None).values.tolist(), ", ".join(f"v{i} double" for i in range(30)))
+    want = pdf.corr()
+    got = correlation(df, list(pdf.columns))["pairs"].collect()
+    assert all(r["r"] == pytest.approx(want.loc[r["col_a"], r["col_b"]], abs=1e-6) for r in got)
+
+
+def test_empty_lists_do_not_stand_for_a_result(frame):
+    df = frame(pd.DataFrame({"t": pd.date_range("2024-01-01", periods=9), "v": [1.0, 2.0] * 4 + [1.5]}))
+    assert "anomaly_count" in anomaly_detection(df, "v", "t", z_threshold=9).primary().columns
+    with pytest.raises(ValueError, match="equal"):
+        charts.anomaly_graph(df.withColumn("v", F.lit(1.0)), "v", "t")
+    with pytest.raises(ValueError, match="at most"):
+        Dataset.from_df(df, name="x").preview(["t"], 1001)
+
+
+@pytest.mark.parametrize(
+    ("value", "whole", "want"),
+    [(None, False, 5.0), ("7.5", False, 7.5), ("x", False, 5.0), (float("nan"), False, 5.0), (99, False, 10), (-1, True, 1), ("7", True, 7), ("7.5", True, 5), (7.9, True, 7), (float("inf"), True, 5)],
+)
+def test_options(value, whole, want):
+    assert option(value, (5.0, 1.0, 10.0), whole) == want
