@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from llm.common import ref, saved
 
 _END = "\r\n"
+#: Stands for a null id in joins.
+_NO_ID = -(1 << 63)
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payload bytes of one archive file, about; a reader holds a file at a time.
 FILE_BYTES = 32 << 20
@@ -51,7 +54,7 @@ def write_archives(
 
     A response holds an HTTP header and the payload; a revisit the HTTP header alone, and names the response. A null html is an empty
     payload; a null URL is written as one made from the id; control characters and blanks in URLs are left out. The row's id
-    goes along as an extension field. Spark's text writer puts the files in place, with its commit of finished tasks, and ends each
+    goes along as an extension field. Files are gzip-compressed as a whole. Spark's text writer puts them in place, with its commit of finished tasks, and ends each
     record with the two line breaks that the format asks for.
     """
     facts = saved(revisits(pages, least_bytes, id_col, html_col).distinct())
@@ -59,13 +62,14 @@ def write_archives(
     parts = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE_BYTES))
     payload = _payload(ref(html_col))
     rows = pages.select(
-        ref(id_col).cast("long").alias("p_id"),
+        F.coalesce(ref(id_col).cast("long"), F.lit(_NO_ID)).alias("p_id"),
         ref(url_col).cast("string").alias("p_url"),
         payload.alias("payload"),
         F.sha2(payload.cast("binary"), 256).alias("p_digest"),
     ).repartition(parts, "p_digest", "p_id")
-    same = (F.col("p_digest") == F.col("digest")) & F.col("p_id").eqNullSafe(F.col("id"))
-    rows = rows.join(facts, same)
+    # Plain equality, so that the join takes the rows as they have been dealt.
+    facts = facts.withColumn("f_id", F.coalesce("id", F.lit(_NO_ID)))
+    rows = rows.join(facts, (F.col("p_digest") == F.col("digest")) & (F.col("p_id") == F.col("f_id")))
     revisit = F.col("first").isNotNull()
     url = F.coalesce(F.regexp_replace("p_url", r"[\x00-\x20\x7f]", ""), F.concat(F.lit("urn:page:"), F.coalesce(F.col("id").cast("string"), F.lit("null"))))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{_END}Content-Type: text/html; charset=utf-8{_END}Content-Length: "), F.col("bytes").cast("string"), F.lit(_END * 2))
@@ -84,7 +88,7 @@ def write_archives(
         ("Content-Length", F.octet_length(block).cast("string")),
     ]
     lines = F.concat(F.lit(f"WARC/1.1{_END}"), *[F.coalesce(F.concat(F.lit(f"{k}: "), v, F.lit(_END)), F.lit("")) for k, v in fields])
-    rows.select(F.concat(lines, F.lit(_END), block).alias("value")).write.option("lineSep", _END * 2).text(folder)
+    rows.select(F.concat(lines, F.lit(_END), block).alias("value")).write.option("lineSep", _END * 2).option("compression", "gzip").text(folder)
 
 
 def parse_records(data: memoryview) -> Iterator[tuple[dict[str, str], memoryview]]:
@@ -116,7 +120,7 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = False)
             for file in batch["content"]:
                 out: list[list] = [[] for _ in names]
                 held = 0
-                for fields, block in parse_records(memoryview(file.as_py())):
+                for fields, block in parse_records(memoryview(gzip.decompress(file.as_py()))):
                     content = bytes(block)
                     if fields["WARC-Block-Digest"] != f"sha256:{hashlib.sha256(content).hexdigest()}":
                         raise ValueError(f"Wrong block digest in {fields['WARC-Record-ID']}")
