@@ -26,6 +26,11 @@ from fieldstats.sources.standardize import standardize
 _SUMMARY = "dataset_id string, name string, source_format string, created_at timestamp, row_count bigint, columns array<string>"
 
 
+# Analyses and charts that take every numeric column unless features are named, and those that choose a variable by name.
+_WIDE = ("descriptive_stats", "correlation", "linear_regression", "random_forest_regression", "scatter", "heatmap")
+_HINTED = ("temperature_trend", "precipitation_trend")
+
+
 @dataclass(frozen=True)
 class Dataset:
     """Immutable; changes return a new dataset over the same base table. Recipes are evaluated where they are read."""
@@ -77,6 +82,23 @@ class Dataset:
         slim = self.base.select(*[ref(c) for c in self.base.columns if c in needed])
         return apply_recipes(slim, used[::-1], self.roles).select(*[ref(c) for c in columns])
 
+    def _with(self, names: Iterable[object]) -> DataFrame:
+        """All columns of the base, and of the derived ones those that are named, with what they need."""
+        wanted = [c for c in self.derived_columns if c in set(names)]
+        return self.df([*self.base.columns, *wanted])
+
+    def _read_by(self, kind: str, options: dict[str, object]) -> DataFrame:
+        """The table for an analysis or chart: recipes run only for columns that its options or roles name. What takes all
+        numeric columns unless told otherwise gets all of them."""
+        named: list[object] = []
+        for value in options.values():
+            named += [value] if isinstance(value, str) else list(value) if isinstance(value, (list, tuple)) else []
+        if kind in _WIDE and not options.get("features"):
+            return self.df()
+        roles = self.mapping
+        picked = roles.variables if kind in _HINTED else (roles.target,)
+        return self._with([*named, roles.time, roles.latitude, roles.longitude, *picked])
+
     def set_roles(self, **roles: object) -> Dataset:
         return replace(self, roles=self.roles.override(**roles))
 
@@ -100,10 +122,10 @@ class Dataset:
         return known.where(~F.col("suggested_output").isin(self.columns)) if self.recipes else known
 
     def analyze(self, kind: str, checked: bool = True, **options: object) -> Result:
-        return registry.analyze(self.df(), kind, self.mapping, checked=checked, **options)
+        return registry.analyze(self._read_by(kind, options), kind, self.mapping, checked=checked, **options)
 
     def chart(self, kind: str, **options: object) -> DataFrame:
-        return registry.chart(self.df(), kind, self.mapping, **options)
+        return registry.chart(self._read_by(kind, options), kind, self.mapping, **options)
 
     def temporal_aggregation(
         self,
@@ -114,8 +136,9 @@ class Dataset:
         name: str | None = None,
     ) -> Dataset:
         """A new dataset with one row per period and a record of where it came from."""
-        source, code = self.df(), frequency_code(frequency)
+        code = frequency_code(frequency)
         time = time or self.mapping.time
+        source = self._with([time, *(columns or self.mapping.variables)])
         aggregations = check_aggregations(aggregations)
         columns = value_columns(source, time, columns, self.mapping) if time else None
         table = temporal_aggregation(source, time, columns, code, aggregations, self.mapping, verify=False)
@@ -141,8 +164,9 @@ class Dataset:
 
     def input_rows(self, time: str | None = None) -> DataFrame:
         """One row: rows read and rows with a usable time."""
-        source = self.df()
-        moment = timestamp(source, time or self.mapping.time)
+        time = time or self.mapping.time
+        source = self._with([time])
+        moment = timestamp(source, time)
         return source.agg(F.count(F.lit(1)).alias("input_rows"), F.count(moment).alias("valid_time_rows"))
 
     def preview(self, order_by: Sequence[str], limit: object = None, offset: int = 0) -> DataFrame:

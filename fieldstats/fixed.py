@@ -113,18 +113,18 @@ RECIPE_SUFFIXES = {
 
 # Unit spellings (lower case) -> (recipe operation, reason).
 UNIT_RECIPES = {
-    "k": ("kelvin_to_celsius", "unit metadata indicates Kelvin"),
-    "kelvin": ("kelvin_to_celsius", "unit metadata indicates Kelvin"),
-    "pa": ("pa_to_hpa", "unit metadata indicates Pascals"),
-    "pascal": ("pa_to_hpa", "unit metadata indicates Pascals"),
-    "pascals": ("pa_to_hpa", "unit metadata indicates Pascals"),
-    "m/s": ("ms_to_kmh", "unit metadata indicates meters per second"),
-    "m s-1": ("ms_to_kmh", "unit metadata indicates meters per second"),
-    "m s**-1": ("ms_to_kmh", "unit metadata indicates meters per second"),
-    "mps": ("ms_to_kmh", "unit metadata indicates meters per second"),
+    "k": ("kelvin_to_celsius", "its unit is kelvin"),
+    "kelvin": ("kelvin_to_celsius", "its unit is kelvin"),
+    "pa": ("pa_to_hpa", "its unit is pascal"),
+    "pascal": ("pa_to_hpa", "its unit is pascal"),
+    "pascals": ("pa_to_hpa", "its unit is pascal"),
+    "m/s": ("ms_to_kmh", "its unit is metre per second"),
+    "m s-1": ("ms_to_kmh", "its unit is metre per second"),
+    "m s**-1": ("ms_to_kmh", "its unit is metre per second"),
+    "mps": ("ms_to_kmh", "its unit is metre per second"),
 }
 KELVIN_NAME_SUFFIX = "_k"
-KELVIN_NAME_REASON = "column name suffix suggests Kelvin values"
+KELVIN_NAME_REASON = "its name ends like that of a kelvin column"
 
 # Tables tried in this order when one table has to stand for a whole result.
 PRIMARY_TABLES = ("summary", "monthly_pattern", "seasonal_pattern", "anomalies", "forecast")

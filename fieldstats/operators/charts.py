@@ -20,10 +20,11 @@ from fieldstats.plans.series import clean, series
 def time_series(
     df: DataFrame, time: str | None = None, value: str | None = None, roles: Roles | None = None
 ) -> DataFrame:
-    """``(time, value)`` in time order, values rounded to 6 places."""
+    """``(time, value)`` in time order, values rounded to 6 places. Equal times are ordered by value, which also spreads a
+    crowded time over several tasks."""
     roles = roles or Roles()
     rows = clean(series(df, time or roles.time, value or roles.target))
-    return rows.select(naive(F.col("time")).alias("time"), F.round("value", 6).alias("value")).orderBy("time")
+    return rows.select(naive(F.col("time")).alias("time"), F.round("value", 6).alias("value")).orderBy("time", "value")
 
 
 def scatter(

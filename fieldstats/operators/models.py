@@ -85,19 +85,22 @@ def random_forest_regression(
     features: Sequence[str] | None = None,
     roles: Roles | None = None,
     n_estimators: int = fixed.FOREST_TREES,
-    max_depth: int = 10,
+    max_depth: int = 30,
+    max_bins: int = 256,
+    rebalance: bool = False,
     held_out: Column | None = None,
     split_key: Sequence[str] = (),
 ) -> Result:
-    """Averaged regression trees that may use every feature at each split, grown on the executors."""
+    """Averaged regression trees that may use every feature at each split, grown on the executors. ``rebalance`` first evens out few or
+    lopsided input partitions, at the price of a shuffle of all rows."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
     target, features = _features(df, target, features, roles)
     rows = complete_rows(df, features, target, held_out, split_key)
     _enough(rows, fixed.MIN_FOREST_ROWS)
-    # The trees go over the rows many times; rebalancing evens out few or lopsided input partitions once.
-    rows = rows.hint("rebalance")
+    if rebalance:
+        rows = rows.hint("rebalance")
     assembled = VectorAssembler(inputCols=list(features), outputCol="__features").transform(rows)
     forest = RandomForestRegressor(
         featuresCol="__features",
@@ -105,6 +108,7 @@ def random_forest_regression(
         predictionCol="prediction",
         numTrees=int(n_estimators),
         maxDepth=max_depth,
+        maxBins=max_bins,
         featureSubsetStrategy="all",
         seed=42,
     ).fit(assembled.where(~F.col("__test")))

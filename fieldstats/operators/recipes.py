@@ -6,9 +6,8 @@ import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldstats import fixed
@@ -116,8 +115,27 @@ def apply_recipe(df: DataFrame, recipe: Recipe, roles: Roles | None = None) -> D
 
 
 def apply_recipes(df: DataFrame, recipes: Sequence[Recipe], roles: Roles | None = None) -> DataFrame:
-    """In order; a recipe may read what an earlier one made."""
-    return reduce(lambda table, recipe: apply_recipe(table, recipe, roles), recipes, df)
+    """In order; a recipe may read what an earlier one made. Calendar means that follow each other share one aggregate."""
+    waiting: list[Recipe] = []
+
+    def time_of(recipe: Recipe) -> str | None:
+        return recipe.parameters.get("time_column") or (roles.time if roles else None)
+
+    def settle(table: DataFrame) -> DataFrame:
+        if waiting:
+            table = calendar_mean_columns(table, time_of(waiting[0]), [(r.source, r.operation, r.output) for r in waiting])
+            waiting.clear()
+        return table
+
+    for recipe in recipes:
+        together = recipe.operation in _CALENDAR and time_of(recipe)
+        if waiting and not (together and time_of(recipe) == time_of(waiting[0])):
+            df = settle(df)
+        if together:
+            waiting.append(recipe)
+        else:
+            df = apply_recipe(df, recipe, roles)
+    return settle(df)
 
 
 def rolling_column(
@@ -142,26 +160,44 @@ def rolling_column(
 
 
 def calendar_mean_column(df: DataFrame, source: str, time: str, operation: str, output: str) -> DataFrame:
-    """Mean of the row's day or month, on every row.
+    """Mean of the row's day or month, on every row."""
+    return calendar_mean_columns(df, time, [(source, operation, output)])
 
-    The means are aggregated first (calendar-bounded, at most 3.7 million days) and broadcast back, so the rows are
-    not shuffled and a crowded day is not gathered anywhere. Rows without a time get NULL for days; for months they
-    form a group of their own.
+
+def calendar_mean_columns(df: DataFrame, time: str, means: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """Means of the row's day or month, on every row; ``means`` lists source, operation and output, and a source may be an
+    earlier output.
+
+    However many there are, the rows are read twice: once for sums and counts by day, once to get the results. Months, and
+    means of means, are put together from the day table, which is calendar-bounded (at most 3.7 million days) and
+    broadcast back, so the rows are not shuffled and a crowded day is not gathered anywhere. Rows without a time get NULL for
+    days; for months they form a group of their own.
     """
-    code = _CALENDAR[operation]
     moment = timestamp(df, time)
-    key = F.to_date(moment) if code == "D" else F.trunc(moment, "month")
-    means = (
-        df.select(key.alias("__period"), number(df, source).alias("__v"))
-        .groupBy("__period")
-        .agg(F.avg("__v").alias("__mean"))
-        .withColumnRenamed("__period", "__same")
-    )
-    if code == "D":
-        means = means.where(F.col("__same").isNotNull())
-    keyed = df.withColumn("__period", key)
-    joined = keyed.join(F.broadcast(means), keyed["__period"].eqNullSafe(means["__same"]), "left")
-    return joined.withColumn(output, F.col("__mean")).drop("__period", "__same", "__mean")
+    made = {output: f"__m{k}" for k, (_, _, output) in enumerate(means)}
+    sources = list(dict.fromkeys(source for source, _, _ in means if source not in made))
+    cells = df.select(F.to_date(moment).alias("__day"), *[number(df, c).alias(f"__v{i}") for i, c in enumerate(sources)])
+    sums = [F.sum(f"__v{i}").alias(f"__s{i}") for i in range(len(sources))]
+    counts = [F.count(f"__v{i}").alias(f"__c{i}") for i in range(len(sources))]
+    days = cells.groupBy("__day").agg(F.count(F.lit(1)).alias("__n"), *sums, *counts)
+    days = days.withColumn("__month", F.trunc("__day", "month"))
+    for source, operation, output in means:
+        if source in made:
+            inner = F.col(made[source])
+            total, count = inner * F.col("__n"), F.when(inner.isNotNull(), F.col("__n")).otherwise(0)
+            daily = inner
+        else:
+            i = sources.index(source)
+            total, count = F.col(f"__s{i}"), F.col(f"__c{i}")
+            daily = F.try_divide(total, count)
+        month = Window.partitionBy("__month")
+        value = daily if _CALENDAR[operation] == "D" else F.try_divide(F.sum(total).over(month), F.sum(count).over(month))
+        days = days.withColumn(made[output], F.when(F.col("__day").isNotNull(), value) if _CALENDAR[operation] == "D" else value)
+    days = days.select(F.col("__day").alias("__same"), *made.values())
+    keyed = df.withColumn("__period", F.to_date(moment))
+    joined = keyed.join(F.broadcast(days), keyed["__period"].eqNullSafe(days["__same"]), "left")
+    kept = [ref(c) for c in df.columns if c not in made]
+    return joined.select(*kept, *[F.col(inner).alias(output) for output, inner in made.items()])
 
 
 def suggest_recipes(df: DataFrame, units: dict[str, str] | None = None) -> DataFrame:

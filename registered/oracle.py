@@ -503,8 +503,8 @@ SELECT event_id, round(kelvin, 4) AS kelvin, round(fahrenheit, 4) AS fahrenheit,
 FROM f""")
 sql("recipe_suggest", """
 SELECT s.*, (SELECT count(*) FROM events) AS rows FROM (VALUES
-  ('user_id', 'pa_to_hpa', 'user_id_hpa', 'unit metadata indicates Pascals'),
-  ('air_k', 'kelvin_to_celsius', 'air_k_c', 'column name suffix suggests Kelvin values')
+  ('user_id', 'pa_to_hpa', 'user_id_hpa', 'its unit is pascal'),
+  ('air_k', 'kelvin_to_celsius', 'air_k_c', 'its name ends like that of a kelvin column')
 ) AS s(source_variable, operation, suggested_output, reason)""")
 
 # --- roles --------------------------------------------------------------------------------------------------

@@ -19,7 +19,7 @@ from tests.conftest import rows
 
 def daily(start, end, fn):
     times = pd.date_range(start, end, freq="D")
-    return pd.DataFrame({"observed_at": times, "soil_moisture": [float(fn(i, t)) for i, t in enumerate(times)]})
+    return pd.DataFrame({"stamp": times, "moisture": [float(fn(i, t)) for i, t in enumerate(times)]})
 
 
 def test_descriptive_stats(frame):
@@ -48,8 +48,8 @@ def test_descriptive_stats_of_a_column_without_values(spark):
 
 def test_seasonal_patterns(frame):
     times = pd.date_range("2022-01-01", "2023-12-01", freq="MS")
-    df = frame(pd.DataFrame({"observed_at": times, "soil_moisture": [t.month * 2.0 for t in times]}))
-    result = seasonal_patterns(df, "observed_at", "soil_moisture", checked=True)
+    df = frame(pd.DataFrame({"stamp": times, "moisture": [t.month * 2.0 for t in times]}))
+    result = seasonal_patterns(df, "stamp", "moisture", checked=True)
     months = rows(result["monthly_climatology"], "month")
     assert [m["month"] for m in months] == list(range(1, 13))
     assert months[6]["mean"] == 14.0 and months[6]["month_label"] == "Jul"
@@ -91,8 +91,8 @@ def test_diurnal_cycle(frame):
         for hour in range(24):
             times.append(pd.Timestamp(2024, month, 15, hour))
             values.append(10.0 * k + hour)
-    df = frame(pd.DataFrame({"observed_at": times, "air_value": values}))
-    result = diurnal_cycle(df, "observed_at", "air_value", checked=True)
+    df = frame(pd.DataFrame({"stamp": times, "air": values}))
+    result = diurnal_cycle(df, "stamp", "air", checked=True)
     hours = rows(result["hourly_profile"], "hour")
     assert len(hours) == 24 and hours[23]["mean"] == 38.0
     assert len(rows(result["seasonal_hourly_profile"])) == 96
@@ -118,7 +118,7 @@ def test_diurnal_needs_two_hours(frame):
 
 def test_annual_trend_signal(frame):
     df = frame(daily("2019-01-01", "2023-12-31", lambda i, t: 20 + (t.year - 2019) * 0.25 + t.dayofyear / 366))
-    result = annual_trend_signal(df, "observed_at", "soil_moisture", checked=True)
+    result = annual_trend_signal(df, "stamp", "moisture", checked=True)
     assert len(rows(result["annual_series"])) == 5
     summary = rows(result["summary"])[0]
     assert summary["trend_direction"] == "increasing" and summary["slope_per_decade"] > 0
@@ -134,8 +134,8 @@ def test_annual_trend_signal(frame):
 def test_annual_trend_needs_three_years(frame):
     df = frame(daily("2019-01-01", "2020-12-31", lambda i, t: i))
     with pytest.raises(ValueError, match="years"):
-        annual_trend_signal(df, "observed_at", "soil_moisture", checked=True)
-    assert rows(annual_trend_signal(df, "observed_at", "soil_moisture")["summary"])[0]["slope_per_year"] is None
+        annual_trend_signal(df, "stamp", "moisture", checked=True)
+    assert rows(annual_trend_signal(df, "stamp", "moisture")["summary"])[0]["slope_per_year"] is None
 
 
 def test_trend_detection_is_a_least_squares_line(frame):
@@ -161,7 +161,7 @@ def test_trend_target_follows_hints(frame):
 def test_baseline_anomalies(frame):
     df = frame(daily("2019-01-01", "2023-12-31", lambda i, t: t.month * 10 + (t.year - 2019) * 0.5))
     result = baseline_anomalies(
-        df, "observed_at", "soil_moisture", baseline_start="2020-01-01", baseline_end="2021-12-31", checked=True
+        df, "stamp", "moisture", baseline_start="2020-01-01", baseline_end="2021-12-31", checked=True
     )
     assert all(m["baseline"] is not None for m in rows(result["monthly_baseline"]))
     years = rows(result["annual_anomalies"], "year")
@@ -176,61 +176,61 @@ def test_baseline_anomalies(frame):
 def test_baseline_without_match_uses_everything(frame):
     df = frame(daily("2019-01-01", "2020-12-31", lambda i, t: t.month))
     for dates in ({"baseline_start": "1950-01-01", "baseline_end": "1951-01-01"}, {"baseline_start": "not a date"}):
-        facts = rows(baseline_anomalies(df, "observed_at", "soil_moisture", **dates)["baseline"])[0]
+        facts = rows(baseline_anomalies(df, "stamp", "moisture", **dates)["baseline"])[0]
         assert not facts["used_requested_period"] and facts["periods"] == 731
 
 
 def test_climate_normal_is_used_when_covered(frame):
     df = frame(daily("1990-01-01", "2021-12-31", lambda i, t: t.year))
-    facts = rows(baseline_anomalies(df, "observed_at", "soil_moisture")["baseline"])[0]
+    facts = rows(baseline_anomalies(df, "stamp", "moisture")["baseline"])[0]
     assert facts["used_requested_period"] and facts["requested_start"] == "1991-01-01"
     assert str(facts["start"])[:10] == "1991-01-01" and str(facts["end"])[:10] == "2020-12-31"
     short = frame(daily("1995-01-01", "2021-12-31", lambda i, t: t.year))
-    facts = rows(baseline_anomalies(short, "observed_at", "soil_moisture")["baseline"])[0]
+    facts = rows(baseline_anomalies(short, "stamp", "moisture")["baseline"])[0]
     assert not facts["used_requested_period"] and facts["requested_start"] is None
 
 
 def test_months_outside_the_baseline(frame):
     df = frame(daily("2019-01-01", "2020-06-30", lambda i, t: t.month))
     span = {"baseline_start": "2020-01-01", "baseline_end": "2020-03-31"}
-    strict = rows(baseline_anomalies(df, "observed_at", "soil_moisture", **span)["annual_anomalies"], "year")
+    strict = rows(baseline_anomalies(df, "stamp", "moisture", **span)["annual_anomalies"], "year")
     assert [y["count"] for y in strict] == [90, 91]
     only_summer = {"baseline_start": "2019-07-01", "baseline_end": "2019-08-31"}
-    kept = rows(climate_workflow(df, "observed_at", "soil_moisture", **only_summer)["annual_anomalies"], "year")
+    kept = rows(climate_workflow(df, "stamp", "moisture", **only_summer)["annual_anomalies"], "year")
     assert [y["year"] for y in kept] == [2019, 2020] and kept[1]["anomaly"] is None
 
 
 def test_extreme_events(frame):
     df = frame(daily("2019-01-01", "2023-12-31", lambda i, t: (t.year - 2019) * 2 + t.dayofyear / 366))
-    result = extreme_events(df, "observed_at", "soil_moisture", high_quantile=0.8, low_quantile=0.2, checked=True)
+    result = extreme_events(df, "stamp", "moisture", high_quantile=0.8, low_quantile=0.2, checked=True)
     summary = rows(result["summary"])[0]
     assert summary["high_trend_per_decade"] > 0 > summary["low_trend_per_decade"]
     assert (summary["max_high_year"], summary["max_low_year"]) == (2023, 2019)
     assert len(rows(result["annual_extremes"])) == 5
     with pytest.raises(ValueError, match="below"):
-        extreme_events(df, "observed_at", "soil_moisture", high_quantile=0.5, low_quantile=0.5)
+        extreme_events(df, "stamp", "moisture", high_quantile=0.5, low_quantile=0.5)
 
 
 def test_extreme_trend_is_null_under_three_years(frame):
     df = frame(daily("2019-01-01", "2020-12-31", lambda i, t: i))
-    assert all(r["high_trend"] is None for r in rows(extreme_events(df, "observed_at", "soil_moisture")["annual_extremes"]))
+    assert all(r["high_trend"] is None for r in rows(extreme_events(df, "stamp", "moisture")["annual_extremes"]))
 
 
 def test_decadal_distributions(frame):
     pdf = daily("1990-01-01", "2019-12-31", lambda i, t: (t.year // 10) * 10 - 1990 + t.dayofyear / 366)
-    result = decadal_distributions(frame(pdf), "observed_at", "soil_moisture", bins=20, checked=True)
+    result = decadal_distributions(frame(pdf), "stamp", "moisture", bins=20, checked=True)
     stats = rows(result["decadal_statistics"], "decade")
     assert [s["label"] for s in stats] == ["1990s", "2000s", "2010s"]
     assert rows(result["summary"])[0]["mean_shift_first_to_last"] > 0
     histograms = rows(result["decadal_histograms"])
     assert len(histograms) == 60
-    edges = np.linspace(pdf.soil_moisture.min(), pdf.soil_moisture.max(), 21)
-    for start, group in pdf.groupby((pdf.observed_at.dt.year // 10) * 10):
+    edges = np.linspace(pdf.moisture.min(), pdf.moisture.max(), 21)
+    for start, group in pdf.groupby((pdf.stamp.dt.year // 10) * 10):
         own = sorted((h for h in histograms if h["decade"] == start), key=lambda h: h["bin"])
-        density, _ = np.histogram(group.soil_moisture, bins=edges, density=True)
+        density, _ = np.histogram(group.moisture, bins=edges, density=True)
         assert [h["density"] for h in own] == pytest.approx(density)
         assert [own[0]["left"], *[h["right"] for h in own]] == pytest.approx(edges)
-        q = group.soil_moisture.quantile([0.05, 0.25, 0.5, 0.75, 0.95])
+        q = group.moisture.quantile([0.05, 0.25, 0.5, 0.75, 0.95])
         got = next(s for s in stats if s["decade"] == start)
         assert [got[c] for c in ("q05", "q25", "median", "q75", "q95")] == pytest.approx(list(q))
     steps = [s for s in rows(result["histogram_steps"], "step") if s["decade"] == 1990]
@@ -239,22 +239,22 @@ def test_decadal_distributions(frame):
 
 def test_histogram_of_a_constant(frame):
     df = frame(daily("2000-01-01", "2000-01-20", lambda i, t: 7))
-    histograms = rows(decadal_distributions(df, "observed_at", "soil_moisture", bins=10)["decadal_histograms"], "bin")
+    histograms = rows(decadal_distributions(df, "stamp", "moisture", bins=10)["decadal_histograms"], "bin")
     assert histograms[0]["left"] == 6.5 and histograms[-1]["right"] == 7.5
     assert [h["count"] for h in histograms] == list(np.histogram([7.0] * 20, bins=np.linspace(6.5, 7.5, 11))[0])
 
 
 def test_options_are_moved_into_their_bounds(frame):
     df = frame(daily("2000-01-01", "2000-01-20", lambda i, t: i))
-    assert decadal_distributions(df, "observed_at", "soil_moisture", bins=5000).info["bins"] == 100
-    assert decadal_distributions(df, "observed_at", "soil_moisture", bins="many").info["bins"] == 50
-    assert diurnal_cycle(df, "observed_at", "soil_moisture", timezone_offset_hours=99).info["timezone_offset_hours"] == 14.0
+    assert decadal_distributions(df, "stamp", "moisture", bins=5000).info["bins"] == 100
+    assert decadal_distributions(df, "stamp", "moisture", bins="many").info["bins"] == 50
+    assert diurnal_cycle(df, "stamp", "moisture", timezone_offset_hours=99).info["timezone_offset_hours"] == 14.0
 
 
 def test_climate_workflow(frame):
     df = frame(daily("2019-01-01", "2022-12-31", lambda i, t: 35 + i / 365 * 0.4 + 8 * ((t.dayofyear % 365) / 365)))
     result = climate_workflow(
-        df, "observed_at", "soil_moisture", baseline_start="2020-01-01", baseline_end="2021-12-31", checked=True
+        df, "stamp", "moisture", baseline_start="2020-01-01", baseline_end="2021-12-31", checked=True, preview_rows=1000
     )
     assert rows(result["coverage"])[0]["aggregated_periods"] == 1461
     assert len(rows(result["monthly_climatology"])) == 12
@@ -270,7 +270,7 @@ def test_climate_workflow(frame):
 
 
 def test_result_tables_share_one_scan(frame):
-    result = climate_workflow(frame(daily("2019-01-01", "2022-12-31", lambda i, t: i)), "observed_at", "soil_moisture", checked=True)
+    result = climate_workflow(frame(daily("2019-01-01", "2022-12-31", lambda i, t: i)), "stamp", "moisture", checked=True)
     plan = result["monthly_climatology"]._jdf.queryExecution().executedPlan().toString()
     assert "InMemoryTableScan" in plan
     result.release()

@@ -30,20 +30,20 @@ def stations(frame):
     times = pd.date_range("2024-01-01", periods=48, freq="h")
     air = [*range(24), *range(10, 34)]
     return frame(
-        pd.DataFrame({"observed_at": times, "air_value": air, "water_value": [2.0] * 24 + [4.0] * 24, "station": "A"})
+        pd.DataFrame({"stamp": times, "air": air, "water": [2.0] * 24 + [4.0] * 24, "station": "A"})
     )
 
 
 def test_derived_dataset(frame):
     data = Dataset.from_df(stations(frame), name="stations.csv")
-    days = data.temporal_aggregation("D", ["air_value", "water_value", "station"], ["mean", "min", "max", "range"])
+    days = data.temporal_aggregation("D", ["air", "water", "station"], ["mean", "min", "max", "range"])
     got = rows(days.df(), "period_start")
     assert len(got) == 2 and "station_mean" not in got[0]
-    assert got[0]["air_value_mean"] == 11.5 and got[0]["air_value_range"] == 23
-    assert got[1]["air_value_min"] == 10 and got[1]["water_value_mean"] == 4.0
+    assert got[0]["air_mean"] == 11.5 and got[0]["air_range"] == 23
+    assert got[1]["air_min"] == 10 and got[1]["water_mean"] == 4.0
     assert days.mapping.time == "period_start" and days.name == "stations_daily"
     assert days.provenance["parent_dataset_name"] == "stations.csv"
-    assert days.provenance["value_columns"] == ["air_value", "water_value"]
+    assert days.provenance["value_columns"] == ["air", "water"]
     assert rows(data.input_rows()) == [{"input_rows": 48, "valid_time_rows": 48}]
 
 
@@ -90,9 +90,9 @@ def test_aggregation_arguments(frame):
     df = stations(frame)
     for bad in (dict(aggregations=[]), dict(aggregations=["mode"]), dict(frequency="W"), dict(columns=["station"])):
         with pytest.raises(ValueError):
-            temporal_aggregation(df, "observed_at", **{"columns": ["air_value"], **bad})
+            temporal_aggregation(df, "stamp", **{"columns": ["air"], **bad})
     with pytest.raises(ValueError):
-        temporal_aggregation(df, None, ["air_value"])
+        temporal_aggregation(df, None, ["air"])
     assert frequency(" monthly ") == "ME"
 
 
@@ -316,11 +316,11 @@ def test_exports(spark, frame, tmp_path):
 
 def test_dataset_round_trip(spark, frame, tmp_path):
     data = Dataset.from_df(stations(frame), name="stations")
-    data = data.add_recipe("air_value", "add_constant", "warm", constant=100)
+    data = data.add_recipe("air", "add_constant", "warm", constant=100)
     data = data.add_recipe("warm", "aggregate_by_day", "warm_day")
     assert data.derived_columns == ["warm", "warm_day"] and data.columns[-1] == "warm_day"
     assert "warm" in data.mapping.variables and data.mapping.column_types["warm"] == "derived_numeric"
-    for bad in (("absent", "ms_to_kmh", "y"), ("air_value", "ms_to_kmh", "warm")):
+    for bad in (("absent", "ms_to_kmh", "y"), ("air", "ms_to_kmh", "warm")):
         with pytest.raises(ValueError):
             data.add_recipe(*bad)
     assert rows(data.df(["warm_day"]).distinct(), "warm_day") == [{"warm_day": 111.5}, {"warm_day": 121.5}]
@@ -334,13 +334,13 @@ def test_dataset_round_trip(spark, frame, tmp_path):
     assert profile["row_count"] == 48 and profile["derived_columns"] == ["warm", "warm_day"]
     later = Dataset.from_df(spark.range(3).toDF("v"), name="later")
     assert [r["name"] for r in list_datasets(spark, [data, later]).collect()] == ["later", "stations"]
-    changed = data.set_roles(time="observed_at")
+    changed = data.set_roles(time="stamp")
     assert changed.mapping.variables == ("warm", "warm_day")
 
 
 def test_unused_recipes_are_not_run(frame):
-    data = Dataset.from_df(stations(frame)).add_recipe("air_value", "aggregate_by_day", "day_mean")
-    plan = data.df(["air_value"])._jdf.queryExecution().executedPlan().toString()
+    data = Dataset.from_df(stations(frame)).add_recipe("air", "aggregate_by_day", "day_mean")
+    plan = data.df(["air"])._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
 
 
@@ -359,10 +359,10 @@ def test_preview(spark):
 def test_streamed_days_equal_the_batch_ones(spark, frame, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     stations(frame).coalesce(1).write.parquet(src)
-    days = {"observed_at": pd.to_datetime(["2024-02-01"]), "air_value": [0], "water_value": [0.0], "station": ["A"]}
+    days = {"stamp": pd.to_datetime(["2024-02-01"]), "air": [0], "water": [0.0], "station": ["A"]}
     frame(pd.DataFrame(days), 1).write.mode("append").parquet(src)
     stream = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 1).parquet(src)
-    closed = stream_daily_aggregation(stream, "observed_at", ["air_value", "water_value"], ["mean", "max"])
+    closed = stream_daily_aggregation(stream, "stamp", ["air", "water"], ["mean", "max"])
     q = (
         closed.writeStream.outputMode("append").format("parquet").trigger(availableNow=True)
         .option("checkpointLocation", str(tmp_path / "cp")).start(out)
@@ -371,15 +371,15 @@ def test_streamed_days_equal_the_batch_ones(spark, frame, tmp_path):
     assert not q.isActive
     # The watermark has passed the two days of the first file, not the day of the last row.
     emitted = rows(spark.read.parquet(out), "period_start")
-    assert [r["air_value_mean"] for r in emitted] == [11.5, 21.5]
-    complete = stream_daily_aggregation(stream, "observed_at", ["air_value"], ["mean"])
+    assert [r["air_mean"] for r in emitted] == [11.5, 21.5]
+    complete = stream_daily_aggregation(stream, "stamp", ["air"], ["mean"])
     q = (
         complete.writeStream.outputMode("complete").format("memory").queryName("days").trigger(availableNow=True)
         .option("checkpointLocation", str(tmp_path / "cp2")).start()
     )
     q.awaitTermination(120)
     got = rows(spark.table("days"), "period_start")
-    want = rows(temporal_aggregation(spark.read.parquet(src), "observed_at", ["air_value"], "D", ["mean"]), "period_start")
+    want = rows(temporal_aggregation(spark.read.parquet(src), "stamp", ["air"], "D", ["mean"]), "period_start")
     assert got == want and len(got) == 3
 
 
