@@ -1,3 +1,33 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express.
 
-ORACLE: dict[str, str] = {}
+The others hash with XXH64, train, draw keyed surrogates, replay merges, count guesses or approximate; their tests compare them with
+brute-force versions instead.
+"""
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLE: dict[str, str] = {
+    "op8_warc_revisits": """
+WITH heads AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS bytes, sha256(coalesce(html, '')) AS digest FROM pages),
+firsts AS (SELECT digest, min(page_id) AS first FROM heads WHERE bytes >= 100 GROUP BY digest)
+SELECT page_id, bytes AS payload_bytes, digest AS payload_digest,
+       CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM heads LEFT JOIN firsts USING (digest)""",
+    # The pages hold no canonical link or refresh, so no page has aliases.
+    "op10_url_verdicts": f"""
+WITH rules(site, start, own) AS (
+  VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'),
+         ('com', '/de/', 'block')),
+parts AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}'), '') AS host,
+         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+sites AS (SELECT DISTINCT host, path FROM parts),
+best AS (
+  SELECT host, path, max_by(site || start, length(site || start)) AS rule, max_by(own, length(site || start)) AS own
+  FROM sites JOIN rules ON (host = site OR ends_with(host, '.' || site)) AND starts_with(path, start) GROUP BY host, path)
+SELECT page_id, host, path, rule, coalesce(own, 'allow') AS verdict, CAST(NULL AS VARCHAR) AS alias_root
+FROM parts LEFT JOIN best USING (host, path)""",
+}
