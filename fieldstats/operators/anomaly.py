@@ -84,8 +84,13 @@ def anomaly_detection(
         return anomaly_rows(df, target, time, z_threshold, order_by, facts)
 
     def summary() -> DataFrame:
-        count = found().agg(F.count(F.lit(1)).alias("anomaly_count"))
-        return facts.select(F.lit(z_threshold).alias("z_threshold"), "mean", "std").crossJoin(count)
+        z = F.try_divide(F.col("value") - F.col("mean"), F.col("std"))
+        return rows.crossJoin(F.broadcast(facts.select("mean", "std"))).agg(
+            F.lit(z_threshold).alias("z_threshold"),
+            F.max("mean").alias("mean"),
+            F.max("std").alias("std"),
+            F.count_if(is_anomaly(z, z_threshold)).alias("anomaly_count"),
+        )
 
     def listing() -> DataFrame:
         table = found()

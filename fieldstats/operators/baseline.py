@@ -79,12 +79,18 @@ def baseline_facts(marked: DataFrame, start: str | None = None, end: str | None
 def period_anomalies(marked: DataFrame) -> DataFrame:
     """Each period's mean minus the baseline of its month: the month's baseline is a window over its own periods."""
     same_month = Window.partitionBy(F.month("period"))
-    baseline = F.avg(F.when(F.col("in_baseline"), F.col("mean"))).over(same_month)
-    return marked.withColumn("anomaly", F.col("mean") - baseline)
+    usual = F.when(F.col("in_baseline"), F.col("mean"))
+    return marked.withColumns(
+        {"anomaly": F.col("mean") - F.avg(usual).over(same_month), "baseline_mean": F.avg(usual).over(periods.whole())}
+    )
 
 
 def annual_anomalies(marked: DataFrame) -> DataFrame:
     """Statistics of the anomalies of each year; periods of months outside the baseline are left out."""
+    return _years(marked).drop("baseline_mean")
+
+
+def _years(marked: DataFrame) -> DataFrame:
     return (
         period_anomalies(marked)
         .where(F.col("anomaly").isNotNull())
@@ -95,12 +101,14 @@ def annual_anomalies(marked: DataFrame) -> DataFrame:
             F.min("anomaly").alias("min"),
             F.max("anomaly").alias("max"),
             F.count("anomaly").alias("count"),
+            F.max("baseline_mean").alias("baseline_mean"),
         )
     )
 
 
 def anomaly_summary(years: DataFrame) -> DataFrame:
     return years.agg(
+        F.max("baseline_mean").alias("baseline_mean"),
         periods.first_key_of_min("year", "anomaly").alias("most_negative_year"),
         F.min("anomaly").alias("most_negative_anomaly"),
         periods.first_key_of_max("year", "anomaly").alias("most_positive_year"),
@@ -136,8 +144,7 @@ def baseline_anomalies(
         return facts
 
     def summary() -> DataFrame:
-        mean = baseline_facts(marked).select(F.col("mean").alias("baseline_mean"))
-        return mean.crossJoin(anomaly_summary(annual_anomalies(marked)))
+        return anomaly_summary(_years(marked))
 
     return bundle.result(
         "baseline_anomalies",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldstats import fixed
@@ -26,16 +26,34 @@ def thresholds(days: DataFrame, high: float, low: float) -> DataFrame:
 
 def year_counts(days: DataFrame, high: float, low: float) -> DataFrame:
     """Per year: periods whose maximum reaches the high, or whose minimum reaches the low threshold."""
-    flagged = days.withColumns(
+    return _years_with_limits(days, high, low).drop("high_threshold", "low_threshold")
+
+
+def _years_with_limits(days: DataFrame, high: float, low: float) -> DataFrame:
+    """The counts per year, with the thresholds on every row, so that one scan gives both."""
+    limited = days.withColumns(
         {
-            "high": F.col("max") >= F.percentile("max", F.lit(high)).over(periods.whole()),
-            "low": F.col("min") <= F.percentile("min", F.lit(low)).over(periods.whole()),
+            "high_limit": F.percentile("max", F.lit(high)).over(periods.whole()),
+            "low_limit": F.percentile("min", F.lit(low)).over(periods.whole()),
         }
     )
-    return flagged.groupBy(F.year("period").alias("year")).agg(
-        F.count_if("high").alias("high_days"),
-        F.count_if("low").alias("low_days"),
+    return limited.groupBy(F.year("period").alias("year")).agg(
+        F.count_if(F.col("max") >= F.col("high_limit")).alias("high_days"),
+        F.count_if(F.col("min") <= F.col("low_limit")).alias("low_days"),
         F.count("mean").alias("observed_days"),
+        F.max("high_limit").alias("high_threshold"),
+        F.max("low_limit").alias("low_threshold"),
+    )
+
+
+def limits_and_counts(days: DataFrame, high: float, low: float) -> DataFrame:
+    """One row: the quantiles, their thresholds and the summary of the yearly counts."""
+    return _years_with_limits(days, high, low).agg(
+        F.lit(high).alias("high_quantile"),
+        F.lit(low).alias("low_quantile"),
+        F.max("high_threshold").alias("high_threshold"),
+        F.max("low_threshold").alias("low_threshold"),
+        *_count_parts(),
     )
 
 
@@ -45,7 +63,7 @@ def annual_extremes(days: DataFrame, high: float, low: float) -> DataFrame:
     return year_line(counts, "low_days", "low_trend", fixed.MIN_YEARS)
 
 
-def count_summary(years: DataFrame) -> DataFrame:
+def _count_parts() -> list[Column]:
     enough = F.count(F.lit(1)) >= fixed.MIN_YEARS
     fits = {
         "high_trend_per_decade": F.regr_slope("high_days", "year") * 10,
@@ -53,7 +71,7 @@ def count_summary(years: DataFrame) -> DataFrame:
         "high_r2": F.regr_r2("high_days", "year"),
         "low_r2": F.regr_r2("low_days", "year"),
     }
-    return years.agg(
+    return [
         *[F.when(enough, expr).alias(name) for name, expr in fits.items()],
         F.sum("high_days").alias("high_total_days"),
         F.sum("low_days").alias("low_total_days"),
@@ -61,7 +79,7 @@ def count_summary(years: DataFrame) -> DataFrame:
         F.max("high_days").alias("max_high_days"),
         periods.first_key_of_max("year", "low_days").alias("max_low_year"),
         F.max("low_days").alias("max_low_days"),
-    )
+    ]
 
 
 def extreme_events(
@@ -85,8 +103,7 @@ def extreme_events(
     days = periods.observed(groups)
 
     def summary() -> DataFrame:
-        limits = thresholds(days, high, low).select("high_threshold", "low_threshold")
-        return limits.crossJoin(count_summary(year_counts(days, high, low)))
+        return limits_and_counts(days, high, low).drop("high_quantile", "low_quantile")
 
     return bundle.result(
         "extreme_events",

@@ -12,7 +12,7 @@ from fieldstats.model import Result, Roles
 from fieldstats.operators.baseline import baseline_facts, mark_baseline, month_baseline, period_anomalies
 from fieldstats.operators.common import Bundle
 from fieldstats.operators.describe import describe_table
-from fieldstats.operators.extremes import count_summary, thresholds, year_counts
+from fieldstats.operators.extremes import limits_and_counts, year_counts
 from fieldstats.operators.trend import year_summary, yearly_means
 from fieldstats.plans import periods
 from fieldstats.plans.rowindex import takes_row
@@ -92,6 +92,7 @@ def climate_workflow(
     bundle.require_coverage(groups)
     table = periods.observed(groups)
     marked = mark_baseline(table, baseline_start, baseline_end)
+    limits = ["high_quantile", "low_quantile", "high_threshold", "low_threshold"]
     counts = ["high_trend_per_decade", "low_trend_per_decade"]
 
     def summary() -> DataFrame:
@@ -102,8 +103,7 @@ def climate_workflow(
         )
 
     def extremes() -> DataFrame:
-        trends = count_summary(year_counts(table, high, low)).select(*counts)
-        return thresholds(table, high, low).crossJoin(trends)
+        return limits_and_counts(table, high, low).select(*limits, *counts)
 
     return bundle.result(
         "climate_workflow",

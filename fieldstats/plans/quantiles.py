@@ -13,6 +13,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -196,8 +198,19 @@ def _exact_pass(df: DataFrame, brackets: list[_Bracket], counts: dict[str, int])
         for rank in {r for b in own for r in _ranks(counts[name], b.probability)[:2]}:
             covers = (F.col("before") <= rank) & (F.col("upto") > rank)
             wanted = wanted | ((F.col("k") == k) & covers)
-    cells = df.withColumns(zones).select(F.explode(F.array(*entries)).alias("cell")).select("cell.*")
-    sizes = cells.where(F.col("zone").isNotNull()).groupBy("k", "zone", "v").agg(F.count(F.lit(1)).alias("n"))
+    zoned = df.withColumns(zones)
+    # What lies between the brackets is only counted; the rows that have a value in a bracket, a few in a hundred, are grouped.
+    gaps = {
+        (k, zone): F.count_if(F.col(f"__zone_{k}") == zone)
+        for k, name in enumerate(names)
+        for zone in range(0, 2 * len(_spans([b for b in brackets if b.column == name])) + 1, 2)
+    }
+    between = zoned.agg(*[c.alias(f"g{i}") for i, c in enumerate(gaps.values())]).head()
+    counted = [(k, zone, None, between[i]) for i, (k, zone) in enumerate(gaps)]
+    inside = reduce(or_, [F.coalesce(F.col(z) % 2 == 1, F.lit(False)) for z in zones])
+    cells = zoned.where(inside).select(F.explode(F.array(*entries)).alias("cell")).select("cell.*")
+    sizes = cells.where(F.col("zone") % 2 == 1).groupBy("k", "zone", "v").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.unionAll(df.sparkSession.createDataFrame(counted, "k int, zone int, v double, n bigint"))
     running = F.sum("n").over(Window.partitionBy("k").orderBy("zone", "v"))
     ranked = sizes.select("k", "v", running.alias("upto"), (running - F.col("n")).alias("before"))
     hits = ranked.where(wanted).collect()  # at most two rows per quantile
