@@ -14,6 +14,8 @@ from llm.common import ref, saved
 _SPLIT = r"[\x20\x09-\x0D]+"
 #: A term weighs as much as it has characters, up to this: long terms are rarer and say more about a text.
 HEAVIEST = 16
+#: Stands for a null id, which so is the smallest.
+NO_ID = -(1 << 63)
 #: Two counters of 32 bits in a long: the votes for bits k and k + 32.
 _LANES = (1 << 32) | 1
 #: Fingerprints that share a block table entry and are compared with each other; larger groups are keyed by further blocks.
@@ -116,7 +118,7 @@ def near_links(prints: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame
     leaves open as well, cut in the same way, and so on until keys are small. Few open bits make a group small, so this ends.
     """
     edges = [64 * k // blocks for k in range(blocks + 1)]
-    todo = prints.select("fp").distinct().select("fp", F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("trail"))
+    todo = saved(prints.select("fp").distinct()).select("fp", F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("trail"))
     levels: list[list[int]] = [_tables([(a, b - a) for a, b in zip(edges, edges[1:], strict=False)], blocks - radius)]
     found = None
     used_masks = [0]
@@ -133,18 +135,20 @@ def near_links(prints: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame
             part = todo.where(F.col("used") == _signed(used)).select("fp", "trail", F.explode(tables).alias("t"))
             part = part.select("fp", F.col("t.now").alias("used"), F.xxhash64("trail", F.col("t.mask"), F.col("fp").bitwiseAND(F.col("t.mask"))).alias("key"))
             rows = part if rows is None else rows.unionAll(part)
-        rows = saved(rows)
-        crowded = saved(rows.groupBy("key", "used").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP).select(F.col("key").alias("c_key"), F.col("used").alias("c_used")))
-        busy = [int(r[0]) & (1 << 64) - 1 for r in crowded.select("c_used").distinct().collect()]  # masks: a few at each level
-        same = (F.col("key") == F.col("c_key")) & (F.col("used") == F.col("c_used"))
-        calm = rows.join(crowded, same, "left_anti") if busy else rows
-        right = calm.select(F.col("key").alias("k2"), F.col("fp").alias("b"))
-        near = (F.col("key") == F.col("k2")) & (F.col("fp") < F.col("b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= radius)
-        links = saved(calm.select("key", "fp").join(right, near).select(F.col("fp").alias("a"), "b").distinct())
+        # One shuffle brings equal keys together; most stand alone and go no further.
+        size = F.count(F.lit(1)).over(Window.partitionBy("key", "used"))
+        met = saved(rows.withColumn("n", size).where("n > 1"))
+        crowded = met.where(F.col("n") > GROUP)
+        busy = [int(r[0]) & (1 << 64) - 1 for r in crowded.select("used").distinct().collect()]  # masks: a few at each level
+        calm = met.where(F.col("n") <= GROUP)
+        right = calm.select(F.col("key").alias("k2"), F.col("used").alias("u2"), F.col("fp").alias("b"))
+        same = (F.col("key") == F.col("k2")) & (F.col("used") == F.col("u2"))
+        near = same & (F.col("fp") < F.col("b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= radius)
+        links = saved(calm.select("key", "used", "fp").join(right, near).select(F.col("fp").alias("a"), "b").distinct())
         found = links if found is None else found.unionAll(links)
         if not busy:
             return found.distinct()
-        todo = rows.join(crowded, same, "left_semi").select("fp", "used", F.col("key").alias("trail"))
+        todo = crowded.select("fp", "used", F.col("key").alias("trail"))
         used_masks = busy
 
 
@@ -157,29 +161,26 @@ def document_fingerprints(
 
     The next document has the next larger id; after the largest comes the smallest, and null counts as smallest. The edited text is the
     text with its last floor(n_chars / 4) code points replaced by the first as many, or all, of the next document. Rows with one id are one
-    place in the order: the next document of all of them is the row of the next id with the smallest text, or, if there is one id only, of
+    place in the order: the next document of all of them is the row of the next id whose text has the smallest hash, or, if there is one id only, of
     their own. Null texts are empty; texts without words have fingerprint 0. Equal texts have equal fingerprints. Empty
     tables give an empty result, other columns are not looked at.
 
     Each text is shuffled once, by id; the part that goes to the document before travels without the rest.
     """
-    source = docs.select(ref(id_col).cast("long").alias("id"), F.coalesce(ref(text_col).cast("string"), F.lit("")).alias("text"))
+    source = docs.select(F.coalesce(ref(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(ref(text_col).cast("string"), F.lit("")).alias("text"))
     order = followers(source)
-    lengths = source.groupBy("id").agg(F.max(F.length("text")).alias("n"), F.min(F.xxhash64("text")).alias("pick"))
-    order = order.join(lengths, order["id"].eqNullSafe(lengths["id"])).select(order["id"], "next", "prev", "n", "pick")
-    asked = order.select(F.col("id").alias("p_id"), F.floor(F.col("n") / 4).cast("int").alias("asked"))
-    order = saved(order.join(asked, F.col("prev").eqNullSafe(F.col("p_id"))).select(F.col("id").alias("o_id"), "prev", "pick", "asked"))
-    key = F.coalesce(F.col("id"), F.lit(-(1 << 63)))
-    facts = order.select(F.coalesce("o_id", F.lit(-(1 << 63))).alias("k"), F.coalesce("prev", F.lit(-(1 << 63))).alias("to"), "pick", "asked")
-    rows = source.select(key.alias("k"), "id", "text").join(facts, "k")
-    mine = F.xxhash64("text") == F.col("pick")
-    heads = rows.where(mine).select("to", F.left("text", F.col("asked")).alias("head"), F.xxhash64("text").alias("follower")).groupBy("to")
+    lengths = source.groupBy("id").agg(F.max(F.length("text")).alias("n"))
+    order = order.join(lengths, "id")
+    asked = order.select(F.col("id").alias("to"), F.floor(F.col("n") / 4).cast("int").alias("asked"))
+    order = saved(order.join(asked, F.col("prev") == F.col("to")).select("id", "to", "asked"))
+    # Both joins deal (id, text) by id, so that one shuffle of the texts serves both.
+    heads = source.join(order, "id").select("to", F.left("text", F.col("asked")).alias("head"), F.xxhash64("text").alias("follower")).groupBy("to")
     heads = heads.agg(F.min(F.struct("follower", "head")).alias("h")).select("to", "h.head", "h.follower")
-    pairs = rows.select("k", "id", "text").join(heads, F.col("k") == F.col("to"))
+    pairs = source.join(heads, F.col("id") == F.col("to"))
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.left("text", n - cut), F.left("head", cut))
-    pairs = pairs.select("id", F.monotonically_increasing_id().alias("row"), n.cast("long").alias("n_chars"), "follower", "text", edited.alias("edited"))
+    pairs = pairs.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("id"), F.monotonically_increasing_id().alias("row"), n.cast("long").alias("n_chars"), "follower", "text", edited.alias("edited"))
     pairs = pairs.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).withColumn("own", F.xxhash64("text"))
     texts = F.explode(F.array(F.struct(F.lit(False).alias("e"), F.col("text").alias("t")), F.struct(F.lit(True).alias("e"), F.col("edited").alias("t")))).alias("x")
     both = pairs.select("row", "id", "n_chars", "follower", "own", "edited_sha256", texts)
