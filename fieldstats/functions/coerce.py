@@ -10,6 +10,8 @@ from fieldstats import fixed
 
 # Text such as 1d or 2.5F is a Java literal, not a number in a data file.
 _JAVA_LITERAL = r"[0-9.][dDfF]$"
+# All that the listed patterns can match: digits, month names, their separators.
+_MAY_BE_TIME = r"^(?=[^0-9]*[0-9])[0-9A-Za-z/:, -]{8,40}$"
 
 
 def ref(name: str) -> Column:
@@ -58,7 +60,8 @@ def time_expr(column: Column, data_type: T.DataType, pattern: str | None = None)
         if pattern:
             return F.try_to_timestamp(column, F.lit(pattern))
         forms = [F.try_to_timestamp(column, F.lit(p)) for p in fixed.DATETIME_PATTERNS]
-        return F.coalesce(column.try_cast("timestamp"), *forms)
+        # Failed parses are slow; most text that is no time does not get that far.
+        return F.coalesce(column.try_cast("timestamp"), F.when(column.rlike(_MAY_BE_TIME), F.coalesce(*forms)))
     if isinstance(data_type, T.IntegralType):
         return F.timestamp_micros(F.floor(column / F.lit(1000)).cast("long"))
     if isinstance(data_type, T.NumericType):
