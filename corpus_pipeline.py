@@ -10,15 +10,14 @@ from pyspark.sql import functions as F
 
 from llm.bpe import encode_documents
 from llm.common import ref, saved, table
+from llm.components import components
 from llm.mixing import mixed
 from llm.pii import replaced
 from llm.queries import SURROGATE_KEY
-from llm.simhash_variants import near_duplicates
+from llm.simhash_variants import fingerprints, near_links
 from llm.toxicity import without_toxic
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: Stands for a null id in joins.
-NO_ID = -(1 << 63)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,16 +26,29 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-copies the document with the smallest id, one row of it. Rows with a null id stay unless their group has another."""
-    named = saved(near_duplicates(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("kept"), "component_id"))
-    kept = named.where(F.col("kept") == F.coalesce("component_id", F.lit(NO_ID))).groupBy("kept").agg(F.count(F.lit(1)).alias("n"))
-    kept = saved(kept)
-    rows = docs.join(kept, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("kept"))
-    single = rows.where("n = 1").select(*[ref(c) for c in docs.columns])
+    """Of each group of near-copies one row: that with the smallest id, null ids last, and of rows with one id that with the smallest digest.
+
+    Groups are those of the fingerprints, so rows with a null id, or with one id and different texts, are told apart by their texts. The
+    digest covers all columns; rows alike in all of them are one document.
+    """
+    cells = [ref(c) for c in docs.columns]
+    marked = [*cells, *[F.isnull(c) for c in cells]]  # hashes alone pass over nulls
+    digest = F.struct(F.xxhash64(*marked).alias("a"), F.xxhash64(F.lit(1), *marked).alias("b"))
+    found = docs.select(fingerprints(ref("text").cast("string"), 3).alias("fp"), ref("doc_id").cast("long").alias("id"), digest.alias("digest"))
+    units = saved(found.groupBy("fp", "id", "digest").agg(F.count(F.lit(1)).alias("n")))
+    order = F.struct(F.isnull("id").alias("last"), "id", "digest", "n")
+    prints = saved(units.groupBy("fp").agg(F.min(order).alias("least")))
+    roots = components(near_links(prints, 2))
+    groups = prints.join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("group")).agg(F.min("least").alias("least"))
+    kept = saved(groups.select(F.col("least.id").alias("kept_id"), F.col("least.digest").alias("kept_digest"), F.col("least.n").alias("n")))
+
+    def rows(which: str) -> DataFrame:
+        same = ref("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (digest == F.col("kept_digest"))
+        return docs.join(kept.where(which), same, "left_semi")
+
     if kept.where("n > 1").isEmpty():
-        return single
-    repeated = docs.join(kept.where("n > 1"), F.coalesce("doc_id", F.lit(NO_ID)) == F.col("kept")).dropDuplicates(["kept"])
-    return single.unionByName(repeated.select(*[ref(c) for c in docs.columns]))
+        return rows("n = 1")
+    return rows("n = 1").unionByName(rows("n > 1").dropDuplicates())
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,6 +61,17 @@ def test_one_row_of_repeated_ids_stays(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == [(1, "a b c d", "s"), (None, "x y z w", "s")]
 
 
+def test_null_ids_and_repeated_ids_with_different_texts_stay_apart(spark):
+    """Every group of near-copies keeps one row, whatever the ids; (7, "b b b b") is a copy of 3's text, (None, "a b c d") of 5's."""
+    rows = [(None, "x y z w", "s"), (None, "one two three four five", "s"), (None, "one two three four five", "s"), (None, None, "x"), (None, "x", None)]
+    rows += [(7, "quite another text of words", "s"), (7, "b b b b", "s"), (3, "b b b b", "s"), (5, "a b c d", "s"), (None, "a b c d", "s")]
+    rows += [(9, "eins zwei drei vier", "s"), (9, "uno dos tres cuatro", "s")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = corpus_pipeline.drop_near_copies(spark, docs, FOLDER)
+    want = [*rows[:2], *rows[3:6], *rows[7:9], *rows[10:]]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("name", sorted(oracle.ORACLE))
 def test_query_equals_its_sql(spark, name):
     db = duckdb.connect()
