@@ -53,8 +53,34 @@ def _adjacent(a: str, b: str) -> bool:
     return near or (a.isalnum() and b.isalnum() and a.isascii() and b.isascii() and abs(ord(a) - ord(b)) == 1)
 
 
+#: Characters in each class: lower case, upper case, digits, other ASCII, the rest; a span of several classes draws on their sum.
+_SIZES = (26, 26, 10, 33, 100)
+
+
+def _class(c: str) -> int:
+    """The place in ``_SIZES`` of the class of a character."""
+    if c.isdigit():
+        return 2
+    if c.isascii():
+        return (0 if c.islower() else 1) if c.isalpha() else 3
+    return 4
+
+
+def _class_bits(classes: int) -> float:
+    """Bits of one character of a span in which these classes (a bit each) occur."""
+    return math.log2(sum(size for k, size in enumerate(_SIZES) if classes >> k & 1))
+
+
+def _span_bits(span: str) -> float:
+    """Bits of a span by brute force."""
+    classes = 0
+    for c in set(span):
+        classes |= 1 << _class(c)
+    return len(span) * _class_bits(classes)
+
+
 def _alphabet(c: str) -> float:
-    """Bits of one character that nothing else explains."""
+    """Bits of one character that nothing else explains, its class known."""
     if c.isdigit():
         return math.log2(10)
     if c.isascii():
@@ -104,15 +130,14 @@ def _ends(value: str, ranks: dict[str, int]) -> dict[int, list[tuple[int, float]
                 continue
             if run >= max(period, 2):
                 begin = at - run - period
-                block = sum(map(_alphabet, value[begin : begin + period])) if period > 1 else _alphabet(value[begin])
-                add(begin, at, block + math.log2((run + period) / period))
+                add(begin, at, _span_bits(value[begin : begin + period]) + math.log2((run + period) / period))
             run = 0
     return found
 
 
 def guess_bits(value: str, ranks: dict[str, int]) -> float:
     """The base-2 logarithm of the guesses that the cheapest cut of ``value`` into words, dates, repeats, keyboard walks and brute-force spans
-    needs. ``best[i][b]`` is the least cost of the first i characters, b telling whether they end in a brute-force span, which goes
+    needs, if the class of each character is known. ``best[i][b]`` is the least cost of the first i characters, b telling whether they end in a brute-force span, which goes
     on without a new start. Linear in the length, for any length."""
     ends = _ends(value, ranks)
     closed, open_ = [0.0], [math.inf]
@@ -126,6 +151,25 @@ def guess_bits(value: str, ranks: dict[str, int]) -> float:
     return min(closed[-1], open_[-1])
 
 
+def secret_bits(value: str, ranks: dict[str, int]) -> float:
+    """Like ``guess_bits``, but a guesser does not know which class of character stands where: each character of a brute-force span costs as
+    much as the classes that occur in the span ask for, 26, 52, 62 or 95 characters for ASCII. ``open_`` has the least cost
+    by the set of classes of the span that goes on. Linear in the length."""
+    ends = _ends(value, ranks)
+    kinds = [1 << _class(c) for c in value]
+    every = 0
+    for kind in kinds:
+        every |= kind
+    bits = {s: _class_bits(s) for s in range(1, every + 1) if s & ~every == 0}
+    using = {kind: [(s, b) for s, b in bits.items() if s & kind] for kind in set(kinds)}
+    least, open_ = [0.0], {}
+    for end, kind in enumerate(kinds, 1):
+        new = least[-1] + _NEXT
+        open_ = {s: min(open_.get(s, math.inf), new) + b for s, b in using[kind]}
+        least.append(min([*open_.values(), *[least[start] + _NEXT + cost for start, cost in ends.get(end, ())]]))
+    return least[-1]
+
+
 def find_spans(text: str, ranks: dict[str, int], least_bits: float) -> list[tuple[int, int, int]]:
     """(start, number of the kind, end) of all spans, in order."""
     spans = []
@@ -138,11 +182,11 @@ def find_spans(text: str, ranks: dict[str, int], least_bits: float) -> list[tupl
     if any(w in low for w in _CONTEXT_WORDS):
         for m in _CONTEXT.finditer(text):
             group = m.lastindex
-            if guess_bits(m[group], ranks) >= least_bits:
+            if secret_bits(m[group], ranks) >= least_bits:
                 spans.append((m.start(group), 3, m.end(group)))
     if "://" in text:
         for m in _USERINFO.finditer(text):
-            if guess_bits(m[1], ranks) >= least_bits:
+            if secret_bits(m[1], ranks) >= least_bits:
                 spans.append((m.start(1), 3, m.end(1)))
     return sorted(set(spans))
 
@@ -163,7 +207,7 @@ def secret_spans(
     Spans are ``kind:start:end`` in code points, the end exclusive, by start and then kind, comma-joined. The base kinds ``assign``,
     ``access`` and ``hex`` have fixed shapes. ``guess`` is a value in a credential context (after a word such as password, quoted or bare, or
     before the @ of a URL) of at least 6 characters that needs 2^``least_bits`` guesses or more. A guesser knows ``words`` by rank, with capitals and
-    look-alike digits, dates, repeats and keyboard walks; so ``password=Welcome2024`` is no secret, a random value is.
+    look-alike digits, dates, repeats and keyboard walks, and pays for the rest by the classes of characters in it; so ``password=Welcome2024`` is no secret, a random value is.
 
     Null and empty texts have no spans: counts 0, ``spans`` empty, the digest that of the empty string. Everything happens where the text
     is, in time linear in its length; rows keep their number, and other columns are not looked at.

@@ -1,9 +1,10 @@
 import hashlib
+import math
 import re
 
 import pytest
 
-from llm.secret_spans import WORDS, find_spans, guess_bits, secret_spans
+from llm.secret_spans import WORDS, find_spans, guess_bits, secret_bits, secret_spans
 from tests.llm.helpers import CLASHING, documents
 
 RANKS = {w: k + 1 for k, w in reversed(list(enumerate(WORDS)))}
@@ -86,5 +87,32 @@ def test_patterns_cost_less_than_random_values():
         assert guess_bits(easy, RANKS) + 5 < guess_bits(hard, RANKS)
 
 
+def guessed(text):
+    return [text[a:b] for a, k, b in find_spans(text, RANKS, 40.0) if k == 3]
+
+
+def test_short_random_values_in_mixed_case_are_found():
+    """62 characters in the first span, 95 in the second, less what cutting it at its digit and symbols saves."""
+    assert secret_bits("xK9mPq2L", RANKS) == pytest.approx(8 * math.log2(62) + 2)
+    assert 52 < secret_bits("pQ7!vZ#k", RANKS) <= 8 * math.log2(95) + 2
+    assert guessed("password=xK9mPq2L pwd: pQ7!vZ#k and the secret is 'vK7#qZ!'") == ["xK9mPq2L", "pQ7!vZ#k", "vK7#qZ!"]
+    assert guessed("password=Welcome1 pwd: Summer24! secret=Passw0rd1 pin=83920174 token=qzxwvjk pass=Ab1!Ab1!Ab1!") == []
+
+
+@pytest.mark.parametrize("value", ["xK9mPq2L", "zxcvb!Qq", "aaaBBB", "password1X", "é7aZ!q", "T7#kd", "aB1aB1aB1"])
+def test_classes_are_counted_by_span(value):
+    def brute(span):
+        sizes = {("lower", "upper", "digit", "other", "rest")[2 if c.isdigit() else 4 if not c.isascii() else 3 if not c.isalpha() else c.isupper()] for c in span}
+        return len(span) * math.log2(sum({"lower": 26, "upper": 26, "digit": 10, "other": 33, "rest": 100}[s] for s in sizes))
+
+    from llm.secret_spans import _ends
+
+    best = [0.0]
+    for end in range(1, len(value) + 1):
+        pieces = [best[a] + 2 + bits for a, bits in _ends(value, RANKS).get(end, ())]
+        best.append(min([*pieces, *[best[a] + 2 + brute(value[a:end]) for a in range(end)]]))
+    assert secret_bits(value, RANKS) == pytest.approx(best[-1])
+
+
 def test_empty_table(spark):
     assert secret_spans(documents(spark, [])).count() == 0
