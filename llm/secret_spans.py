@@ -20,14 +20,17 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "guess")
 
-#: Words that name a credential, and what may stand between the word and its value.
+#: Words that name a credential, and what may stand between the word and its value: any number of blanks, up to three of other white space. A word
+#: starts behind anything but letters and digits, or with a capital: behind a small letter or digit, or before a small letter.
+_BLANKS = r"[\x20\t]*+\s{0,3}[\x20\t]*+"
 _CONTEXT = re.compile(
-    r"""(?<![A-Za-z0-9])(?:[A-Za-z0-9]{1,32}[_-])?(?:password|passwd|passphrase|passcode|pwd|pass|pin|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credentials?)(?![A-Za-z])
-    ["']?\s{0,3}(?:is\s{0,3}:?|are\s{0,3}:?|->|=>|:=|=|:)\s{0,3}(?:"([^"\r\n]{6,})"|'([^'\r\n]{6,})'|([^\s"',;<>]{6,}))""",
+    rf"""(?:(?<![A-Za-z0-9])(?:[A-Za-z0-9]{{1,32}}[_-])?|(?-i:(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])))
+    (?:password|passwd|passphrase|passcode|pwd|pass|pin|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credentials?)(?![A-Za-z])
+    ["']?{_BLANKS}(?:is{_BLANKS}:?|are{_BLANKS}:?|->|=>|:=|=|:){_BLANKS}(?:"([^"\r\n]{{6,}})"|'([^'\r\n]{{6,}})'|([^\s"',;<>]{{6,}}))""",
     re.IGNORECASE | re.ASCII | re.VERBOSE,
 )
 _CONTEXT_WORDS = ("pass", "pwd", "pin", "secret", "token", "key", "credential")
-_USERINFO = re.compile(r"://[^\s:/@]{1,64}:([^\s@/]{6,})@")
+_USERINFO = re.compile(r"://[^\s:/@]*+:([^\s@/]{6,}+)@")
 
 #: Common parts of passwords, the most frequent first; the place in the list is the rank. Callers may pass their own.
 WORDS = (

@@ -99,6 +99,20 @@ def test_short_random_values_in_mixed_case_are_found():
     assert guessed("password=Welcome1 pwd: Summer24! secret=Passw0rd1 pin=83920174 token=qzxwvjk pass=Ab1!Ab1!Ab1!") == []
 
 
+@pytest.mark.parametrize("key", ["clientSecret", "dbPassword", "accessToken", "userPwd", "oauth2Token", "awsAccessKey", "DBPassword", "db_password", "dbPASSWORD"])
+def test_keys_in_camel_case_are_contexts(key):
+    assert guessed(f"{key}=Tr0ub4dor&3x") == guessed(f'{{"{key}": "Tr0ub4dor&3x"}}') == ["Tr0ub4dor&3x"]
+    assert guessed(f"x{key.lower().replace('_', '')}s=Tr0ub4dor&3x comPass: Tr0ub4dor&3x") == ["Tr0ub4dor&3x"]
+
+
+def test_any_number_of_blanks_and_any_user():
+    assert guessed("password            =      Tr0ub4dor&3x") == ["Tr0ub4dor&3x"]
+    assert guessed("secret\t\t\t\t\t:\n        kX9#vQ2!mZ\nthe pin     is     :     vK7#qZ!w") == ["kX9#vQ2!mZ", "vK7#qZ!w"]
+    assert guessed("secret:\n\n\n\nkX9#vQ2!mZ") == []
+    assert guessed("redis://:pa55#Kq9zT@host and amqp://" + "u" * 100 + ":kX9#vQ2!mZ@host") == ["pa55#Kq9zT", "kX9#vQ2!mZ"]
+    assert guessed("password" + " " * 300_000 + "=" + " " * 300_000 + "no ://" + "a:" * 300_000) == []
+
+
 @pytest.mark.parametrize("value", ["xK9mPq2L", "zxcvb!Qq", "aaaBBB", "password1X", "é7aZ!q", "T7#kd", "aB1aB1aB1"])
 def test_classes_are_counted_by_span(value):
     def brute(span):
