@@ -23,6 +23,21 @@ _PHONE = re.compile(
     r"(?<![\w+(])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w]|[.-]\d)",
     re.ASCII,
 )
+# National forms of the corpus's languages, with the least and the largest number of digits.
+_NATIONAL = (
+    (10, 10, re.compile(r"0[1-9](?:([ .-]?)\d{2})(?:\1\d{2}){3}", re.ASCII)),  # fr: 06 12 34 56 78
+    (11, 11, re.compile(r"0[1-9]\d{9}", re.ASCII)),  # de, en: 01711234567
+    (9, 12, re.compile(r"0[1-9]\d{0,3}(?:[ /-]|/ ?| [/-] )\d{3,8}", re.ASCII)),  # de, en: 030 1234567, 0171/1234567, 020 7946 0958
+    (9, 12, re.compile(r"\(0\d{1,4}\) ?\d{3,8}", re.ASCII)),  # de, en: (030) 1234567
+    (9, 9, re.compile(r"[6-9]\d{2}([ .-])\d{3}\1\d{3}(?!\1\d{3}(?!\d)(?!\1\d{3}\1\d{3}(?!\d)))", re.ASCII)),  # es: 612 345 678
+    (9, 9, re.compile(r"[6-9]\d{2}([ .-])\d{2}\1\d{2}\1\d{2}", re.ASCII)),  # es: 612 34 56 78
+    (9, 9, re.compile(r"[89]\d([ .-])\d{3}\1\d{2}\1\d{2}", re.ASCII)),  # es: 91 234 56 78
+    (10, 10, re.compile(r"[2-9]\d{2} \d{3}[ -]\d{4}", re.ASCII)),  # en: 212 555 0123
+)
+#: Further groups of a number, and what may not follow a whole number: a group that does not begin the next one.
+_GROUP = re.compile(r"[ -]\d{1,4}(?!\d)", re.ASCII)
+_MORE = re.compile(r"[ -](?!0[1-9])\d", re.ASCII)
+_AFTER = re.compile(r"\w|[.,/-]\d", re.ASCII)
 _NAME_WORD = r"\p{Lu}[\p{L}\p{M}]+(?:['’-]\p{Lu}[\p{L}\p{M}]+)*"
 # Forms of address, by gender.
 _FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Señora", "Señorita", "Madame", "Mme", "Mademoiselle", "Signora", "Госпожа", "Κυρία")
@@ -30,6 +45,8 @@ _MALE = ("Mr", "Mister", "Sir", "Herr", "Señor", "Monsieur", "Signor", "Гос
 _NEUTRAL = ("Dr", "Prof", "Professor")
 _NAMED = regex.compile(rf"(?<![\p{{L}}\p{{M}}\p{{N}}])({'|'.join((*_FEMALE, *_MALE, *_NEUTRAL))})(\.? )({_NAME_WORD}(?: {_NAME_WORD}){{0,2}})(?![\p{{L}}\p{{M}}\p{{N}}])")
 
+_WORDS = regex.compile(rf"(?<![\p{{L}}\p{{M}}\p{{N}}]){_NAME_WORD}(?![\p{{L}}\p{{M}}\p{{N}}])")
+
 _DIGITS = re.compile(r"\d+", re.ASCII)
 
 KINDS = ("email", "phone", "ip", "card", "iban", "ssn", "given_f", "given_m", "surname")
@@ -51,6 +68,37 @@ def _gender(title: str, given: str) -> str:
     return "f" if title in _FEMALE else "m"
 
 
+def _national(text: str, start: int, end: int) -> int | None:
+    """The end of a phone number in a national form. It is no part of a longer row of numbers: none but an entity (up to ``end``) ends one character before it."""
+    if re.search(r"(?:\w|[+(]|\d[ .,/-]|[.-])$", text[max(end, start - 2) : start], re.ASCII):
+        return None
+    for least, most, pattern in _NATIONAL:
+        if not (match := pattern.match(text, start)):
+            continue
+        ends = [match.end()]
+        while least < most and len(ends) < 3 and (group := _GROUP.match(text, ends[-1])):
+            ends.append(group.end())
+        fits = [e for e in reversed(ends) if not _AFTER.match(text, e) and least <= sum(map(str.isdigit, text[start:e])) <= most]
+        if fits:
+            return next((e for e in fits if not _MORE.match(text, e)), fits[0])
+    return None
+
+
+def _mentions(text: str, named: list[tuple[int, int, str, str]]) -> Iterator[tuple[int, int, str, str]]:
+    """Whole words of the text that are one of the names, of the kind that the name has in the last form of address before, else in the first."""
+    kinds: dict[str, str] = {}
+    for *_, kind, norm in reversed(named):
+        kinds[norm] = kind
+    at = 0
+    for word in _WORDS.finditer(text):
+        while at < len(named) and named[at][0] <= word.start():
+            kinds[named[at][3]] = named[at][2]
+            at += 1
+        norm = word[0].casefold()
+        if norm in kinds:
+            yield word.start(), word.end(), kinds[norm], norm
+
+
 def _numbers(text: str) -> Iterator[tuple[int, int, str, str]]:
     """Entities that hold digits, found from the first digit of each run."""
     end = 0
@@ -66,11 +114,17 @@ def _numbers(text: str) -> Iterator[tuple[int, int, str, str]]:
                 norm = match[0] if kind == "ip" else match[0].replace(" ", "") if kind == "iban" else re.sub(r"\D", "", match[0])
                 yield start, end, kind, norm
                 break
+        else:
+            for start in (at - 1, at) if at and text[at - 1] == "(" else (at,):
+                if start >= end and (stop := _national(text, start, end)):
+                    end = stop
+                    yield start, end, "phone", re.sub(r"\D", "", text[start:end])
+                    break
 
 
 def find_entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, normal form) of the entities in a text, left to right and without overlaps; e-mail addresses go before names
-    and names before numbers. The normal form is the same for all spellings of one entity."""
+    and names before numbers. A name behind a form of address is one wherever its words stand in the text. The normal form is the same for all spellings of one entity."""
     found: list[tuple[int, int, str, str]] = []
     if "@" in text:
         found += [(m.start(), m.end(), "email", m[0].lower()) for m in _EMAIL.finditer(text)]
@@ -81,6 +135,8 @@ def find_entities(text: str) -> list[tuple[int, int, str, str]]:
                 kind = "surname" if k == len(words) - 1 else f"given_{_gender(m[1], words[0].casefold())}"
                 found.append((at, at + len(word), kind, word.casefold()))
                 at += len(word) + 1
+        named = [e for e in found if e[2] != "email"]
+        found += _mentions(text, named) if named else ()
     found += _numbers(text)
     found.sort(key=lambda e: e[0])  # stable: of two that start together, the one found first
     out, end = [], 0
@@ -142,7 +198,7 @@ def _name(norm: str, kind: str, draw: _Stream, attempt: int) -> str:
 
 def surrogate(key: bytes, kind: str, norm: str, attempt: int) -> str:
     """The normal form of the surrogate. Attempts give different ones, in case one is taken. Kept are: an e-mail's shape and top-level
-    domain, a phone's country code and length, whether an IP address is private, a card's first digit and whether its check
+    domain, a phone's country code (or the first digits of a national form) and length, whether an IP address is private, a card's first digit and whether its check
     digit fits, an IBAN's country with fitting check digits, a name's script and the gender of its form of address."""
     draw = _Stream(key, kind, norm, attempt)
     if kind == "email":
@@ -174,6 +230,8 @@ def surrogate(key: bytes, kind: str, norm: str, attempt: int) -> str:
         return f"{norm[:2]}{98 - number % 97:02d}{body}"
     if kind in ("phone", "ssn"):
         keep = 0 if kind == "ssn" or len(norm) <= 10 else len(norm) - 10 if norm[0] == "1" or len(norm) > 12 else 2
+        if kind == "phone" and (norm[0] == "0" or (len(norm) == 9 and norm[0] in "6789")):
+            keep = 2 if norm[0] == "0" else 1  # what a national form is known by
         digits = norm[:keep]
         for c in norm[keep:]:
             digits += str(draw.below(10)) if c in "01" else str(2 + draw.below(8))
@@ -282,7 +340,8 @@ def _replaced(key: bytes, text: Column, retries: Column | None, sent: dict[tuple
 def with_surrogates(docs: DataFrame, key: bytes, name: str, text_col: str = "text") -> DataFrame:
     """``docs`` with a further column ``name``, a struct of the text without personal data, n_entities and kinds (``kind:count``, comma-joined).
 
-    Entities: e-mail addresses, phone numbers, IPv4 addresses, card numbers, IBANs, US social security numbers, and names behind a form of address.
+    Entities: e-mail addresses, phone numbers (international, and national forms of the corpus's languages), IPv4 addresses, card numbers, IBANs, US
+    social security numbers, and names behind a form of address with all other mentions of their words in the same text.
     Each becomes a surrogate of its type, made from a keyed hash of its normal form, so one entity has one surrogate in all
     texts and spellings. ``collisions`` sees to it that two entities never share one and that none is an entity of the corpus. The
     key is the caller's secret.

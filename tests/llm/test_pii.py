@@ -30,6 +30,43 @@ def test_entities():
     assert kinds(TEXTS[3]) == []
 
 
+NATIONAL = [
+    "06 12 34 56 78", "06.12.34.56.78", "06-12-34-56-78", "0612345678", "030 1234567", "030/1234567", "0171 1234567", "(030) 1234567", "089 123456-78",
+    "020 7946 0958", "07700 900123", "01711234567", "0171 234 56 78", "089 123456", "612 345 678", "612-345-678", "612 34 56 78", "91 234 56 78", "212 555 0123", "212 555-0123", "(212) 555-0123",
+]
+
+
+@pytest.mark.parametrize("phone", NATIONAL)
+def test_national_phones(phone):
+    norm = re.sub(r"\D", "", phone)
+    for text in (f"Tel. {phone}, {phone}.", f"{phone} {phone}"):
+        assert [e[2:] for e in find_entities(text)] == [("phone", norm)] * 2
+        assert kinds(text) == [("phone", phone)] * 2
+    made = {pii._pour(phone, "phone", surrogate(KEY, "phone", norm, k)) for k in range(16)}
+    assert len(made) > 4 and all(kinds(m) == [("phone", m)] for m in made)
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["01.02.2024 05-12-2023 2024 06 12 10 30 00", "612 345 678 901 people, 1 612 345 678", "3.0612345678 0.123456789 x0612345678 06123456789012345x", "9 12 34 56 78", "07 12", "212 5550123", "0-306-40615-2", "2024-06-12 10:30"],
+)
+def test_other_numbers_are_no_phones(text):
+    assert [k for k, _ in kinds(text)] == []
+
+
+def test_later_mentions_of_a_name_are_the_same_entity(spark):
+    text = "Smith's day. Mr John Smith came; Smith said (SMITH!) that John left. Smithson and Johnny, smith and John-Paul stay. Smith@a.io"
+    assert [(k, w) for k, w in kinds(text)] == [
+        ("surname", "Smith"), ("given_m", "John"), ("surname", "Smith"), ("surname", "Smith"), ("surname", "SMITH"), ("given_m", "John"), ("email", "Smith@a.io"),
+    ]
+    got = surrogates(documents(spark, [(0, text, "s"), (1, "John Smith without a form of address", "s")]), KEY).orderBy("doc_id").collect()
+    assert got[1]["text"] == "John Smith without a form of address" and got[0]["kinds"] == "email:1,given_m:2,surname:4"
+    words = re.findall(r"[A-Za-z]+", got[0]["text"])
+    name, given = words[0], words[4]
+    assert words[5:8] == [name, "came", name] and name.upper() in words and words.count(given) == 2
+    assert "Smithson and Johnny, smith and John-Paul stay" in got[0]["text"] and not re.search(r"\b(Smith|SMITH|John)\b(?!-)", got[0]["text"])
+
+
 @pytest.mark.parametrize("clashing", [False, True])
 def test_coreference_distinctness_and_form(spark, clashing):
     rows = [(i, t, "s") for i, t in enumerate(TEXTS)] + [(9, TEXTS[0], "s")]
