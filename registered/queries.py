@@ -478,7 +478,7 @@ def ols_metrics(spark, d):
 def forest_importance(spark, d):
     result = models.random_forest_regression(
         table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"],
-        n_estimators=200, max_depth=5, max_bins=32, rebalance=True, split_key=["l_orderkey", "l_linenumber"],
+        n_estimators=200, rebalance=True, split_key=["l_orderkey", "l_linenumber"],
     )
     return result["feature_importance"]
 
