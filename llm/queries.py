@@ -17,6 +17,7 @@ from llm.simhash_variants import near_duplicates
 from llm.toxicity import toxicity
 from llm.url_alias import judge
 from llm.warc import archive_round_trip
+from llm.whitening import whitened
 
 #: A secret in production; here it only has to be the same on every run.
 SURROGATE_KEY = b"example key"
@@ -73,6 +74,11 @@ def op10_url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     return judge(table(spark, folder, "pages"), spark.createDataFrame(RULES, "host string, path string, verdict string"))
 
 
+def op11_whitened_components(spark: SparkSession, folder: str) -> DataFrame:
+    rows = whitened(table(spark, folder, "embeddings"), components=32)
+    return rows.withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_mix_sources": op2_mix_sources,
@@ -84,4 +90,5 @@ QUERIES = {
     "op8_warc_revisits": op8_warc_revisits,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_url_verdicts": op10_url_verdicts,
+    "op11_whitened_components": op11_whitened_components,
 }
