@@ -11,6 +11,7 @@ from llm.common import shared_folder, table
 from llm.fingerprint_blocks import document_fingerprints
 from llm.mixing import mix_counts
 from llm.pii import surrogates
+from llm.prefix_trie import prefix_trie
 from llm.projected_ann import nearest
 from llm.secret_spans import secret_spans
 from llm.simhash_variants import near_duplicates
@@ -79,6 +80,10 @@ def op11_whitened_components(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("deviation", F.col("deviation").cast("bigint"))
 
 
+def op12_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie(table(spark, folder, "conversations"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_mix_sources": op2_mix_sources,
@@ -91,4 +96,5 @@ QUERIES = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_url_verdicts": op10_url_verdicts,
     "op11_whitened_components": op11_whitened_components,
+    "op12_conversation_trie": op12_conversation_trie,
 }
