@@ -4,6 +4,8 @@ The others hash with XXH64, train, draw keyed surrogates, replay merges, count g
 brute-force versions instead.
 """
 
+from llm.license_join import NOTICES, PHRASES, templates
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: crc32 of a decimal number, bit by bit.
@@ -12,6 +14,10 @@ xor(4294967295, list_reduce(
   flatten(list_transform(range(1, length(CAST(c AS VARCHAR)) + 1), lambda i: [ascii(substr(CAST(c AS VARCHAR), CAST(i AS INTEGER), 1)), 0, 0, 0, 0, 0, 0, 0])),
   lambda s, b: xor(xor(s, b) >> 1, CASE WHEN xor(s, b) & 1 = 1 THEN 3988292384 ELSE 0 END), 4294967295))"""
 
+_TEMPLATES = ", ".join(
+    f"({number}, '{t.label}', {t.phrase}, {t.step}, {t.need}, {list(t.words)})" for number, t in enumerate(templates(PHRASES, NOTICES, 0.8))
+)
+
 ORACLE: dict[str, str] = {
     "op8_warc_revisits": """
 WITH heads AS (
@@ -68,4 +74,32 @@ SELECT nodes.conv_id, CAST(nodes.d AS BIGINT) AS depth, up.conv_id AS parent_con
        CAST(saved_tokens AS BIGINT) AS saved_tokens, nodes.ends_sha256
 FROM nodes JOIN sums ON sums.node = nodes.node AND sums.d = nodes.d LEFT JOIN children ON children.node = nodes.node AND children.d = nodes.d
 LEFT JOIN nodes AS up ON up.node = nodes.parent AND up.d = nodes.d - 1""",
+    # Every template against every block of its length.
+    "op13_license_scan": rf"""
+WITH known(template, label, phrase, step, need, words) AS (VALUES {_TEMPLATES}),
+docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+blocks AS (
+  SELECT r, step, w[k * step + 1 : k * step + 2 * step] AS block
+  FROM docs, (SELECT DISTINCT step FROM known), unnest(range(0, (length(w) + step - 1) // step)) AS t(k)),
+held AS (
+  SELECT r, label, length(list_intersect(list_distinct(block), list_distinct(words))) / length(list_distinct(words)) AS share
+  FROM blocks JOIN known USING (step)
+  WHERE NOT phrase AND length(list_intersect(list_distinct(block), list_distinct(words))) >= need),
+places AS (
+  SELECT r, label, i - 1 AS place
+  FROM docs, known, unnest(range(1, length(w) + 1)) AS t(i)
+  WHERE phrase AND w[i] = words[1] AND w[i : i + length(words) - 1] = words),
+seen AS (
+  SELECT r, label, NULL AS base, NULL AS place, share FROM held
+  UNION ALL SELECT r, label, label, place, 1 FROM places),
+sums AS (
+  SELECT r, count(place) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT base, ',' ORDER BY base) AS base_labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+  FROM seen GROUP BY r)
+SELECT doc_id, length(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+       coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM docs LEFT JOIN sums USING (r)""",
 }

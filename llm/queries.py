@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from llm.bpe import encode_documents
 from llm.common import shared_folder, table
 from llm.fingerprint_blocks import document_fingerprints
+from llm.license_join import license_scan
 from llm.mixing import mix_counts
 from llm.pii import surrogates
 from llm.prefix_trie import prefix_trie
@@ -84,6 +85,10 @@ def op12_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie(table(spark, folder, "conversations"))
 
 
+def op13_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_mix_sources": op2_mix_sources,
@@ -97,4 +102,5 @@ QUERIES = {
     "op10_url_verdicts": op10_url_verdicts,
     "op11_whitened_components": op11_whitened_components,
     "op12_conversation_trie": op12_conversation_trie,
+    "op13_license_scan": op13_license_scan,
 }
