@@ -11,7 +11,7 @@ from fieldstats import fixed
 from fieldstats.functions.coerce import number
 from fieldstats.model import Result, Roles
 from fieldstats.operators.describe import choose_features
-from fieldstats.plans import gram
+from fieldstats.plans import forest, gram
 
 
 def complete_rows(
@@ -85,35 +85,20 @@ def random_forest_regression(
     features: Sequence[str] | None = None,
     roles: Roles | None = None,
     n_estimators: int = fixed.FOREST_TREES,
-    max_depth: int = 30,
+    max_depth: int | None = None,
+    bag_rows: int = 16_384,
     max_bins: int = 256,
-    rebalance: bool = False,
     held_out: Column | None = None,
     split_key: Sequence[str] = (),
 ) -> Result:
-    """Averaged regression trees that may use every feature at each split, grown on the executors. ``rebalance`` first evens out few or
-    lopsided input partitions, at the price of a shuffle of all rows."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import RandomForestRegressor
-
+    """Averaged regression trees that may use every feature at each split and, without ``max_depth``, end in pure leaves. Every tree is grown
+    in one task, from about ``bag_rows`` rows at most; see ``plans.forest``."""
     target, features = _features(df, target, features, roles)
     rows = complete_rows(df, features, target, held_out, split_key)
     _enough(rows, fixed.MIN_FOREST_ROWS)
-    if rebalance:
-        rows = rows.hint("rebalance")
-    assembled = VectorAssembler(inputCols=list(features), outputCol="__features").transform(rows)
-    forest = RandomForestRegressor(
-        featuresCol="__features",
-        labelCol=target,
-        predictionCol="prediction",
-        numTrees=int(n_estimators),
-        maxDepth=max_depth,
-        maxBins=max_bins,
-        featureSubsetStrategy="all",
-        seed=42,
-    ).fit(assembled.where(~F.col("__test")))
-    scored = forest.transform(assembled.where("__test"))
-    weights = [(f, float(w)) for f, w in zip(features, forest.featureImportances.toArray())]
+    grown = forest.fit(rows.where(~F.col("__test")), features, target, int(n_estimators), bag_rows, max_bins, max_depth)
+    scored = grown.predict(rows.where("__test"))
+    weights = list(zip(features, grown.importances()))
     return Result(
         "random_forest_regression",
         facts={"coverage": lambda: gram.metrics(scored, target)},
@@ -121,7 +106,7 @@ def random_forest_regression(
             "feature_importance": lambda: df.sparkSession.createDataFrame(
                 weights, "feature string, importance double"
             ),
-            "predictions": scored.select(*features, target, "prediction"),
+            "predictions": scored,
         },
         info={"target_column": target, "feature_columns": features},
     )

@@ -441,6 +441,13 @@ SELECT round((SELECT w0 FROM f), 4) AS intercept, round(1 - sum(err * err) / (va
        round(sqrt(avg(err * err)), 4) AS rmse, count(*) AS test_points FROM e""")
 
 
+# The forest is random; what must hold of it is not.
+sql("forest_net_price", """
+SELECT count(*) AS test_points, true AS above_line, 'l_extendedprice' AS top_feature, CAST(1 AS DOUBLE) AS importance_total
+FROM lineitem
+WHERE l_orderkey % 5 = 0 AND l_extendedprice IS NOT NULL AND l_discount IS NOT NULL AND l_quantity IS NOT NULL""")
+
+
 def autoregression(source: str) -> str:
     """Two-lag least squares over ``series(i, v)`` by Cramer's rule, as ``f(w1, w2, w0)``."""
     return f"""

@@ -478,11 +478,25 @@ def ols_metrics(spark, d):
 def forest_importance(spark, d):
     result = models.random_forest_regression(
         table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"],
-        n_estimators=200, rebalance=True, split_key=["l_orderkey", "l_linenumber"],
+        split_key=["l_orderkey", "l_linenumber"],
     )
     return result["feature_importance"]
 
 
+@query
+def forest_net_price(spark, d):
+    # A product of two columns: a line cannot follow it, the forest can.
+    items = table(spark, d, "lineitem").withColumn("net", F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    parts = items, "net", ["l_extendedprice", "l_discount", "l_quantity"]
+    trees = models.random_forest_regression(*parts, held_out=F.col("l_orderkey") % 5 == 0)
+    line = models.linear_regression(*parts, held_out=F.col("l_orderkey") % 5 == 0)
+    weights = trees["feature_importance"].agg(
+        F.max_by("feature", "importance").alias("top_feature"), F.round(F.sum("importance"), 9).alias("importance_total")
+    )
+    better = F.col("r2") > F.lit(line["coverage"].first()["r2"])
+    return trees["coverage"].select("test_points", better.alias("above_line")).crossJoin(weights)
+
+
 @query
 def forecast_ar2(spark, d):
     days = aggregate.temporal_aggregation(

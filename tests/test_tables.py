@@ -123,21 +123,6 @@ def test_random_forest(spark):
         random_forest_regression(spark.createDataFrame(pdf).limit(20), "y", ["a", "b"])
 
 
-def test_registered_forest_has_the_depth_and_bins_of_the_operator(monkeypatch):
-    from registered import queries
-
-    given = {}
-
-    def forest(df, target, features, **options):
-        given.update(options)
-        return {"feature_importance": None}
-
-    monkeypatch.setattr(queries, "table", lambda spark, d, name: None)
-    monkeypatch.setattr(queries.models, "random_forest_regression", forest)
-    queries.QUERIES["forest_importance"](None, "")
-    assert given["n_estimators"] == 200 and not {"max_depth", "max_bins"} & set(given)
-
-
 def ar_forecast(values, lags, horizon):
     frame = pd.DataFrame({"y": values})
     for k in range(1, lags + 1):
