@@ -2,127 +2,23 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
-from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldstats.functions.coerce import number
 from fieldstats.model import Result, Roles
 from fieldstats.operators.describe import choose_features
-from fieldstats.plans.gram import centres
-
-#: Ten aggregates each; more at once would be slow to compile.
-PAIRS_AT_ONCE = 60
-
-
-@dataclass
-class _Sums:
-    """What a pair's correlation needs, over the rows that have both values: sums around rough centres, and the ranges."""
-
-    n: int = 0
-    x: float = 0.0
-    y: float = 0.0
-    xx: float = 0.0
-    yy: float = 0.0
-    xy: float = 0.0
-    x_range: tuple[float, float] = (math.inf, -math.inf)
-    y_range: tuple[float, float] = (math.inf, -math.inf)
-
-    def __add__(self, other: _Sums) -> _Sums:
-        def joint(a: tuple[float, float], b: tuple[float, float]) -> tuple[float, float]:
-            return min(a[0], b[0]), max(a[1], b[1])
-
-        sums = [a + b for a, b in zip(self._numbers(), other._numbers())]
-        return _Sums(*sums, joint(self.x_range, other.x_range), joint(self.y_range, other.y_range))
-
-    def _numbers(self) -> tuple[float, ...]:
-        return self.n, self.x, self.y, self.xx, self.yy, self.xy
-
-    def pearson(self) -> float | None:
-        """NULL when either side is constant."""
-        if not self.n or self.x_range[0] >= self.x_range[1] or self.y_range[0] >= self.y_range[1]:
-            return None
-        spread_x, spread_y = self.xx - self.x * self.x / self.n, self.yy - self.y * self.y / self.n
-        if spread_x <= 0 or spread_y <= 0:
-            return None
-        r = (self.xy - self.x * self.y / self.n) / (math.sqrt(spread_x) * math.sqrt(spread_y))
-        return max(-1.0, min(1.0, r))
-
-
-def _range(low: float | None, high: float | None) -> tuple[float, float]:
-    return (math.inf, -math.inf) if low is None else (low, high)
-
-
-def _complete_sums(slim: DataFrame, pairs: list[tuple[int, int]], size: int) -> tuple[dict, int]:
-    """Sums over the rows without any missing value, and how many rows have one. These rows need one
-    sum per column and per pair, which compiles to tight code."""
-    names = [f"c{i}" for i in range(size)]
-    whole = F.lit(True)
-    for c in names:
-        whole = whole & F.col(c).isNotNull()
-    # 0 for every cell of an incomplete row, so that it adds nothing.
-    filled = slim.select(
-        whole.alias("whole"), *names, *[F.when(whole, F.col(c)).otherwise(0.0).alias(f"f{c}") for c in names]
-    )
-    row = filled.agg(
-        F.count_if("whole").alias("n"),
-        F.count_if(~F.col("whole")).alias("incomplete"),
-        *[F.sum(f"f{c}").alias(c) for c in names],
-        *[F.min(F.when(F.col("whole"), F.col(c))).alias(f"lo_{c}") for c in names],
-        *[F.max(F.when(F.col("whole"), F.col(c))).alias(f"hi_{c}") for c in names],
-        *[F.sum(F.col(f"fc{i}") * F.col(f"fc{j}")).alias(f"p{i}_{j}") for i, j in pairs],
-    ).head()
-    sums = {}
-    for i, j in pairs:
-        numbers = [row[name] or 0.0 for name in (f"c{i}", f"c{j}", f"p{i}_{i}", f"p{j}_{j}", f"p{i}_{j}")]
-        ranges = [_range(row[f"lo_c{k}"], row[f"hi_c{k}"]) for k in (i, j)]
-        sums[i, j] = _Sums(row["n"], *numbers, *ranges)
-    return sums, row["incomplete"]
-
-
-def _partial_sums(slim: DataFrame, pairs: list[tuple[int, int]], size: int) -> dict:
-    """The same over the incomplete rows, each row adding to the pairs it has both values of. No row is copied: a scan takes the
-    conditional sums of ``PAIRS_AT_ONCE`` pairs."""
-    lacking = F.lit(False)
-    for i in range(size):
-        lacking = lacking | F.col(f"c{i}").isNull()
-    rows, found = slim.where(lacking), {}
-    for start in range(0, len(pairs), PAIRS_AT_ONCE):
-        some = pairs[start : start + PAIRS_AT_ONCE]
-        parts: list[Column] = []
-        for k, (i, j) in enumerate(some):
-            both = F.col(f"c{i}").isNotNull() & F.col(f"c{j}").isNotNull()
-            x, y = F.when(both, F.col(f"c{i}")), F.when(both, F.col(f"c{j}"))
-            sums = [F.count_if(both), F.sum(x), F.sum(y), F.sum(x * x), F.sum(y * y), F.sum(x * y)]
-            parts += [c.alias(f"a{k}_{m}") for m, c in enumerate([*sums, F.min(x), F.max(x), F.min(y), F.max(y)])]
-        row = rows.agg(*parts).head()
-        for k, pair in enumerate(some):
-            cells = [row[f"a{k}_{m}"] for m in range(10)]
-            found[pair] = _Sums(*[c or 0 for c in cells[:6]], _range(*cells[6:8]), _range(*cells[8:]))
-    return found
+from fieldstats.plans.pairs import correlations
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str], digits: int | None = 6) -> DataFrame:
-    """Every ordered pair as ``(col_a, col_b, r)``.
-
-    Rows missing a value are left out of the pairs that need it. A scan for the means and one for the complete rows; more only
-    when there are incomplete rows, one per ``PAIRS_AT_ONCE`` pairs. Each returns one row of sums.
-    """
-    slim = df.select(*[number(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
-    centre = centres(slim, slim.columns)
-    slim = slim.select(*[(F.col(c) - F.lit(centre[c])).alias(c) for c in slim.columns])
-    size = len(columns)
-    pairs = [(i, j) for i in range(size) for j in range(i, size)]
-    sums, incomplete = _complete_sums(slim, pairs, size)
-    if incomplete:
-        for pair, extra in _partial_sums(slim, pairs, size).items():
-            sums[pair] = sums[pair] + extra
-    found = {pair: parts.pearson() for pair, parts in sums.items()}
+    """Every ordered pair as ``(col_a, col_b, r)``. Rows missing a value are left out of the pairs that need it; a pair with a constant
+    side, or without rows, has a NULL. A scan for the means and one for all pairs."""
+    found = correlations(df.select(*[number(df, c).alias(f"c{i}") for i, c in enumerate(columns)]))
     rows = [
-        (a, b, found[min(i, j), max(i, j)]) for i, a in enumerate(columns) for j, b in enumerate(columns)
+        (a, b, found.get((min(i, j), max(i, j)))) for i, a in enumerate(columns) for j, b in enumerate(columns)
     ]
     long = df.sparkSession.createDataFrame(rows, "col_a string, col_b string, r double")
     return long.withColumn("r", F.round("r", digits)) if digits is not None else long
