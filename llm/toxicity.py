@@ -165,7 +165,7 @@ def fit(
         of = group["positive"].to_numpy()
         p, u = [s for s, k in zip(sets, of, strict=True) if k], [s for s, k in zip(sets, of, strict=True) if not k]
         if not p or not u:
-            return pd.DataFrame({"bag": [], "term": [], "weight": [], "bias": []})
+            return pd.DataFrame({"bag": [], "term": [], "weight": [], "bias": []}, dtype=object)
         model = train_nnpu(p, u, prior)
         return pd.DataFrame(
             {"bag": [int(group["bag"].iloc[0])], "term": [model.term.astype(np.int64)], "weight": [model.weight], "bias": [model.bias]}

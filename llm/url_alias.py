@@ -22,8 +22,29 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def node(url: Column) -> Column:
-    """What a link points to: the URL without its fragment."""
-    return F.regexp_extract(url, r"^([^#]*)", 1)
+    """What a link points to: the URL without its fragment, A-Z lower-cased in scheme and host, which ignore case."""
+    whole = F.regexp_extract(url, r"^([^#]*)", 1)
+    site = F.regexp_extract(whole, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)", 1)
+    return F.concat(F.translate(site, _UPPER, _LOWER), F.substr(whole, F.length(site) + 1))
+
+
+def decoded(value: Column) -> Column:
+    """An attribute's value with numeric character references and those of & < > " ' decoded, once. Others, and numbers that are no character,
+    stay as they are."""
+    pieces = F.regexp_extract_all(value, F.lit(r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|amp|lt|gt|quot|apos);|&|[^&]+"), F.lit(0))
+
+    def plain(piece: Column) -> Column:
+        digits = F.regexp_extract(piece, r"^&#([0-9]+);$", 1)
+        hexits = F.regexp_extract(piece, r"^&#[xX]([0-9A-Fa-f]+);$", 1)
+        code = F.when(digits != "", digits.cast("long")).when(hexits != "", F.conv(hexits, 16, 10).cast("long"))
+        real = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        named = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'"}
+        out = F.when(real, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        for name, character in named.items():
+            out = out.when(piece == name, character)
+        return out.otherwise(piece)
+
+    return F.array_join(F.transform(pieces, plain), "")
 
 
 def resolved(base: Column, link: Column) -> Column:
@@ -42,7 +63,7 @@ def resolved(base: Column, link: Column) -> Column:
 
 
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Canonical links and refresh redirects in the whole html, as ``src`` and ``dst``."""
+    """Canonical links and refresh redirects in the whole html, as ``src`` and ``dst``; references such as ``&amp;`` are decoded."""
     tags = F.regexp_extract_all(ref(html_col).cast("string"), F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
     rows = pages.select(ref(url_col).cast("string").alias("src"), F.explode(tags).alias("tag"))
     quoted = r"""(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
@@ -55,7 +76,7 @@ def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     refresh = F.when(F.lower(attribute("http-equiv")) == "refresh", F.regexp_extract(attribute("content"), r"""(?is)url\s*=\s*['"]?([^'"]*)""", 1))
     link = F.trim(F.coalesce(canonical, refresh)).alias("link")
     rows = rows.select("src", link).where((F.col("link") != "") & F.col("src").isNotNull())
-    return rows.select("src", resolved(F.col("src"), F.col("link")).alias("dst"))
+    return rows.select("src", resolved(F.col("src"), decoded(F.col("link"))).alias("dst"))
 
 
 def ruled(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -90,8 +111,9 @@ def judge(
     A page with a rule has the rule's verdict. Pages without one take it from their aliases: the URLs that redirects and
     canonical links connect them with, in any direction and over any number of steps, targets outside the table included. If
     a rule allows one of the aliases, the page is allowed; else, if a rule blocks one, it is blocked; else allowed. Links come from
-    the html (canonical links, refresh redirects) and from ``links`` (``src``, ``dst``), such as redirects seen by a crawler. URLs
-    that differ in the fragment only are the same.
+    the html (canonical links, refresh redirects, character references decoded) and from ``links`` (``src``, ``dst``), such as redirects seen by
+    a crawler. URLs that differ only in the fragment, or in the case of scheme and host, are the same; ``alias_root`` is
+    without fragment and in small letters there.
 
     Each distinct URL is judged once, from (host, path) groups, so a hot host or URL is no larger than another. Null URLs and
     those without ``://`` have an empty host and path and no rule; null html has no links; null ends are no links. Repeated rows

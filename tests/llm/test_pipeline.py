@@ -14,6 +14,7 @@ from llm.bpe import read_ranks
 from llm.mixing import mix_counts
 from llm.pii import _pour, find_entities, surrogate
 from llm.toxicity import toxicity
+from tests.llm.helpers import LONG, documents
 from tests.llm.test_pii import plain_collisions
 from tests.llm.test_simhash_variants import plain_components, plain_fingerprint
 
@@ -55,6 +56,41 @@ def test_stages_keep_the_columns_of_documents_and_take_empty_tables(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["drop_toxic", "drop_near_copies", "replace_personal_data", "mix_sources", "encode"]
 
 
+def awkward(spark):
+    """Documents with null ids, texts and sources, repeated rows, ties, a very long text, and names that stages use themselves."""
+    docs = documents(spark, clashing=True)
+    return docs.withColumns({c: F.lit("x") for c in ["kept_id", "kept_digest", "kept_rows", "prediction", "toxic", "__row", "__fact", "text_", "n_chars"]})
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_take_awkward_rows(spark, name):
+    docs = awkward(spark)
+    rows = dict(corpus_pipeline.STAGES)[name](spark, docs, FOLDER)
+    got = [r.asDict() for r in rows.collect()]
+    texts = [r["text"] for r in docs.collect()]
+    if name == "encode":
+        assert len(got) == len(texts) and sum(r["n_tokens"] == 0 for r in got) == sum(not t for t in texts)
+        return
+    assert rows.columns == docs.columns
+    kept = sorted((r["text"] for r in got), key=repr)
+    if name == "drop_toxic":  # the table's models know none of these words
+        assert kept == sorted(texts, key=repr)
+    elif name == "drop_near_copies":  # null, empty and blank texts are one group; so are the copies
+        assert len(kept) == len({t.strip().lower() if t else "" for t in texts})
+    elif name == "replace_personal_data":
+        assert kept == sorted(texts, key=repr)
+    else:  # a document is taken up to three times, those without words never
+        assert LONG in kept and not {None, "", " \t\n "} & set(kept) and max(map(kept.count, kept)) <= 6
+
+
+def test_empty_table_through_all_stages(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, FOLDER)
+        assert docs.count() == 0
+    assert {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(docs.columns)
+
+
 def test_one_row_of_repeated_ids_stays(spark):
     docs = spark.createDataFrame([(1, "a b c d", "s"), (1, "a b c d", "s"), (2, "a b c d", "s"), (None, "x y z w", "s"), (None, "x y z w", "s")], "doc_id bigint, text string, source string")
     got = corpus_pipeline.drop_near_copies(spark, docs, FOLDER)
@@ -75,7 +111,8 @@ def test_null_ids_and_repeated_ids_with_different_texts_stay_apart(spark):
 @pytest.mark.parametrize("name", sorted(oracle.ORACLE))
 def test_query_equals_its_sql(spark, name):
     db = duckdb.connect()
-    db.execute(f"CREATE VIEW pages AS SELECT * FROM '{FOLDER}/pages.parquet'")
+    for view in ("pages", "documents", "conversations"):
+        db.execute(f"CREATE VIEW {view} AS SELECT * FROM '{FOLDER}/{view}.parquet'")
     answer = db.execute(oracle.ORACLE[name])
     columns = sorted(c[0] for c in answer.description)
     want = answer.fetchall()

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from llm.queries import RULES
-from llm.url_alias import host_and_path, judge, page_links
+from llm.url_alias import decoded, host_and_path, judge, page_links
 from tests.llm.helpers import CLASHING, table
 
 SCHEMA = "page_id bigint, url string, html string"
@@ -33,6 +33,11 @@ ROWS = [
     (17, "http://é.ÉCOM.com/de/", ""),
     (10, "http://e.net", ""),
     (None, "http://b.com/de/2", ""),
+    (20, "http://a.net/p?a=1&b=2", canonical("http://worse.com/de/")),
+    (21, "http://q.net/1", canonical("http://a.net/p?a=1&amp;b=2")),
+    (22, "http://q.net/2", canonical("HTTP://A.Net/p?a=1&#38;b&#x3D;2")),
+    (23, "http://q.net/3", canonical("http://a.net/P?a=1&b=2")),
+    (24, "http://Q.NET/2#top", ""),
 ]
 
 
@@ -52,6 +57,14 @@ def plain_rule(url):
     return max(fits)[1:] if fits else (None, None)
 
 
+def same(url):
+    scheme, colon, rest = url.split("#")[0].partition("://")
+    if not colon:
+        return scheme
+    end = min([rest.index(c) for c in "/?" if c in rest] or [len(rest)])
+    return scheme.lower() + colon + rest[:end].translate({c: c + 32 for c in range(65, 91)}) + rest[end:]
+
+
 def plain(rows, links):
     root = {}
 
@@ -61,7 +74,7 @@ def plain(rows, links):
             x = root[x]
         return x
 
-    strip = lambda u: u.split("#")[0]
+    strip = same
     for a, b in links:
         if a and b and strip(a) != strip(b):
             root[find(strip(a))] = find(strip(b))
@@ -81,7 +94,8 @@ def plain(rows, links):
 LINKS = [
     ("http://a.com/fr/1", "http://b.com/de/2"), ("http://c.net/x", "http://b.com/de/2"), ("http://d.net/y", "http://d.net/z"),
     ("http://d.net/z", "http://hidden.com/de/1"), ("http://f.net/", "http://f.net/2"), ("http://f.net/2", "http://ok.org/"),
-    ("http://f.net/3", "http://f.net/2"), ("http://f.net/3", "http://bad.com/de/"),
+    ("http://f.net/3", "http://f.net/2"), ("http://f.net/3", "http://bad.com/de/"), ("http://a.net/p?a=1&b=2", "http://worse.com/de/"),
+    ("http://q.net/1", "http://a.net/p?a=1&b=2"), ("http://q.net/2", "HTTP://A.Net/p?a=1&b=2"), ("http://q.net/3", "http://a.net/P?a=1&b=2"),
 ]
 
 
@@ -101,6 +115,20 @@ def test_links_found_in_html(spark):
     assert sorted(map(tuple, got)) == sorted((a, b) for a, b in [*LINKS[:1], ("http://c.net/x", "http://b.com/de/2#top"), *LINKS[2:]])
 
 
+def test_references_are_decoded_once(spark):
+    cases = {
+        "a&amp;b": "a&b", "&amp;amp;": "&amp;", "&#233;&#xE9;&#128578;": "éé\U0001f642", "&lt;&gt;&quot;&apos;": "<>\"'", "&": "&", "&&amp;&": "&&&",
+        "&#xD800;&#0;&#9999999;": "&#xD800;&#0;&#9999999;", "&nbsp;x": "&nbsp;x", "": "", "plain": "plain",
+    }
+    df = table(spark, [(c,) for c in cases], "v string")
+    assert {r[0]: r[1] for r in df.select("v", decoded(F.col("v"))).collect()} == cases
+
+
+def test_links_with_references_and_capitals_pass_the_block_on(spark):
+    got = {r["page_id"]: r["verdict"] for r in judge(table(spark, ROWS, SCHEMA), table(spark, RULES, RULE_SCHEMA)).collect()}
+    assert [got[k] for k in (20, 21, 22, 23, 24)] == ["block", "block", "block", "allow", "block"]
+
+
 def test_parts(spark):
     df = table(spark, [(r[1],) for r in ROWS], "url string")
     host, path = host_and_path(F.col("url"))
