@@ -1,6 +1,8 @@
 """The driver contract on the smallest tables."""
 
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -16,6 +18,19 @@ def test_entry(spark):
     assert got.columns == ["year", "mean", "std", "min", "max", "count", "trend"] and got.count() == 7
 
 
+@pytest.mark.parametrize("missing", ["regex", "xxhash", "public_tokenizers", "llm"])
+def test_other_queries_stay_if_a_package_of_the_operators_is_missing(missing):
+    code = f"""
+import sys
+sys.modules[{missing!r}] = None  # any import of it fails
+import __spark_entry__ as contract
+assert "annual_trend_signal" in contract.queries() and "pipeline" not in contract.queries()
+assert not [name for name in contract.queries() if name.startswith("op1_")]
+assert set(contract.oracle_sql()) <= set(contract.queries())
+"""
+    subprocess.run([sys.executable, "-W", "ignore", "-c", code], check=True, cwd=os.path.dirname(contract.__file__))
+
+
 def test_every_oracle_has_a_query():
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
