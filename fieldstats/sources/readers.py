@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from fieldstats import fixed
 from fieldstats.functions.coerce import ref
+from fieldstats.sources.records import csv_records
 
 #: The folders of years in partitioned output; not a column of the table.
 YEAR_FOLDER = "fieldstats_year"
@@ -45,19 +46,28 @@ def read_table(
 def read_csv(
     spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = True
 ) -> DataFrame:
-    """CSV with a header row. Quoted cells may hold line breaks; a file is then read by one task. Where no cell does,
-    ``multi_line=False`` splits large files; a line that is not a whole record then raises.
+    """CSV with a header row. Quoted cells may hold line breaks, and files are split all the same, see ``records.csv_records``. Where no
+    cell holds one, ``multi_line=False`` saves the pass that looks for them; a line that is not a whole record then raises.
 
     Without a ``schema`` the types are inferred over the whole file in one scan, with every missing-value token as
     NULL: all-integer columns are bigint (double when cells are missing), numeric ones double, True/False boolean,
     the rest text.
     """
-    options = {"header": True, "quote": '"', "escape": '"', "multiLine": multi_line}
+    options = {"header": True, "quote": '"', "escape": '"'}
     if not multi_line:
-        options["mode"] = "FAILFAST"
+        lines = spark.read.options(**options, mode="FAILFAST")
+        table = (lines.schema(schema) if schema is not None else lines).csv(path)
+    else:
+        kinds = schema
+        if kinds is None:
+            kinds = spark.read.options(**options, multiLine=True).csv(path).schema
+        if isinstance(kinds, T.StructType):
+            kinds = kinds.toDDL()
+        cells = F.from_csv("record", kinds, {"quote": '"', "escape": '"'}).alias("cells")
+        table = csv_records(spark, path).select(cells).select("cells.*")
+    text = null_tokens(table)
     if schema is not None:
-        return null_tokens(spark.read.options(**options).schema(schema).csv(path))
-    text = null_tokens(spark.read.options(**options).csv(path))
+        return text
     kinds = _infer(text)
     return text.select(*[_as_kind(ref(c), kinds[c]).alias(c) for c in text.columns])
 
