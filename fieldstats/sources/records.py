@@ -41,17 +41,46 @@ def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], pa.Array]]:
         yield (batch["file"][int(a)].as_py(), int(block[a])), batch["value"].slice(int(a), int(b - a))
 
 
+def _quotes(lines: pa.Array, separator: str) -> tuple[np.ndarray, np.ndarray]:
+    """How many quotes each line has, and whether their number alone tells what becomes of the state at its start, for either state (two rows).
+
+    It does if every quote that opens a cell, the first, third, … seen from outside, stands at the start of the line, behind a separator
+    or behind the quote that closed (a doubled quote)."""
+    offsets = np.frombuffer(lines.buffers()[1], np.int32)[lines.offset : lines.offset + len(lines) + 1]
+    data = np.frombuffer(lines.buffers()[2] or b"", np.uint8)[: offsets[-1]]
+    at = np.flatnonzero(data[offsets[0] :] == ord('"')) + offsets[0]
+    line = np.searchsorted(offsets, at, side="right") - 1
+    count = np.bincount(line, minlength=len(lines))
+    rank = np.arange(len(at)) - (np.cumsum(count) - count)[line]
+    before = data[at - 1]
+    odd = (at != offsets[line]) & (before != ord(separator)) & (before != ord('"'))
+    plain = np.ones((2, len(lines)), bool)
+    for state in (0, 1):
+        plain[state, line[odd & ((rank + state) % 2 == 0)]] = False
+    return count, plain
+
+
 def _inside(lines: pa.Array, state: bool, separator: str) -> tuple[np.ndarray, bool]:
-    """For each line whether it begins inside a quoted cell, and whether the last one ends there. Only lines with a quote are looked at."""
-    quoted = np.flatnonzero(pc.fill_null(pc.match_substring(lines, '"'), False).to_numpy(zero_copy_only=False))
-    changes = np.zeros(len(lines) + 1, bool)
-    now = state
-    for k in quoted:
-        then = ends_inside(lines[int(k)].as_py(), now, separator)
-        changes[k + 1] = then != now
-        now = then
-    before = (np.cumsum(changes) % 2 == 1) ^ state
-    return before[:-1], now
+    """For each line whether it begins inside a quoted cell, and whether the last one ends there. Lines are read one by one only where a
+    quote stands in the middle of a cell without quotes."""
+    if pa.types.is_large_string(lines.type):
+        lines = lines.cast(pa.string())
+    count, plain = _quotes(lines, separator)
+    before = np.empty(len(lines), bool)
+    done = 0
+    while done < len(lines):
+        states = np.cumsum(count[done:]) % 2 == 1
+        states = np.r_[False, states[:-1]] ^ state
+        stray = np.flatnonzero(~np.where(states, plain[1, done:], plain[0, done:]))
+        upto = done + int(stray[0]) if len(stray) else len(lines)
+        before[done:upto] = states[: upto - done]
+        if len(stray):
+            before[upto] = states[upto - done]
+            state = ends_inside(lines[upto].as_py() or "", bool(before[upto]), separator)
+            done = upto + 1
+        else:
+            return before, bool(before[-1] ^ (count[-1] % 2 == 1)) if len(lines) else state
+    return before, state
 
 
 def _scout(separator: str):
@@ -120,11 +149,8 @@ def _cut(opened: dict[tuple[str, int], int], separator: str, whole: bool):
                 state = end
                 if not len(starts) or (not whole and not header):
                     continue
-                size = np.diff(np.r_[starts, stop])
-                if (size == 1).all():
-                    texts = lines.slice(int(starts[0]), stop - int(starts[0]))
-                else:
-                    texts = pa.array(["\n".join(lines.slice(int(a), int(n)).to_pylist()) for a, n in zip(starts, size, strict=True)], pa.string())
+                cuts = pa.array(np.r_[starts, stop].astype(np.int32))
+                texts = pc.binary_join(pa.ListArray.from_arrays(cuts, lines), "\n")
                 texts = texts.filter(pc.not_equal(texts, ""))
                 if header and len(texts):
                     header, texts = False, texts.slice(1)
@@ -142,7 +168,7 @@ def csv_records(spark: SparkSession, path: str, separator: str = ",") -> DataFra
     Files are cut by size into parts, read as lines, as Spark cuts plain text. A first pass tells for each part whether it leaves a quoted
     cell open, for either state at its start; a run over these facts, two bits a part, gives the state at every start. Then each part
     yields its records by itself. Records that cross parts are few: their pieces are put together by one group-by, kept in the
-    checkpoint folder and come last. Lines without a quote are never looked at one by one.
+    checkpoint folder and come last. Quotes are counted over whole batches of lines.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     slim = lines.withColumn("value", F.when(F.contains("value", F.lit('"')), F.col("value")))

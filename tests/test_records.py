@@ -88,3 +88,20 @@ def test_nothing_but_a_header(spark, tmp_path):
 )
 def test_state_at_the_end_of_a_line(line, inside, end):
     assert ends_inside(line, inside) is end
+
+
+def test_batches_of_lines_equal_single_lines():
+    import pyarrow as pa
+
+    from fieldstats.sources.records import _inside
+
+    rng = random.Random(9)
+    for _ in range(300):
+        lines = ["".join(rng.choice('ab",,""é') for _ in range(rng.randint(0, 8))) for _ in range(rng.randint(1, 12))]
+        for state in (False, True):
+            want, now = [], state
+            for line in lines:
+                want.append(now)
+                now = ends_inside(line, now)
+            before, end = _inside(pa.array(["skipped", *lines]).slice(1), state, ",")
+            assert (before.tolist(), end) == (want, now), lines
