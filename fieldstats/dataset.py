@@ -169,14 +169,16 @@ class Dataset:
         moment = timestamp(source, time)
         return source.agg(F.count(F.lit(1)).alias("input_rows"), F.count(moment).alias("valid_time_rows"))
 
-    def preview(self, order_by: Sequence[str], limit: object = None, offset: int = 0) -> DataFrame:
-        """Rows ``offset`` to ``offset + limit`` of an order; NaN is shown as NULL."""
+    def preview(
+        self, order_by: Sequence[str], limit: object = None, offset: int = 0, after: Sequence[object] | None = None
+    ) -> DataFrame:
+        """Rows ``offset`` to ``offset + limit`` of an order, or those behind the key values ``after``; NaN is shown as NULL."""
         size = int(option(limit, fixed.PREVIEW_ROWS, whole=True))
         if isinstance(limit, int) and limit > size:
             raise ValueError(f"A preview has at most {fixed.PREVIEW_ROWS[2]} rows; write the table to read more.")
         if offset < 0:
             raise ValueError("The offset must not be negative.")
-        return sinks.page(self.df(), order_by, size, offset)
+        return sinks.page(self.df(), order_by, size, offset, after)
 
     def profile(self) -> DataFrame:
         """One row: id, name, format, creation time, row count, columns, derived columns, roles."""

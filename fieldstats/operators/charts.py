@@ -13,7 +13,8 @@ from fieldstats.functions.coerce import naive, number, numeric_columns, present,
 from fieldstats.model import Roles
 from fieldstats.operators.anomaly import is_anomaly, spread, value_rows, with_z_score
 from fieldstats.operators.relate import correlation_pairs
-from fieldstats.plans.rowindex import systematic_sample, with_row_index
+from fieldstats.plans.ranks import systematic_sample
+from fieldstats.plans.rowindex import with_row_index
 from fieldstats.plans.series import clean, series
 
 

@@ -15,7 +15,7 @@ from fieldstats.operators.describe import describe_table
 from fieldstats.operators.extremes import limits_and_counts, year_counts
 from fieldstats.operators.trend import year_summary, yearly_means
 from fieldstats.plans import periods
-from fieldstats.plans.rowindex import takes_row
+from fieldstats.plans.ranks import takes_row
 from fieldstats.plans.series import clean, series
 
 

@@ -64,34 +64,3 @@ def with_row_index(
     partitions: int | None = None,
 ) -> DataFrame:
     return number_rows(df, order_by, name, partitions)[0]
-
-
-def systematic_sample(
-    df: DataFrame,
-    size: int,
-    order_by: Sequence[Column | str] = (),
-    partitions: int | None = None,
-) -> DataFrame:
-    """``size`` rows evenly spaced over the order, first and last included; all rows when there are no more.
-
-    Whether a row is taken is decided by arithmetic on its own index, so no index list is joined or broadcast.
-    """
-    if size < 1:
-        raise ValueError("The sample size must be at least 1.")
-    indexed, total = number_rows(df, order_by, "__row", partitions)
-    if total <= size:
-        return indexed.drop("__row")
-    return indexed.where(takes_row(F.col("__row"), total, size)).drop("__row")
-
-
-def takes_row(row: Column, total: int | Column, size: int) -> Column:
-    """Is ``row`` one of trunc(j * (total-1)/(size-1)) for j = 0 … size-1? Needs ``total`` > ``size``."""
-    if size == 1:
-        return row == 0
-    step = (F.lit(total).cast("double") - 1) / F.lit(float(size - 1))
-    nearest = F.floor(F.try_divide(row, step))
-    taken = row == F.lit(total) - 1
-    for k in (-1, 0, 1, 2):
-        j = nearest + k
-        taken = taken | ((F.floor(j * step) == row) & j.between(0, size - 2))
-    return taken

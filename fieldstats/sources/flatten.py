@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldstats import fixed
 from fieldstats.functions.coerce import ref
-from fieldstats.plans.rowindex import systematic_sample
+from fieldstats.plans.ranks import systematic_sample
 
 
 def flatten_grid(

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldstats.functions.coerce import ref, timestamp
 from fieldstats.model import Result
+from fieldstats.plans.ranks import ranked_between
 from fieldstats.sources.readers import YEAR_FOLDER
 
 
@@ -49,11 +50,32 @@ def export_tables(result: Result, path: str, mode: str = "errorifexists") -> Non
         write_csv(result[name], f"{path.rstrip('/')}/{name}", mode)
 
 
-def page(df: DataFrame, order_by: Sequence[str], limit: int, offset: int = 0) -> DataFrame:
-    """A page of an ordered table; NaN becomes NULL."""
+def _behind(keys: list[Column], values: Sequence[object]) -> Column:
+    """Is the row after these key values? NULL comes first."""
+    later, same = F.lit(False), F.lit(True)
+    for key, value in zip(keys, values):
+        beyond = key.isNotNull() if value is None else F.coalesce(key > F.lit(value), F.lit(False))
+        later = later | (same & beyond)
+        same = same & key.eqNullSafe(F.lit(value))
+    return later
+
+
+def page(df: DataFrame, order_by: Sequence[str], limit: int, offset: int = 0, after: Sequence[object] | None = None) -> DataFrame:
+    """A page of an ordered table; NaN becomes NULL.
+
+    With ``after``, the values of the ``order_by`` columns in the last row seen, the page begins behind them: nothing before is read twice or
+    sorted. Else ``offset`` rows are passed over; counts of key ranges say where the page lies, and only that range is sorted.
+    """
     if not order_by:
         raise ValueError("A page needs an order; name the columns to order by.")
-    rows = df.orderBy(*[ref(c) for c in order_by]).offset(offset).limit(limit)
+    keys = [ref(c) for c in order_by]
+    if after is not None:
+        if len(after) != len(keys):
+            raise ValueError(f"'after' needs a value for each of {', '.join(order_by)}.")
+        df = df.where(_behind(keys, after))
+    if offset:
+        df = ranked_between(df, keys, offset, limit)
+    rows = df.orderBy(*keys).limit(limit)
     shown = []
     for f in df.schema.fields:
         column = ref(f.name)

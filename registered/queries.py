@@ -14,7 +14,7 @@ from fieldstats import Dataset, Roles, list_datasets
 from fieldstats.functions.coerce import number
 from fieldstats.operators import aggregate, anomaly, baseline, charts, climatology, describe, distribution, extremes
 from fieldstats.operators import forecast, models, recipes, relate, roles, trend, workflow
-from fieldstats.plans.rowindex import systematic_sample
+from fieldstats.plans.ranks import systematic_sample
 from fieldstats.session import use_utc
 from fieldstats.sources.flatten import flatten_grid, flatten_raster
 from fieldstats.sources.standardize import standardize

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from fieldstats.functions import bins as binning
 from fieldstats.plans import gram, quantiles
 from fieldstats.plans.halo import lagged, rolling_mean
-from fieldstats.plans.rowindex import systematic_sample, takes_row, with_row_index
+from fieldstats.plans.ranks import systematic_sample, takes_row
+from fieldstats.plans.rowindex import with_row_index
 from tests.conftest import rows
 
 
