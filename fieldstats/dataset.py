@@ -83,9 +83,9 @@ class Dataset:
         return apply_recipes(slim, used[::-1], self.roles).select(*[ref(c) for c in columns])
 
     def _with(self, names: Iterable[object]) -> DataFrame:
-        """All columns of the base, and of the derived ones those that are named, with what they need."""
-        wanted = [c for c in self.derived_columns if c in set(names)]
-        return self.df([*self.base.columns, *wanted])
+        """The named columns and no others: a rolling recipe that is read then writes and orders only these and what it needs."""
+        wanted = set(names)
+        return self.df([c for c in self.columns if c in wanted])
 
     def _read_by(self, kind: str, options: dict[str, object]) -> DataFrame:
         """The table for an analysis or chart: recipes run only for columns that its options or roles name. What takes all
@@ -138,7 +138,7 @@ class Dataset:
         """A new dataset with one row per period and a record of where it came from."""
         code = frequency_code(frequency)
         time = time or self.mapping.time
-        source = self._with([time, *(columns or self.mapping.variables)])
+        source = self._with([time, *(columns or self.mapping.variables or self.columns)])
         aggregations = check_aggregations(aggregations)
         columns = value_columns(source, time, columns, self.mapping) if time else None
         table = temporal_aggregation(source, time, columns, code, aggregations, self.mapping, verify=False)

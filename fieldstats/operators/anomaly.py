@@ -66,8 +66,8 @@ def anomaly_detection(
     limit: int | None = None,
     checked: bool = False,
 ) -> Result:
-    """``anomalies`` lists the anomalous rows, with a ``limit`` the first of them in ``order_by`` order (scan order without one);
-    ``summary`` counts all of them, and ``all_anomalies`` holds all of them."""
+    """``anomalies`` lists the anomalous rows, with a ``limit`` the first of them in ``order_by`` order (of time and value without
+    one, never that of files); ``summary`` counts all of them, and ``all_anomalies`` holds all of them."""
     roles = roles or Roles()
     time, target = time or roles.time, target or roles.target
     if not target:
@@ -95,8 +95,8 @@ def anomaly_detection(
     def listing() -> DataFrame:
         table = found()
         if limit is not None:
-            order = [ref(c) for c in order_by] if order_by else [F.monotonically_increasing_id()]
-            table = table.orderBy(*order).limit(limit)
+            order = list(order_by) or [c for c in ("time", "time_text", "value") if c in table.columns]
+            table = table.orderBy(*[ref(c) for c in order]).limit(limit)
         shown = ["time"] if "time" in table.columns else []
         if "time_text" in table.columns:
             # A text time that cannot be read is shown as it is.

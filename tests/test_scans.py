@@ -62,3 +62,17 @@ def test_recipes_that_are_not_read_do_not_run(spark, stored):
     assert jobs() == before
     assert data.temporal_aggregation("ME", columns=["v"]).df().count() > 0
     assert data.analyze("seasonal_patterns", target="smooth", checked=False)["monthly_pattern"].count() == 12
+
+
+def test_a_rolling_recipe_writes_only_what_the_analysis_reads(spark, tmp_path, monkeypatch):
+    wide = spark.range(0, 1200, 1, 2).selectExpr(
+        "timestamp_seconds(id * 86400) as t", "cast(id % 7 as double) as v", "id as k", *[f"id as other{i}" for i in range(20)]
+    )
+    data = Dataset.from_df(wide, name="x").add_recipe("v", "rolling_mean", "smooth", window=3, order_by=["k"])
+    widths = []
+    plain = type(wide).checkpoint
+    monkeypatch.setattr(type(wide), "checkpoint", lambda df, *a, **b: widths.append(len(df.columns)) or plain(df, *a, **b))
+    result = data.analyze("annual_trend_signal", target="smooth")
+    assert result["annual_series"].count() == 4
+    result.release()
+    assert widths and max(widths) <= 4
