@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -194,6 +195,55 @@ def find_spans(text: str, ranks: dict[str, int], least_bits: float) -> list[tupl
     return sorted(set(spans))
 
 
+_PROSE = re.compile(r"[a-z]{4,24}")
+#: Words that a task counts before it passes the counts on.
+_HELD = 1 << 18
+
+
+def _prose(text: str) -> str:
+    """The text in small letters without values in credential contexts and spans of fixed shape: a secret that is copied often must not
+    become a common word."""
+    cuts = []
+    low = text.lower()
+    if any(w in low for w in _CONTEXT_WORDS):
+        cuts += [m.span(m.lastindex) for m in _CONTEXT.finditer(text)]
+    if any(w in low for w in _ASSIGN_WORDS):
+        cuts += [m.span(2) for m in _ASSIGN.finditer(text)]
+    if "://" in text:
+        cuts += [m.span(1) for m in _USERINFO.finditer(text)]
+    if not cuts:
+        return low
+    out, end = [], 0
+    for a, b in sorted(cuts):
+        if b > end:
+            out.append(text[end : max(a, end)])
+            end = b
+    return "\n".join([*out, text[end:]]).lower()
+
+
+def common_words(docs: DataFrame, most: int, least: int, text_col: str = "text") -> list[str]:
+    """The ``most`` most frequent words of all texts (4 to 24 letters a-z, lower-cased) that occur ``least`` times or more, the most frequent
+    first, equally frequent ones by letters. Tasks count, one group-by adds the counts up; only the list comes to the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+
+        def out() -> pa.RecordBatch:
+            rows = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+            seen.clear()
+            return rows
+
+        for batch in batches:
+            for text in batch["text"]:
+                seen.update(_PROSE.findall(_prose(text.as_py() or "")))
+                if len(seen) > _HELD:
+                    yield out()
+        yield out()
+
+    counts = docs.select(ref(text_col).cast("string").alias("text")).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r["word"] for r in counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
 def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
@@ -202,6 +252,8 @@ def secret_spans(
     docs: DataFrame,
     words: tuple[str, ...] | list[str] = tuple(WORDS),
     least_bits: float = 40.0,
+    corpus_words: int = 20_000,
+    least_count: int = 20,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -209,13 +261,17 @@ def secret_spans(
 
     Spans are ``kind:start:end`` in code points, the end exclusive, by start and then kind, comma-joined. The base kinds ``assign``,
     ``access`` and ``hex`` have fixed shapes. ``guess`` is a value in a credential context (after a word such as password, quoted or bare, or
-    before the @ of a URL) of at least 6 characters that needs 2^``least_bits`` guesses or more. A guesser knows ``words`` by rank, with capitals and
-    look-alike digits, dates, repeats and keyboard walks, and pays for the rest by the classes of characters in it; so ``password=Welcome2024`` is no secret, a random value is.
+    before the @ of a URL) of at least 6 characters that needs 2^``least_bits`` guesses or more. A guesser knows ``words`` and the ``corpus_words`` most frequent
+    words of all texts (those with ``least_count`` occurrences or more; 0: none) by rank, with capitals and look-alike digits, dates, repeats and
+    keyboard walks, and pays for the rest by the classes of characters in it; so ``password=Welcome2024`` is no secret, a random value is. A word in both
+    lists has its better rank. What stands in credential contexts does not count as a word of the texts.
 
-    Null and empty texts have no spans: counts 0, ``spans`` empty, the digest that of the empty string. Everything happens where the text
-    is, in time linear in its length; rows keep their number, and other columns are not looked at.
+    Null and empty texts have no spans: counts 0, ``spans`` empty, the digest that of the empty string. One pass counts the words, one finds the
+    spans where the text is, in time linear in its length; rows keep their number, and other columns are not looked at.
     """
     ranks = {w: k + 1 for k, w in reversed(list(enumerate(words)))}
+    for k, w in enumerate(common_words(docs, corpus_words, least_count, text_col) if corpus_words else ()):
+        ranks[w] = min(k + 1, ranks.get(w, k + 1))
 
     def make(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:

@@ -123,7 +123,8 @@ def fit(
     text_col: str = "text",
 ) -> list[Classifier]:
     """Trains ``classifiers`` models, each in a task of its own, on the texts with ``labels.toxic`` = 1 as confirmed positives and on texts
-    regardless of labels as unlabelled ones. Held-out ids give neither.
+    regardless of labels as unlabelled ones. Held-out ids give neither. An id with a label 1 is positive, other labels of it or not.
+    A model knows at most 512 terms (``most`` of ``train_nnpu``), those of its sample that tell the two sets apart best, each in 5 texts or more (``least``).
 
     The sample is bounded: about ``positives`` and ``unlabelled`` texts for each model, chosen by a hash of the id that differs by
     model. The class prior is the share of toxic rows among all labelled rows that are not held out, counted over the

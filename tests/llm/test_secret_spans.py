@@ -130,3 +130,38 @@ def test_classes_are_counted_by_span(value):
 
 def test_empty_table(spark):
     assert secret_spans(documents(spark, [])).count() == 0
+
+
+def test_words_of_the_corpus_are_cheap_and_secrets_in_it_are_not(spark):
+    prose = "the correct horse had a battery and a blue elephant in the kitchen of liverpool while people went about other things " * 30
+    copied = "kqzvxwpjrmtd"  # letters only, in thousands of copies
+    values = ["correcthorsebattery", "BlueElephantKitchen", "liverpool1892", copied, "xK9mPq2Lw7"]
+    rows = [(k, prose, "s") for k in range(20)] + [(100 + k, f"password: {v}", "s") for k, v in enumerate(values)]
+    rows += [(1000 + k, f"token = {copied} and more text", "s") for k in range(300)] + [(5000, None, None), (5001, "", None)]
+    docs = documents(spark, rows)
+
+    def guessed(**options):
+        found = secret_spans(docs, **options).where("doc_id between 100 and 104").collect()
+        return {values[r["doc_id"] - 100] for r in found if r["n_guess"]}
+
+    assert guessed(least_bits=40.0) == {copied, "xK9mPq2Lw7"}
+    assert guessed(corpus_words=0) == set(values)
+    assert guessed(corpus_words=3) == {*values}  # only the three most frequent words
+    assert guessed(least_count=10_000) == set(values)
+
+
+def test_common_words_equal_plain_counts(spark):
+    from collections import Counter
+
+    from llm.secret_spans import common_words
+
+    rows = [(k, t, "s") for k, t in enumerate(["Alpha beta alpha abc", "BETA gamma-gamma delta2x\nalpha", None, "", "pass: hunter2secret delta", "x" * 30 + " eeee"])]
+    want = Counter()
+    for text in ("alpha beta alpha abc", "beta gamma gamma delta x alpha", "pass delta", "eeee"):
+        want.update(w for w in text.split() if len(w) >= 4)
+    want["x" * 24] = 1  # a run of letters is cut after 24
+    want["x" * 6] = 1
+    got = common_words(documents(spark, rows).repartition(3), 100, 1)
+    assert got == sorted(want, key=lambda w: (-want[w], w))
+    assert common_words(documents(spark, rows), 2, 2) == got[:2]
+    assert common_words(documents(spark, []), 5, 1) == []
