@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from llm.projected_ann import chi_square_quantile, nearest
+from llm.projected_ann import Cells, Space, box_distances, chi_square_quantile, lay_out, nearest
 from tests.llm.helpers import CLASHING, table
 
 SCHEMA = "vec_id bigint, embedding array<float>"
@@ -79,3 +79,49 @@ def test_recall_against_brute_force(spark, kind):
 def test_chi_square_quantile():
     assert chi_square_quantile(0.95, 2) == pytest.approx(5.991465, abs=1e-5)
     assert chi_square_quantile(0.95, 16) == pytest.approx(26.296228, abs=1e-5)
+
+
+def grouped(n, groups, d, seed=9):
+    draw = np.random.default_rng(seed)
+    v = draw.standard_normal((groups, d))[draw.integers(0, groups, n)] + 0.15 * draw.standard_normal((n, d))
+    return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32).astype(float)
+
+
+def test_recall_and_pruning_over_many_cells(spark):
+    """20,000 vectors in cells of 500: recall by brute force, and most blocks are never asked where vectors lie in groups."""
+    vectors = grouped(20_000, 200, 48)
+    path_rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    df = table(spark, path_rows, SCHEMA).repartition(4).cache()
+    got = {}
+    for r in nearest(df, df.where("vec_id % 20 = 0"), block_rows=500).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    asked = np.arange(0, 20_000, 20)
+    scores = vectors[asked] @ vectors.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    best = np.argpartition(-scores, 20, axis=1)[:, :20]
+    assert np.mean([len(got[q] & set(b.tolist())) / 20 for q, b in zip(asked.tolist(), best, strict=True)]) >= 0.97
+    space = Space(48, 1.0000001, 16, 0.97, 11)
+    layout = lay_out(df.selectExpr("vec_id as id", "cast(embedding as array<double>) as vector"), space, 20_000, 500, 1 << 17)
+    assert 40 <= len(layout.blocks) <= 80 and layout.blocks.sum() < 100
+    kth = np.sort(scores, axis=1)[:, -20]
+    reach = box_distances(space.queries(vectors[asked]), layout.low, layout.high)
+    admitted = np.mean([space.admits(c, kth, vectors[asked]) for c in reach.T])
+    assert admitted < 0.4
+
+
+def test_a_third_of_the_vectors_equal(spark):
+    vectors = grouped(900, 20, 12, 3)
+    vectors[::3] = vectors[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    df = table(spark, rows, SCHEMA)
+    got = nearest(df, df.where("vec_id % 20 = 0"), k=10, sure=1 - 1e-9, block_rows=50)
+    assert sorted(map(tuple, got.collect())) == plain(rows, {i for i in range(0, 900, 20)}, 10)
+
+
+def test_cells_cover_any_point():
+    draw = np.random.default_rng(1)
+    sample = draw.standard_normal((1000, 4))
+    cells = Cells.fit(sample, 20)
+    assert sorted(set(cells.of(sample))) == list(range(20)) and np.bincount(cells.of(sample)).min() >= 16
+    assert set(cells.of(100 * draw.standard_normal((500, 4)))) <= set(range(20))
+    assert list(Cells.fit(np.ones((500, 4)), 20).of(sample)) == [0] * 1000
