@@ -6,7 +6,6 @@ import base64
 import hashlib
 import heapq
 import re
-import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -24,10 +23,9 @@ _UNSAFE_CUT = re.compile(f"[{_SPACE}] ")
 _PIECE = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 #: Entries a worker keeps of pieces and of words; a full memory is emptied and filled again.
 KEPT = 400_000
-_LONG = 64
+#: Characters of the longest word that is kept; longer ones are encoded whenever they come.
+_REMEMBERED = 64
 _NEVER = 1 << 40
-_WIDTHS = (8, 12, 16, 24, 32, 64)
-_ROWS = 50_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -38,178 +36,142 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class MergeReplay:
     """Encodes byte strings by the ranks of a vocabulary.
 
-    Short words go through ``waves``, long ones through ``replay``; both apply the merges of a word in rank order.
-
-    ``replay`` takes a list of distinct words and lays them out as one sequence of tokens with links to the neighbours
-    inside the word. An inverted index keeps, for each possible merge, the positions whose token and successor
-    would make it. Merges are applied from the lowest rank up, each at all its positions, left to right; only the
-    neighbours of a merged position are looked up again. Where a merge makes a pair of a lower rank, the rest of that
-    word waits until the lower rank has been applied, so each word goes through the merges in the order in
-    which it would alone.
+    All words are laid out as one sequence of tokens with links to the neighbours inside the word. An inverted index keeps,
+    for each merge, the positions whose token and successor make it. Merges are applied from the lowest rank up, each at all
+    its positions at once; only the neighbours of merged positions are looked up again and enter the index. Where a merge
+    makes a pair of a lower rank, the rest of that word waits until the lower rank has been applied, so each word goes
+    through the merges in the order in which it would alone.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
         self.tokens: dict[int, bytes] = {v: k for k, v in ranks.items()}
-        self.single = [ranks.get(bytes([b]), -1) for b in range(256)]
-        if min(self.single) < 0:
+        single = [ranks.get(bytes([b]), -1) for b in range(256)]
+        if min(single) < 0:
             raise ValueError("The vocabulary must hold all 256 single bytes.")
-        self._made: dict[tuple[int, int], int] = {}
         pairs: dict[int, int] = {}
         for whole, rank in ranks.items():
             for cut in range(1, len(whole)):
                 a, b = ranks.get(whole[:cut]), ranks.get(whole[cut:])
                 if a is not None and b is not None:
                     pairs[a << 32 | b] = rank
-        self._pairs = np.array(sorted(pairs), dtype=np.int64)
-        self._ranks = np.array([*(pairs[k] for k in sorted(pairs)), _NEVER], dtype=np.int64)
-        self._bytes = np.array(self.single, dtype=np.int64)
+        keys = sorted(pairs)
+        self._pairs = np.array([*keys, _NEVER << 20], dtype=np.int64)
+        self._ranks = np.array([*(pairs[k] for k in keys), _NEVER], dtype=np.int64)
+        self._bytes = np.array(single, dtype=np.int64)
 
     def _look_up(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The merge rank of each pair, _NEVER for none."""
+        """The merge rank of each pair, _NEVER for none. A negative token, the end of a word, merges with nothing."""
         keys = a << 32 | b
         at = np.searchsorted(self._pairs, keys)
-        at[(at == len(self._pairs)) | (self._pairs[np.minimum(at, len(self._pairs) - 1)] != keys)] = len(self._pairs)
-        return self._ranks[at]
-
-    def waves(self, words: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens (one row per word, the first ``n`` count) and n, for words of at most ``width`` bytes.
-
-        The index from merge to position is a table of ranks, one row per word. Each wave applies, in every word
-        that still has one, the lowest merge, the leftmost of equals; then only the two pairs beside it are looked up.
-        """
-        n = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), dtype=np.uint8).reshape(len(words), width)
-        token = self._bytes[raw]
-        rank = np.full((len(words), width), _NEVER)
-        if width > 1:
-            rank[:, :-1] = self._look_up(token[:, :-1], token[:, 1:])
-            rank[np.arange(width) >= (n - 1)[:, None]] = _NEVER
-        done, alive = token, np.arange(len(words))
-        columns = np.arange(width)
-        while len(alive):
-            at = rank.argmin(axis=1)
-            row = np.arange(len(alive))
-            lowest = rank[row, at]
-            keep = lowest < _NEVER
-            if not keep.all():
-                done[alive] = token
-                alive, token, rank, at, lowest = alive[keep], token[keep], rank[keep], at[keep], lowest[keep]
-                row = row[: len(alive)]
-                if not len(alive):
-                    break
-            take = np.minimum(columns + (columns > at[:, None]), width - 1)
-            token = np.take_along_axis(token, take, axis=1)
-            rank = np.take_along_axis(rank, take, axis=1)
-            token[row, at] = lowest
-            rank[:, -1] = _NEVER
-            n[alive] -= 1
-            last = at >= n[alive] - 1
-            rank[row, at] = np.where(last, _NEVER, self._look_up(lowest, token[row, np.minimum(at + 1, width - 1)]))
-            left = np.flatnonzero(at > 0)
-            rank[left, at[left] - 1] = self._look_up(token[left, at[left] - 1], lowest[left])
-        return done, n
+        return np.where(self._pairs[at] == keys, self._ranks[at], _NEVER)
 
     def words(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = [b""] * len(words)
-        size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        shorter = 0
-        for width in _WIDTHS:
-            chosen = np.flatnonzero((size > shorter) & (size <= width))
-            shorter = width
-            for some in range(0, len(chosen), _ROWS):
-                rows = chosen[some : some + _ROWS]
-                token, n = self.waves([words[i] for i in rows], width)
-                flat = token[np.arange(width) < n[:, None]].astype("<u4").tobytes()
-                ends = np.cumsum(n) * 4
-                for i, end, count in zip(rows.tolist(), ends.tolist(), (n * 4).tolist(), strict=True):
-                    out[i] = flat[end - count : end]
-        long = np.flatnonzero(size > shorter).tolist()
-        for i, ids in zip(long, self.replay([words[i] for i in long]), strict=True):
-            out[i] = struct.pack(f"<{len(ids)}I", *ids)
-        return out
-
-    def _merge(self, a: int, b: int) -> int:
-        """The token that a and b make, which is also the rank of their merge; -1 for none."""
-        made = self._made.get((a, b))
-        if made is None:
-            if len(self._made) > 2_000_000:
-                self._made.clear()
-            made = self._made[a, b] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
-        return made
-
-    def replay(self, words: list[bytes]) -> list[list[int]]:
-        single, merge = self.single, self._merge
-        token: list[int] = []
-        word_of: list[int] = []
-        starts: list[int] = []
-        for n, word in enumerate(words):
-            starts.append(len(token))
-            token.extend([single[b] for b in word])
-            word_of.extend([n] * len(word))
-            token.append(-1)  # nothing merges with the end of a word
-            word_of.append(n)
-        after = list(range(1, len(token) + 1))
-        before = list(range(-1, len(token) - 1))
-        index: dict[int, list[int]] = {}
-        for at in range(len(token) - 1):
-            a, b = token[at], token[at + 1]
-            if a >= 0 and b >= 0 and (made := merge(a, b)) >= 0:
-                index.setdefault(made, []).append(at)
-        todo = list(index)
-        heapq.heapify(todo)
-        while todo:
-            rank = heapq.heappop(todo)
-            places = index.pop(rank, None)
-            if not places:
-                continue
-            places.sort()
-            waiting: set[int] = set()
-            rest: list[int] = []
-            for at in places:
-                a = token[at]
-                if a < 0:
-                    continue
-                right = after[at]
-                b = token[right]
-                if b < 0 or merge(a, b) != rank:
-                    continue
-                if waiting and word_of[at] in waiting:
-                    rest.append(at)
-                    continue
-                token[at], token[right] = rank, -2
-                follow = after[at] = after[right]
-                before[follow] = at
-                lower = False
-                if token[follow] >= 0 and (made := merge(rank, token[follow])) >= 0:
-                    lower = made < rank
-                    if made in index:
-                        index[made].append(at)
-                    else:
-                        index[made] = [at]
-                        heapq.heappush(todo, made)
-                left = before[at]
-                if left >= 0 and token[left] >= 0 and (made := merge(token[left], rank)) >= 0:
-                    lower = lower or made < rank
-                    if made in index:
-                        index[made].append(left)
-                    else:
-                        index[made] = [left]
-                        heapq.heappush(todo, made)
-                if lower:
-                    waiting.add(word_of[at])
-            if rest:
+        if not words:
+            return []
+        joined = np.frombuffer(b"\0".join(words) + b"\0", dtype=np.uint8)
+        size = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
+        ends = np.cumsum(size) - 1
+        token = self._bytes[joined]
+        token[ends] = -1
+        word = np.repeat(np.arange(len(words)), size)
+        self._merge_all(token, word)
+        kept = token >= 0
+        flat = token[kept].astype("<u4").tobytes()
+        stops = (np.cumsum(kept)[ends] * 4).tolist()
+        return [flat[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+
+    def _merge_all(self, token: np.ndarray, word: np.ndarray) -> None:
+        """Applies all merges in place. Tokens that were merged into the one before them become -2."""
+        count = len(token)
+        after, before = np.arange(1, count + 1), np.arange(-1, count - 1)
+        after[-1] = count - 1
+        rank_at = np.full(count, _NEVER)
+        rank_at[:-1] = self._look_up(token[:-1], token[1:])
+        index: dict[int, list[np.ndarray]] = {}
+        todo: list[int] = []
+
+        def enter(places: np.ndarray, ranks: np.ndarray) -> None:
+            """Adds positions to the index, under the merges they make."""
+            if len(places) == 1:
+                groups = [(int(ranks[0]), places)]
+            else:
+                order = np.argsort(ranks, kind="stable")
+                ranks, places = ranks[order], places[order]
+                cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+                starts = [0, *cuts.tolist(), len(ranks)]
+                groups = [(rank, places[a:b]) for rank, a, b in zip(ranks[starts[:-1]].tolist(), starts, starts[1:], strict=False)]
+            for rank, some in groups:
                 if rank in index:
-                    index[rank].extend(rest)
+                    index[rank].append(some)
                 else:
-                    index[rank] = rest
+                    index[rank] = [some]
                     heapq.heappush(todo, rank)
-        out = []
-        for n, start in enumerate(starts):
-            end = starts[n + 1] - 1 if n + 1 < len(starts) else len(token) - 1
-            out.append([t for t in token[start:end] if t >= 0])
-        return out
+
+        first = np.flatnonzero(rank_at < _NEVER)
+        if len(first):
+            enter(first, rank_at[first])
+        while todo:
+            rank = heapq.heappop(todo)
+            found = index.pop(rank)
+            places = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+            places = places[rank_at[places] == rank]
+            if not len(places):
+                continue
+            if len(places) > 1:
+                every, places = places, self._apart(places, after)
+                waits = self._waiting(rank, places, token, word, after, before)
+                if waits is not None:  # with them wait the pairs that overlap theirs
+                    places = places[~waits]
+                    rest = np.setdiff1d(every, places, assume_unique=True)
+                    if len(rest):
+                        enter(rest, np.full(len(rest), rank))
+            right = after[places]
+            follow = after[right]
+            token[places] = rank
+            token[right] = -2
+            rank_at[right] = _NEVER
+            after[places] = follow
+            before[follow] = places
+            left = before[places]
+            touched = np.unique(np.concatenate([places, left[left >= 0]]))
+            touched = touched[token[touched] >= 0]
+            now = self._look_up(token[touched], token[after[touched]])
+            rank_at[touched] = now
+            good = now < _NEVER
+            if good.any():
+                enter(touched[good], now[good])
+
+    @staticmethod
+    def _apart(places: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Of positions whose pairs overlap, every second one, from the left."""
+        follows = np.r_[False, after[places[:-1]] == places[1:]]
+        if not follows.any():
+            return places
+        here = np.arange(len(places))
+        start = np.maximum.accumulate(np.where(follows, 0, here))
+        return places[(here - start) % 2 == 0]
+
+    def _waiting(
+        self, rank: int, places: np.ndarray, token: np.ndarray, word: np.ndarray, after: np.ndarray, before: np.ndarray
+    ) -> np.ndarray | None:
+        """Which positions must wait because a merge before them in their word makes a pair of a lower rank; None if none must."""
+        of = word[places]
+        again = of[1:] == of[:-1]
+        if not again.any():
+            return None
+        follow = after[after[places]]
+        ahead = before[places]
+        behind = np.r_[False, follow[:-1] == places[1:]]  # what stands before was merged just now
+        left = np.where(behind, rank, token[np.maximum(ahead, 0)])
+        left[ahead < 0] = -1
+        same = np.full(len(places), rank)
+        lower = (self._look_up(same, token[follow]) < rank) | (self._look_up(left, same) < rank)
+        if not lower.any():
+            return None
+        new = np.r_[True, ~again]
+        seen = np.cumsum(lower) - lower  # lower pairs made by the positions before, and of those the ones in the same word
+        return seen - seen[np.maximum.accumulate(np.where(new, np.arange(len(places)), 0))] > 0
 
 
 class Encoder:
@@ -248,7 +210,7 @@ class Encoder:
         found = dict(zip(new, self.replay.words([w.encode() for w in new]), strict=True))
         for piece, words in split.items():
             own[piece] = b"".join([found[w] if w in found else self.known[w] for w in words])
-        self.known.update((w, i) for w, i in found.items() if len(w) <= _LONG)
+        self.known.update((w, i) for w, i in found.items() if len(w) <= _REMEMBERED)
         for cut in cuts:
             yield b"".join(map(own.__getitem__, cut))
 
@@ -322,9 +284,9 @@ def encode_documents(
     must be valid UTF-8, as Spark's strings are.
 
     ``path`` is the vocabulary's file and must be readable by each worker, as an installed package's data are. Everything
-    is done where the text is: nothing is shuffled, and the inverted index covers the distinct new words of
-    a few megabytes of text at a time. (One index for all words of all texts would have to send each word's ids back to every
-    text that holds it, a shuffle larger than the texts.)
+    is done where the text is: nothing is shuffled. The inverted index covers the distinct new words of a few megabytes of text at a
+    time, so all merges of all words go through it, and a worker's memory is bounded. (One index for all words of all texts
+    would have to send each word's ids back to every text that holds it, a shuffle larger than the texts.)
     """
     code = "__code"
     out = docs.select(ref(id_col).alias(id_col), bpe_codes(ref(text_col).cast("string"), path, pattern, with_ids).alias(code))
