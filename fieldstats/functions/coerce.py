@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,28 @@ _JAVA_LITERAL = r"[0-9.][dDfF]$"
 _MAY_BE_TIME = r"^(?=[^0-9]*[0-9])[0-9A-Za-z/:, -]{8,40}$"
 
 
+#: What each part of a pattern can match; a pattern is tried only on cells of its shape.
+_PARTS = re.compile(r"MMMM?|yyyy|MM|dd|HH|mm|ss|M|d|H|.")
+_SHAPES = {"MMM": "[A-Za-z]{3,9}", "MMMM": "[A-Za-z]{3,9}", "yyyy": "[0-9]{4}", "M": "[0-9]+", "d": "[0-9]+", "H": "[0-9]+"}
+
+
+def _shape(pattern: str) -> str:
+    parts = [_SHAPES.get(p) or ("[0-9]{2}" if p.isalpha() else re.escape(p)) for p in _PARTS.findall(pattern)]
+    return "^" + "".join(parts) + "$"
+
+
+def _listed_time(column: Column) -> Column:
+    """By the first listed pattern that fits: the shape of a cell, which digits, letters and separators stand where, leaves one pattern, or two that
+    write the month short and in full."""
+    groups: dict[str, list[str]] = {}
+    for pattern in fixed.DATETIME_PATTERNS:
+        groups.setdefault(_shape(pattern), []).append(pattern)
+    out = F
+    for shape, patterns in groups.items():
+        out = out.when(column.rlike(shape), F.coalesce(*[F.try_to_timestamp(column, F.lit(p)) for p in patterns]))
+    return out
+
+
 def ref(name: str) -> Column:
     """A column by exact name, dots and backticks included."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -59,9 +83,8 @@ def time_expr(column: Column, data_type: T.DataType, pattern: str | None = None)
     if isinstance(data_type, (T.StringType, T.VarcharType, T.CharType)):
         if pattern:
             return F.try_to_timestamp(column, F.lit(pattern))
-        forms = [F.try_to_timestamp(column, F.lit(p)) for p in fixed.DATETIME_PATTERNS]
-        # Failed parses are slow; most text that is no time does not get that far.
-        return F.coalesce(column.try_cast("timestamp"), F.when(column.rlike(_MAY_BE_TIME), F.coalesce(*forms)))
+        # Failed parses are slow; text that is no time does not get that far.
+        return F.coalesce(column.try_cast("timestamp"), F.when(column.rlike(_MAY_BE_TIME), _listed_time(column)))
     if isinstance(data_type, T.IntegralType):
         return F.timestamp_micros(F.floor(column / F.lit(1000)).cast("long"))
     if isinstance(data_type, T.NumericType):
