@@ -23,9 +23,6 @@ from fieldstats.operators.roles import infer_roles
 from fieldstats.sources import readers, sinks
 from fieldstats.sources.standardize import standardize
 
-_SUMMARY = "dataset_id string, name string, source_format string, created_at timestamp, row_count bigint, columns array<string>"
-
-
 # Analyses and charts that take every numeric column unless features are named, and those that choose a variable by name.
 _WIDE = ("descriptive_stats", "correlation", "linear_regression", "random_forest_regression", "scatter", "heatmap")
 _HINTED = ("temperature_trend", "precipitation_trend")
@@ -214,9 +211,12 @@ class Dataset:
 
 
 def list_datasets(spark: SparkSession, datasets: Iterable[Dataset]) -> DataFrame:
-    """Newest first."""
-    rows = [
-        (d.dataset_id, d.name, d.source_format, d.created_at, d.base.count(), d.columns)
-        for d in datasets
-    ]
-    return spark.createDataFrame(rows, _SUMMARY).orderBy(F.col("created_at").desc())
+    """Newest first. The rows of all of them are counted in one job, when the list is read."""
+    known = list(datasets)
+    rows = [(k, d.dataset_id, d.name, d.source_format, d.created_at, d.columns) for k, d in enumerate(known)]
+    counts = spark.createDataFrame([], "k int, row_count bigint")
+    for k, d in enumerate(known):
+        counts = counts.unionAll(d.base.agg(F.lit(k).alias("k"), F.count(F.lit(1)).alias("row_count")))
+    shape = "k int, dataset_id string, name string, source_format string, created_at timestamp, columns array<string>"
+    listed = counts.join(F.broadcast(spark.createDataFrame(rows, shape)), "k")
+    return listed.select("dataset_id", "name", "source_format", "created_at", "row_count", "columns").orderBy(F.col("created_at").desc())

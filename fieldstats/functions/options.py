@@ -3,45 +3,19 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
-
-
-@dataclass(frozen=True)
-class Interval:
-    """The values an option may take, and the one it has when it is not given or cannot be read."""
-
-    default: float
-    lowest: float
-    highest: float
-    whole: bool = False
-
-    def nearest(self, value: object) -> float:
-        """The allowed value next to ``value``."""
-        number = self._read(value)
-        if number is None:
-            number = self.default
-        return sorted((self.lowest, number, self.highest))[1]
-
-    def _read(self, value: object) -> float | None:
-        number: float | None = None
-        if isinstance(value, (int, float)):
-            number = value
-        elif isinstance(value, str):
-            digits = value.strip().lstrip("+-").replace("_", "")
-            if digits.isdigit() or not self.whole:
-                number = _parsed(value)
-        if number is None or math.isnan(number) or (self.whole and math.isinf(number)):
-            return None
-        return math.trunc(number) if self.whole else float(number)
-
-
-def _parsed(text: str) -> float | None:
-    try:
-        return float(text)
-    except ValueError:
-        return None
 
 
 def option(value: object, limits: tuple[float, float, float], whole: bool = False) -> float:
-    """``value`` within ``limits`` (default, lowest, highest)."""
-    return Interval(*limits, whole).nearest(value)
+    """``value`` within ``limits`` (default, lowest, highest); the default where it is missing or no number. ``whole`` cuts numbers off
+    and takes text only if it is a whole number."""
+    default, lowest, highest = limits
+    try:
+        if whole:
+            number = int(value) if isinstance(value, str) else math.trunc(value)
+        else:
+            number = float(value)
+            if math.isnan(number):
+                number = default
+    except (TypeError, ValueError, OverflowError):
+        number = default
+    return max(lowest, min(number, highest))

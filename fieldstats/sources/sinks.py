@@ -36,7 +36,8 @@ def csv_ready(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    csv_ready(df).write.mode(mode).option("header", True).csv(path)
+    """CSV with a header; quotes in cells are doubled, as ``read_csv`` and most other readers have it."""
+    csv_ready(df).write.mode(mode).options(header=True, quote='"', escape='"').csv(path)
 
 
 def export_result(result: Result, path: str, mode: str = "errorifexists") -> None:

@@ -477,6 +477,10 @@ sql("forecast_steps", f"""
 WITH RECURSIVE {autoregression(_EVENTS)}
 SELECT step, round(last, 4) AS forecast FROM steps WHERE step BETWEEN 1 AND 6""")
 
+sql("forecast_six_lags", """
+SELECT count(*) - 6 AS rows_fitted, 6::INTEGER AS lags, true AS uncorrelated, 12::INTEGER AS steps
+FROM events WHERE ts IS NOT NULL AND value IS NOT NULL""")
+
 # --- recipes ----------------------------------------------------------------------------------------------
 
 sql("recipe_units", """
@@ -508,20 +512,23 @@ f AS (SELECT *, (kelvin - 273.15) * 9.0 / 5.0 + 32.0 AS fahrenheit FROM k)
 SELECT event_id, round(kelvin, 4) AS kelvin, round(fahrenheit, 4) AS fahrenheit,
        round(avg(fahrenheit) OVER (PARTITION BY date_trunc('day', ts)), 4) AS fahrenheit_day
 FROM f""")
+sql("recipe_month_mean_no_time", """
+WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 0 THEN o_orderdate END AS placed, o_totalprice FROM orders)
+SELECT o_orderkey, placed, round(o_totalprice, 4) AS o_totalprice,
+       round(avg(o_totalprice) OVER (PARTITION BY date_trunc('month', placed)), 4) AS monthmean
+FROM o""")
 sql("recipe_suggest", """
-SELECT s.*, (SELECT count(*) FROM events) AS rows FROM (VALUES
-  ('user_id', 'pa_to_hpa', 'user_id_hpa', 'its unit is pascal'),
-  ('air_k', 'kelvin_to_celsius', 'air_k_c', 'its name ends like that of a kelvin column')
-) AS s(source_variable, operation, suggested_output, reason)""")
+SELECT event_id, round(value - 273.15, 6) AS air_k_c, round(value / 100.0, 6) AS push_hpa, round(value * 3.6, 6) AS wind_kmh FROM events""")
+sql("recipe_checks", """
+WITH lows AS (
+  SELECT 'l_quantity' AS source, min(l_quantity) AS low FROM lineitem UNION ALL SELECT 'l_extendedprice', min(l_extendedprice) FROM lineitem
+  UNION ALL SELECT 'l_discount', min(l_discount) FROM lineitem UNION ALL SELECT 'l_tax', min(l_tax) FROM lineitem)
+SELECT source, operation, CASE operation WHEN 'divide_constant' THEN low = 0 ELSE true END AS refused
+FROM lows, (VALUES ('divide_constant'), ('add_constant'), ('rolling_mean')) AS o(operation)""")
 
 # --- roles --------------------------------------------------------------------------------------------------
 
 
-def literal_roles(rows: list[tuple[str, str, bool, bool, bool, bool]]) -> str:
-    body = ", ".join(str(r).replace("True", "true").replace("False", "false") for r in rows)
-    return f"SELECT * FROM (VALUES {body}) AS r(\"column\", role, is_time, is_latitude, is_longitude, is_variable)"
-
-
 # No event column has a telling name, so the coordinates follow from the value ranges.
 sql("infer_roles", """
 WITH cols AS (
@@ -541,18 +548,35 @@ SELECT name AS "column",
        kind = 't' AS is_time, is_lat AS is_latitude, is_lon AS is_longitude,
        kind = 'n' AND NOT is_lat AND NOT is_lon AS is_variable
 FROM flagged""")
-sql("infer_roles_ranges", literal_roles([
-    ("l_shipdate", "time", True, False, False, False),
-    ("l_returnflag", "categorical", False, False, False, False),
-    ("l_tax", "latitude", False, True, True, False),
-    ("l_extendedprice", "numeric", False, False, False, True),
-    ("l_discount", "numeric", False, False, False, True),
-]))
-sql("infer_roles_text", literal_roles([
-    ("placed", "time", True, False, False, False),
-    ("o_orderpriority", "categorical", False, False, False, False),
-    ("o_totalprice", "numeric", False, False, False, True),
-]))
+# An x in the name tells of a longitude; the latitude is the first column whose values fit. One may be both, and then has the label found last.
+sql("infer_roles_ranges", """
+WITH spans AS (
+  SELECT 3 AS pos, 'l_tax' AS name, min(l_tax) AS lo, max(l_tax) AS hi FROM lineitem
+  UNION ALL SELECT 4, 'l_extendedprice', min(l_extendedprice), max(l_extendedprice) FROM lineitem
+  UNION ALL SELECT 5, 'l_discount', min(l_discount), max(l_discount) FROM lineitem),
+lat AS (SELECT min_by(name, pos) AS name FROM spans WHERE lo >= -90 AND hi <= 90),
+lon AS (SELECT min_by(name, pos) AS name FROM spans WHERE name LIKE '%x%'),
+cols AS (
+  SELECT name, 'n' AS kind FROM spans
+  UNION ALL SELECT column_name, CASE WHEN column_type LIKE 'TIMESTAMP%' THEN 't' ELSE 'c' END
+  FROM (DESCRIBE SELECT l_shipdate, l_returnflag FROM lineitem))
+SELECT name AS "column",
+       CASE WHEN kind = 't' THEN 'time' WHEN kind = 'c' THEN 'categorical' WHEN name = (SELECT name FROM lat) THEN 'latitude'
+            WHEN name = (SELECT name FROM lon) THEN 'longitude' ELSE 'numeric' END AS role,
+       kind = 't' AS is_time, coalesce(name = (SELECT name FROM lat), false) AS is_latitude,
+       coalesce(name = (SELECT name FROM lon), false) AS is_longitude,
+       kind = 'n' AND name IS DISTINCT FROM (SELECT name FROM lat) AND name IS DISTINCT FROM (SELECT name FROM lon) AS is_variable
+FROM cols""")
+# Text is a time if four fifths of its cells are.
+sql("infer_roles_text", """
+WITH t AS (SELECT strftime(o_orderdate, '%-m/%-d/%Y') AS placed, o_orderpriority, o_totalprice FROM orders),
+shares AS (
+  SELECT 'placed' AS name, count(try_strptime(placed, '%m/%d/%Y')) >= 0.8 * count(placed) AS times FROM t
+  UNION ALL SELECT 'o_orderpriority', count(try_strptime(o_orderpriority, '%m/%d/%Y')) >= 0.8 * count(o_orderpriority) FROM t),
+place AS (SELECT max(abs(o_totalprice)) <= 180 AS fits FROM t)
+SELECT name AS "column", CASE WHEN times THEN 'time' ELSE 'categorical' END AS role, times AS is_time, false AS is_latitude,
+       false AS is_longitude, false AS is_variable FROM shares
+UNION ALL SELECT 'o_totalprice', CASE WHEN fits THEN 'longitude' ELSE 'numeric' END, false, fits, fits, NOT fits FROM place""")
 
 # --- charts -------------------------------------------------------------------------------------------------
 
@@ -653,3 +677,48 @@ SELECT 'o_orderdate' AS time_column, 'o_totalprice' AS target_column, cov.*,
        lowest_year AS summary_lowest_year, lowest_value AS summary_lowest_value,
        highest_year AS summary_highest_year, highest_value AS summary_highest_value
 FROM cov, summ""")
+sql("csv_round_trip", """
+SELECT o_orderkey, 'two "lines",' || chr(10) || o_orderpriority AS mark, CASE WHEN o_orderkey % 3 = 1 THEN 'x' END AS word,
+       o_custkey % 2 = 0 AS even, o_totalprice FROM orders""")
+sql("parquet_by_year", """
+SELECT o_orderkey, o_orderdate, round(o_totalprice, 4) AS o_totalprice FROM orders WHERE year(o_orderdate) > 1995""")
+sql("export_primary", ORACLE["corr_matrix"])
+sql("export_every_table", ORACLE["baseline_summary"].replace("(SELECT year FROM", "(SELECT CAST(year AS BIGINT) FROM"))
+sql("capped_ingest", f"""
+WITH numbered AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders),
+{spaced('SELECT count(*) FROM orders', 777)}
+SELECT o_orderkey, o_totalprice AS price FROM numbered JOIN pick USING (i)""")
+sql("raster_capped", f"""
+WITH cells AS (
+  SELECT vec_id, unnest(range(len(embedding))) AS spot, unnest(embedding)::DOUBLE AS value FROM embeddings),
+numbered AS (SELECT *, row_number() OVER (ORDER BY vec_id, spot) - 1 AS i FROM cells WHERE value IS NOT NULL),
+{spaced('SELECT count(*) FROM numbered', 999)}
+SELECT vec_id, round((spot % 8 + 0.5) * 0.5 - 10.0, 6) AS longitude, round((spot // 8 + 0.5) * -0.25 + 60.0, 6) AS latitude, round(value, 6) AS value
+FROM numbered JOIN pick USING (i)""")
+sql("override_roles", """
+SELECT make_date(year(l_shipdate), 12, 31)::TIMESTAMP AS period_start, count(l_tax) AS l_tax_count, count(l_discount) AS l_discount_count,
+       round(max(l_tax), 4) AS l_tax_max, round(max(l_discount), 4) AS l_discount_max
+FROM lineitem WHERE l_shipdate IS NOT NULL GROUP BY 1""")
+sql("size_guards", """
+WITH sizes AS (
+  SELECT 'YE' AS period, count(DISTINCT year(o_orderdate)) AS n FROM orders
+  UNION ALL SELECT 'ME', count(DISTINCT date_trunc('month', o_orderdate)) FROM orders
+  UNION ALL SELECT 'D', count(DISTINCT date_trunc('day', o_orderdate)) FROM orders),
+years AS (SELECT count(DISTINCT year(o_orderdate)) AS years FROM orders)
+SELECT analysis, period, CASE analysis WHEN 'annual_trend' THEN years < 3 ELSE n < least END AS refused
+FROM sizes, years, (VALUES ('annual_trend', 3), ('regression', 10), ('forest', 30), ('forecast', 12)) AS a(analysis, least)""")
+sql("readable_times", """
+SELECT 'us' AS "column", count(ts) > 0 AS readable FROM events
+UNION ALL SELECT 'plain', count(ts) > 0 FROM events
+UNION ALL SELECT 'event_type', count(try_cast(event_type AS TIMESTAMP)) > 0 FROM events
+UNION ALL SELECT 'props', count(try_cast(props AS TIMESTAMP)) > 0 FROM events
+UNION ALL SELECT 'rare', count(*) FILTER (WHERE event_id = 17 AND ts IS NOT NULL) > 0 FROM events""")
+sql("preview_limits", """
+SELECT k::INTEGER AS "case", o_orderkey
+FROM (VALUES (0, 7), (1, 12), (2, 100), (3, 100), (4, 100), (5, 1), (6, 1), (7, 2)) AS l(k, most)
+JOIN (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS i FROM orders) ON i <= most""")
+sql("zscore_listing_text", f"""
+WITH m AS (SELECT avg(value) AS mean, stddev_pop(value) AS std FROM events)
+SELECT CASE WHEN event_id % 7 <> 0 THEN strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S') ELSE 'unknown' END AS time, round(value, 6) AS value,
+       round((value - mean) / std, 6) AS z_score, event_id
+FROM events, m WHERE abs((value - mean) / std) >= 2""")

@@ -5,6 +5,7 @@ Doubles are rounded so that another engine, summing in another order, gives the
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,12 @@ from fieldstats.functions.coerce import number
 from fieldstats.operators import aggregate, anomaly, baseline, charts, climatology, describe, distribution, extremes
 from fieldstats.operators import forecast, models, recipes, relate, roles, trend, workflow
 from fieldstats.plans.ranks import systematic_sample
-from fieldstats.session import use_utc
+from fieldstats.plans.halo import lagged
+from fieldstats.plans.rowindex import number_rows
+from fieldstats.session import ensure_checkpoint_dir, use_utc
 from fieldstats.sources.flatten import flatten_grid, flatten_raster
+from fieldstats.sources.readers import read_table
+from fieldstats.sources.sinks import export_result, export_tables, write_csv, write_parquet
 from fieldstats.sources.standardize import standardize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +53,11 @@ def rounded(df: DataFrame, digits: int = 4, **special: int) -> DataFrame:
     )
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder where all executors can write and read."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 # --- trends over years and over time points ---------------------------------------------------------------
 
 
@@ -523,6 +533,27 @@ def forecast_steps(spark, d):
     return rounded(result["forecast"], 4)
 
 
+@query
+def forecast_six_lags(spark, d):
+    """The default number of lags. Least squares is known by its residuals: their mean is 0 and they go with none of the lags."""
+    events = table(spark, d, "events")
+    result = forecast.time_series_forecasting(events, *EVENTS, order_by=["event_id"])
+    weights = {r["lag"]: r["coefficient"] for r in result["model_coefficients"].collect()}
+    facts = result["coverage"].first()
+    indexed, _ = number_rows(events.select("ts", "event_id", "value").dropna(), ["ts", "event_id"], "row_index")
+    rows = lagged(indexed.select("row_index", "value"), "value", len(weights)).dropna()
+    fitted = F.lit(facts["model_intercept"])
+    for lag, weight in weights.items():
+        fitted = fitted + F.col(lag) * F.lit(weight)
+    rows = rows.withColumn("rest", F.col("value") - fitted)
+    none = F.abs(F.avg("rest")) < 1e-6 * F.stddev_pop("value")
+    for lag in weights:
+        none = none & (F.abs(F.corr("rest", lag)) < 1e-6)
+    return rows.agg(F.count(F.lit(1)).alias("rows_fitted"), F.lit(len(weights)).alias("lags"), none.alias("uncorrelated")).withColumn(
+        "steps", F.lit(result["forecast"].count())
+    )
+
+
 # --- recipes ----------------------------------------------------------------------------------------------
 
 
@@ -585,12 +616,46 @@ def recipe_chain(spark, d):
     return rounded(data.df(["event_id", "kelvin", "fahrenheit", "fahrenheit_day"]))
 
 
+@query
+def recipe_month_mean_no_time(spark, d):
+    # Rows without a time form a month of their own.
+    orders = table(spark, d, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderkey") % 10 != 0, F.col("o_orderdate")).alias("placed"), "o_totalprice"
+    )
+    recipe = recipes.make_recipe("o_totalprice", "aggregate_by_month", "monthmean", time_column="placed")
+    return rounded(recipes.apply_recipe(orders, recipe))
+
+
 @query
 def recipe_suggest(spark, d):
-    # Suggestions depend on names and units, not on rows; the row count shows that the table is the given one.
-    events = table(spark, d, "events").withColumnRenamed("value", "air_k")
-    found = recipes.suggest_recipes(recipes.with_units(events, {"user_id": " PA "}))
-    return found.crossJoin(events.agg(F.count(F.lit(1)).alias("rows")))
+    """Units travel with the file's columns; each suggestion is carried out on all rows."""
+    path = fresh_folder(spark, "units") + ".parquet"
+    events = table(spark, d, "events").select("event_id", F.col("value").alias("air_k"), F.col("value").alias("push"), F.col("value").alias("wind"))
+    write_parquet(recipes.with_units(events, {"push": " PA ", "wind": "m s-1"}), path)
+    data = Dataset.from_df(read_table(spark, path), Roles(variables=("air_k", "push", "wind")))
+    for row in data.suggestions().collect():
+        data = data.add_recipe(row["source_variable"], row["operation"], row["suggested_output"])
+    return rounded(data.df(["event_id", *data.derived_columns]), 6)
+
+
+@query
+def recipe_checks(spark, d):
+    """Which recipes are refused: a division by a column's minimum where that is 0, an output that is there already, no time column."""
+    items = table(spark, d, "lineitem")
+    lows = items.agg(*[F.min(c).alias(c) for c in MEASURES]).first()
+    data = Dataset(items.select(*MEASURES), Roles(variables=tuple(MEASURES)))
+    tried = [(c, "divide_constant", f"{c}_part", {"constant": lows[c]}) for c in MEASURES]
+    tried += [(c, "add_constant", MEASURES[0], {"constant": lows[c]}) for c in MEASURES]
+    tried += [(c, "rolling_mean", f"{c}_smooth", {"window": lows[c]}) for c in MEASURES]
+    out = []
+    for source, operation, output, parameters in tried:
+        try:
+            data.add_recipe(source, operation, output, **parameters)
+            refused = False
+        except ValueError:
+            refused = True
+        out.append((source, operation, refused))
+    return spark.createDataFrame(out, "source string, operation string, refused boolean")
 
 
 # --- roles --------------------------------------------------------------------------------------------------
@@ -610,7 +675,7 @@ def infer_roles_ranges(spark, d):
 
 @query
 def infer_roles_text(spark, d):
-    # Dates written as text are recognised from a sample of the values.
+    # Dates written as text are recognised from all values.
     text = table(spark, d, "orders").select(
         F.date_format("o_orderdate", "M/d/yyyy").alias("placed"), "o_orderpriority", "o_totalprice"
     )
@@ -737,6 +802,126 @@ def coerce_quality(spark, d):
     )
 
 
+@query
+def csv_round_trip(spark, d):
+    """Written as CSV and read again: quotes, separators and line breaks in cells, missing-value tokens, inferred types."""
+    path = fresh_folder(spark, "orders") + ".csv"
+    mark = F.concat(F.lit('two "lines",\n'), "o_orderpriority")
+    word = F.when(F.col("o_orderkey") % 3 == 0, "NA").when(F.col("o_orderkey") % 3 == 1, "x")
+    orders = table(spark, d, "orders")
+    write_csv(orders.select("o_orderkey", mark.alias("mark"), word.alias("word"), (F.col("o_custkey") % 2 == 0).alias("even"), "o_totalprice"), path)
+    return read_table(spark, path)
+
+
+@query
+def parquet_by_year(spark, d):
+    """One folder a year; the folder's column is not part of the table."""
+    path = fresh_folder(spark, "years") + ".parquet"
+    write_parquet(table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_totalprice"), path, year_of="o_orderdate")
+    return rounded(read_table(spark, path).where("year(o_orderdate) > 1995"))
+
+
+@query
+def export_primary(spark, d):
+    """The result's first table as CSV, read again."""
+    path = fresh_folder(spark, "primary") + ".csv"
+    export_result(relate.correlation(table(spark, d, "lineitem"), MEASURES), path)
+    return read_table(spark, path)
+
+
+@query
+def export_every_table(spark, d):
+    """Each table of a result in a folder of its own; the summary is read again."""
+    path = fresh_folder(spark, "tables")
+    export_tables(baseline.baseline_anomalies(table(spark, d, "orders"), *ORDERS, **BASELINE), path)
+    return rounded(read_table(spark, f"{path}/summary", "csv"))
+
+
+@query
+def capped_ingest(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias(" price "))
+    return standardize(orders, max_rows=777, order_by=["o_orderkey"])
+
+
+@query
+def raster_capped(spark, d):
+    tiles = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("pixels"))
+    points = flatten_raster(tiles, "pixels", 8, (0.5, 0.0, -10.0, 0.0, -0.25, 60.0), keep=["vec_id"], max_points=999, order_by=["vec_id"])
+    return rounded(points, 6)
+
+
+@query
+def override_roles(spark, d):
+    """All roles replaced by hand; resampling then follows them, and repeated aggregations count once."""
+    data = Dataset.from_df(table(spark, d, "lineitem"), name="items").set_roles(time="l_shipdate", variables=["l_tax", "l_discount"])
+    return rounded(data.temporal_aggregation("YE", aggregations=["count", "max", "count"]).df())
+
+
+@query
+def size_guards(spark, d):
+    """Analyses that refuse too few rows: trends need three years, regressions ten complete rows, forests thirty, forecasts more than
+    five beyond their lags. The tables are the yearly, monthly and daily means of all orders."""
+    checks = {
+        "annual_trend": lambda part: trend.annual_trend_signal(part, "period_start", "o_totalprice_mean", checked=True)["annual_series"],
+        "regression": lambda part: models.linear_regression(part, "o_totalprice_mean", ["o_totalprice_count"])["coverage"],
+        "forest": lambda part: models.random_forest_regression(part, "o_totalprice_mean", ["o_totalprice_count"], n_estimators=2)["coverage"],
+        "forecast": lambda part: forecast.time_series_forecasting(part, "period_start", "o_totalprice_mean")["forecast"],
+    }
+    out = []
+    for code in ("YE", "ME", "D"):
+        part = aggregate.temporal_aggregation(table(spark, d, "orders"), "o_orderdate", ["o_totalprice"], code, ["mean", "count"])
+        for name, run in checks.items():
+            try:
+                run(part.dropna())
+                refused = False
+            except ValueError:
+                refused = True
+            out.append((name, code, refused))
+    return spark.createDataFrame(out, "analysis string, period string, refused boolean")
+
+
+@query
+def readable_times(spark, d):
+    """A recipe over time is refused where the time column has no readable cell."""
+    events = table(spark, d, "events").select(
+        F.date_format("ts", "M/d/yyyy H:mm:ss").alias("us"), F.date_format("ts", "yyyyMMdd").alias("plain"), "event_type", "props", "value",
+        F.when(F.col("event_id") == 17, F.date_format("ts", "d MMM yyyy")).otherwise(F.lit("n/a")).alias("rare"),
+    )
+    data = Dataset(events, Roles(variables=("value",)))
+    out = []
+    for column in ("us", "plain", "event_type", "props", "rare"):
+        try:
+            data.add_recipe("value", "aggregate_by_day", f"by_{column}", time_column=column)
+            out.append((column, True))
+        except ValueError:
+            out.append((column, False))
+    return spark.createDataFrame(out, "column string, readable boolean")
+
+
+@query
+def preview_limits(spark, d):
+    """A limit is a number or text; out of bounds or unreadable ones give the nearest bound or the default."""
+    data = Dataset(table(spark, d, "orders"), Roles(time="o_orderdate"))
+    out = []
+    for k, limit in enumerate(("7", " 12 ", "7.5", "many", None, -3, "0", 2.9)):
+        page = data.preview(["o_orderkey"], limit).select(F.lit(k).alias("case"), "o_orderkey")
+        out.append(page)
+    whole = out[0]
+    for page in out[1:]:
+        whole = whole.unionAll(page)
+    return whole
+
+
+@query
+def zscore_listing_text(spark, d):
+    """Times given as text are shown in ISO form, unreadable ones as they are."""
+    events = table(spark, d, "events").select(
+        "event_id", "value", F.when(F.col("event_id") % 7 != 0, F.date_format("ts", "M/d/yyyy H:mm:ss")).otherwise(F.lit("unknown")).alias("noted")
+    )
+    result = anomaly.anomaly_detection(events, "value", "noted", order_by=["event_id"])
+    return rounded(result["anomalies"], 6)
+
+
 @query
 def preview_page(spark, d):
     data = Dataset(table(spark, d, "orders"), Roles(time="o_orderdate", variables=("o_totalprice",)))
