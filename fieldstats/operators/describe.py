@@ -33,20 +33,19 @@ def choose_features(
 def describe_table(df: DataFrame, columns: Sequence[str], exact: bool = True) -> DataFrame:
     """count, mean, std, min, quartiles, max per column, as one row each.
 
-    One scan for the moments, one for a sketch of a sample, one for the exact quartiles; each returns a few rows.
-    ``exact=False`` takes approximate quartiles from the first scan instead.
+    One scan for the moments and a sketch, one for the exact quartiles; each returns a few rows. ``exact=False`` takes approximate
+    quartiles from the first scan instead.
     """
     slim = df.select(*[number(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
     names = slim.columns
-    parts = quantiles.ranges(names)
-    parts += [F.avg(c).alias(f"mean_{i}") for i, c in enumerate(names)]
+    parts = [F.avg(c).alias(f"mean_{i}") for i, c in enumerate(names)]
     parts += [F.stddev_samp(c).alias(f"std_{i}") for i, c in enumerate(names)]
     if not exact:
         parts += [
             F.percentile_approx(c, list(_QUARTILES), quantiles.ACCURACY).alias(f"near_{i}")
             for i, c in enumerate(names)
         ]
-    first = slim.agg(*parts).head()
+    first = quantiles.first_scan(slim, names, _QUARTILES, parts)
     if exact:
         quartiles = quantiles.finish(slim, names, _QUARTILES, first)
     else:

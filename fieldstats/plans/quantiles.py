@@ -1,9 +1,9 @@
 """Exact quantiles of unbounded columns.
 
 The built-in exact ``percentile`` keeps every distinct value in one buffer, which does not survive a column with
-billions of them. Here a sketch of a sample brackets each wanted quantile first. The exact pass then counts the distinct values
-inside the brackets, and everything between two brackets as one group, with an ordinary (partial, spilling) group-by;
-a running count over that small table finds the order statistics. The groups between brackets carry exact counts,
+billions of them. Here mergeable sketches, taken in the scan that also finds counts, ends and moments, bracket each wanted quantile. The
+exact pass, a second scan, then counts the distinct values inside the brackets, and everything between two brackets as one
+group; a running count over that small table finds the order statistics. The groups between brackets carry exact counts,
 so a bracket that misses its quantile shows, and is replaced by the whole range. When a bracket may hold too many
 values, further sketch passes narrow it. Each pass is one scan with map-side aggregation.
 """
@@ -11,18 +11,18 @@ values, further sketch passes narrow it. Each pass is one scan with map-side agg
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 10_000
-# About this many rows feed the first sketch; it only has to aim, the exact pass verifies.
-SKETCH_ROWS = 200_000
-FIRST_GRID = 512
+#: Items of a sketch. Ranks are off by about 0.13 % of the rows; brackets reach twice as far.
+SKETCH_ITEMS = 4096
+MARGIN = 0.003
 # Up to this many rows the whole range is used instead of a bracket.
 SMALL = 2_000
 # Most distinct values that the brackets of one column may hold in the exact pass.
@@ -50,39 +50,15 @@ def _even_steps(count: int) -> Column:
     return F.expr("array(" + ",".join(f"{g / count!r}D" for g in range(count + 1)) + ")")
 
 
-def ranges(columns: Sequence[str]) -> list[Column]:
-    """Aggregates for the count and the ends of each column, to be put into whatever ``agg`` runs over them first."""
-    out: list[Column] = []
+def first_scan(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], parts: Sequence[Column] = ()) -> Row:
+    """One row: count, ends and brackets of the wanted quantiles of each column, and whatever ``parts`` adds up beside them."""
+    marks = F.array(*[F.lit(min(max(p + side * MARGIN, 0.0), 1.0)) for p in probabilities for side in (-1, 1)])
+    found, shown = list(parts), [F.col("*")]
     for i, name in enumerate(columns):
-        out += [F.count(name).alias(f"n_{i}"), F.min(name).alias(f"low_{i}"), F.max(name).alias(f"high_{i}")]
-    return out
-
-
-def _sketch(df: DataFrame, columns: Sequence[str], rows: int) -> Row:
-    """Evenly spaced approximate quantiles of a sample. Rows are dropped before the sketch sees them, so this pass costs
-    little more than reading."""
-    share = SKETCH_ROWS / max(rows, 1)
-    sample = df.where(F.rand(7) < share) if share < 1 else df
-    grid = _even_steps(FIRST_GRID)
-    parts: list[Column] = []
-    for i, name in enumerate(columns):
-        parts.append(F.count(name).alias(f"seen_{i}"))
-        parts.append(F.percentile_approx(name, grid, ACCURACY).alias(f"sketch_{i}"))
-    return sample.agg(*parts).head()
-
-
-def _aim(bracket: _Bracket, count: int, seen: int, sketch: Sequence[float] | None) -> None:
-    """Five standard errors of a sample rank, the sketch's own error and one grid step on each side."""
-    if count <= SMALL or seen <= SMALL or not sketch:
-        return
-    margin = 2.5 / math.sqrt(seen) + 2 / ACCURACY
-    left = math.floor((bracket.probability - margin) * FIRST_GRID)
-    right = math.ceil((bracket.probability + margin) * FIRST_GRID)
-    if left > 0:
-        bracket.low = sketch[left]
-    if right < FIRST_GRID:
-        bracket.high = sketch[right]
-    bracket.rows = count * (min(right, FIRST_GRID) - max(left, 0)) / FIRST_GRID + 2 * margin * count
+        found += [F.count(name).alias(f"n_{i}"), F.min(name).alias(f"low_{i}"), F.max(name).alias(f"high_{i}")]
+        found.append(F.kll_sketch_agg_double(name, F.lit(SKETCH_ITEMS)).alias(f"sketch_{i}"))
+        shown.append(F.when(F.col(f"n_{i}") > 0, F.kll_sketch_get_quantile_double(f"sketch_{i}", marks)).alias(f"marks_{i}"))
+    return df.agg(*found).select(*shown).drop(*[f"sketch_{i}" for i in range(len(columns))]).head()
 
 
 def finish(
@@ -92,18 +68,20 @@ def finish(
     known: Row,
     kept_values: int = KEPT_VALUES,
 ) -> dict[str, list[float | None]]:
-    """Exact quantiles (linear interpolation) of NaN-free double columns, from a row with their ``ranges``."""
+    """Exact quantiles (linear interpolation) of NaN-free double columns, from the row of their ``first_scan``."""
     counts = {name: known[f"n_{i}"] for i, name in enumerate(columns)}
-    sketch = _sketch(df, columns, max(counts.values())) if max(counts.values()) > SMALL else None
     brackets: list[_Bracket] = []
     for i, name in enumerate(columns):
         if not counts[name]:
             continue
         low, high = known[f"low_{i}"], known[f"high_{i}"]
-        for p in probabilities:
+        for k, p in enumerate(probabilities):
             bracket = _Bracket(name, p, low, high, counts[name], low, high)
-            if sketch is not None:
-                _aim(bracket, counts[name], sketch[f"seen_{i}"], sketch[f"sketch_{i}"])
+            if counts[name] > SMALL:
+                # Beyond the ends of the sketch lie the ends of the column.
+                bracket.low = known[f"marks_{i}"][2 * k] if p > MARGIN else low
+                bracket.high = known[f"marks_{i}"][2 * k + 1] if p < 1 - MARGIN else high
+                bracket.rows = 4 * MARGIN * counts[name]
             brackets.append(bracket)
     found: dict[tuple[str, float], float] = {}
     for _ in range(_ATTEMPTS):
@@ -174,43 +152,46 @@ def _spans(brackets: list[_Bracket]) -> list[tuple[float, float]]:
     return merged
 
 
-def _zone(value: Column, spans: list[tuple[float, float]]) -> Column:
-    """Position among the spans: 2i is the gap before span i, 2i + 1 is span i. NULL stays NULL."""
-    expr: Column | None = None
-    for i, (low, high) in enumerate(spans):
-        before = F.when(value < low, F.lit(2 * i)) if expr is None else expr.when(value < low, F.lit(2 * i))
-        expr = before.when(value <= high, F.lit(2 * i + 1))
-    return expr.when(value.isNotNull(), F.lit(2 * len(spans)))
+def _tally(spans: list[tuple[np.ndarray, np.ndarray]]):
+    """mapInArrow: for each column the distinct values inside its spans with their numbers, and how many values lie in each gap. Zone 2i is
+    the gap before span i, 2i + 1 is span i."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gaps = [np.zeros(2 * len(low) + 1, np.int64) for low, _ in spans]
+
+        def rows(k: int, zone: np.ndarray, value: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+            columns = [pa.array(np.full(len(zone), k, np.int32)), pa.array(zone.astype(np.int32)), value, pa.array(n.astype(np.int64))]
+            return pa.RecordBatch.from_arrays(columns, ["k", "zone", "v", "n"])
+
+        for batch in batches:
+            for k, (low, high) in enumerate(spans):
+                v = batch[k].drop_null().to_numpy(zero_copy_only=False)
+                at = np.searchsorted(low, v, side="right") - 1
+                inside = (at >= 0) & (v <= high[np.maximum(at, 0)])
+                gaps[k] += np.bincount(2 * (at[~inside] + 1), minlength=len(gaps[k]))
+                value, n = np.unique(v[inside], return_counts=True)
+                if len(value):
+                    yield rows(k, 2 * np.searchsorted(low, value, side="right") - 1, pa.array(value), n)
+        for k, counted in enumerate(gaps):
+            zone = np.flatnonzero(counted)
+            yield rows(k, zone, pa.nulls(len(zone), pa.float64()), counted[zone])
+
+    return run
 
 
 def _exact_pass(df: DataFrame, brackets: list[_Bracket], counts: dict[str, int]) -> dict[tuple[str, float], float]:
-    """The quantiles whose order statistics both lie inside a bracket."""
+    """The quantiles whose order statistics both lie inside a bracket. One scan."""
     names = list(dict.fromkeys(b.column for b in brackets))
-    entries: list[Column] = []
-    zones: dict[str, Column] = {}
+    spans = [_spans([b for b in brackets if b.column == name]) for name in names]
     wanted: Column = F.lit(False)
     for k, name in enumerate(names):
         own = [b for b in brackets if b.column == name]
-        zones[f"__zone_{k}"] = _zone(F.col(name), _spans(own))
-        zone = F.col(f"__zone_{k}")
-        value = F.when(zone % 2 == 1, F.col(name))
-        entries.append(F.struct(F.lit(k).alias("k"), zone.alias("zone"), value.alias("v")))
         for rank in {r for b in own for r in _ranks(counts[name], b.probability)[:2]}:
             covers = (F.col("before") <= rank) & (F.col("upto") > rank)
             wanted = wanted | ((F.col("k") == k) & covers)
-    zoned = df.withColumns(zones)
-    # What lies between the brackets is only counted; the rows that have a value in a bracket, a few in a hundred, are grouped.
-    gaps = {
-        (k, zone): F.count_if(F.col(f"__zone_{k}") == zone)
-        for k, name in enumerate(names)
-        for zone in range(0, 2 * len(_spans([b for b in brackets if b.column == name])) + 1, 2)
-    }
-    between = zoned.agg(*[c.alias(f"g{i}") for i, c in enumerate(gaps.values())]).head()
-    counted = [(k, zone, None, between[i]) for i, (k, zone) in enumerate(gaps)]
-    inside = reduce(or_, [F.coalesce(F.col(z) % 2 == 1, F.lit(False)) for z in zones])
-    cells = zoned.where(inside).select(F.explode(F.array(*entries)).alias("cell")).select("cell.*")
-    sizes = cells.where(F.col("zone") % 2 == 1).groupBy("k", "zone", "v").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.unionAll(df.sparkSession.createDataFrame(counted, "k int, zone int, v double, n bigint"))
+    ends = [(np.array([low for low, _ in own]), np.array([high for _, high in own])) for own in spans]
+    cells = df.select(*[F.col(name).cast("double") for name in names]).mapInArrow(_tally(ends), "k int, zone int, v double, n bigint")
+    sizes = cells.groupBy("k", "zone", "v").agg(F.sum("n").alias("n"))
     running = F.sum("n").over(Window.partitionBy("k").orderBy("zone", "v"))
     ranked = sizes.select("k", "v", running.alias("upto"), (running - F.col("n")).alias("before"))
     hits = ranked.where(wanted).collect()  # at most two rows per quantile
@@ -234,5 +215,4 @@ def exact_quantiles(
     probabilities: Sequence[float],
     kept_values: int = KEPT_VALUES,
 ) -> dict[str, list[float | None]]:
-    known = df.agg(*ranges(columns)).head()
-    return finish(df, columns, probabilities, known, kept_values)
+    return finish(df, columns, probabilities, first_scan(df, columns, probabilities), kept_values)

@@ -76,3 +76,19 @@ def test_a_rolling_recipe_writes_only_what_the_analysis_reads(spark, tmp_path, m
     assert result["annual_series"].count() == 4
     result.release()
     assert widths and max(widths) <= 4
+
+
+def test_describe_reads_the_table_twice(stored, monkeypatch):
+    from fieldstats.operators.describe import descriptive_stats
+    from fieldstats.plans import quantiles
+
+    passes = []
+    for name in ("first_scan", "_exact_pass"):
+        plain = getattr(quantiles, name)
+        monkeypatch.setattr(quantiles, name, lambda *a, plain=plain: passes.append(1) or plain(*a))
+    many = stored.sparkSession.range(0, 50_000, 1, 4).selectExpr("cast(hash(id) % 1000 as double) as a", "cast(hash(id, 1) as double) as b")
+    got = {r["column"]: r for r in descriptive_stats(many)["summary"].collect()}
+    pdf = many.toPandas().describe()
+    assert len(passes) == 2
+    for c in ("a", "b"):
+        assert [got[c][q] for q in ("25%", "50%", "75%")] == pytest.approx([pdf[c][q] for q in ("25%", "50%", "75%")])
