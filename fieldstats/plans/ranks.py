@@ -22,10 +22,11 @@ class _Cell:
 
     number: int
     rows: int
-    key: int
-    low: float
-    high: float
+    key: int = 0
+    low: float = 0.0
+    high: float = 0.0
     start: int = 0
+    done: bool = False
 
 
 def _codes(name: str, kind: T.DataType) -> list[Column]:
@@ -80,55 +81,62 @@ class Ranks:
         else:
             codes.append(F.col("__scan").cast("double"))
         self._codes = codes
-        self._next = 1
-        leaves = self._measure(rows, None)
-        self.total = sum(c.rows for c in leaves)
+        self._next, self._parent = 1, {}
+        leaves = [_Cell(0, 0)]
+        self._measure(rows, leaves)
+        self.total = leaves[0].rows
         crowded = max(_CROWDED, 16 * self.total // cells)
-        share = dict.fromkeys((c.number for c in leaves), cells)
+        share = {0: cells}
         todo = [c for c in leaves if self._divisible(c) and wanted(0, c.rows, self.total)]
         while todo:
             rows = self._divide(rows, todo, share)
             fresh: dict[int, list[_Cell]] = {}
-            for cell in self._measure(rows, todo):
-                fresh.setdefault(self._parent[cell.number], []).append(cell)
+            for r in sorted(rows.where("__fresh").groupBy("__cell").count().collect()):
+                fresh.setdefault(self._parent[r["__cell"]], []).append(_Cell(r["__cell"], r["count"]))
             leaves = [x for c in leaves for x in fresh.get(c.number, [c])]
             at = 0
             for c in leaves:
                 c.start, at = at, at + c.rows
-            todo = [c for c in leaves if c.rows > crowded and self._divisible(c) and wanted(c.start, c.rows, self.total)]
+            full = [c for c in leaves if c.rows > crowded and not c.done and wanted(c.start, c.rows, self.total)]
+            if full:
+                self._measure(rows, full)
+            todo = [c for c in full if self._divisible(c)]
             share = {c.number: min(cells, 16 * (c.rows // crowded + 1)) for c in todo}
         self._rows = rows
         self._chosen = [c for c in leaves if c.rows and wanted(c.start, c.rows, self.total)]
 
     def _divisible(self, cell: _Cell) -> bool:
         width = cell.high - cell.low
-        return cell.key < len(self._codes) and (width == 0 or 1e-290 < width < 1e290)
+        cell.done = not cell.rows or cell.key >= len(self._codes) or not (width == 0 or 1e-290 < width < 1e290)
+        return not cell.done
 
-    def _measure(self, rows: DataFrame, parents: list[_Cell] | None) -> list[_Cell]:
-        """Counts and ranges of the cells that the parents were divided into, in order."""
-        if parents is not None:
-            rows = rows.where(F.col("__fresh"))
+    def _measure(self, rows: DataFrame, cells: list[_Cell]) -> None:
+        """The key by which each of the cells can be divided, and its range there."""
         parts: list[Column] = [F.count(F.lit(1)).alias("n")]
         for i, code in enumerate(self._codes):
             finite = F.when(~F.isnan(code) & (F.abs(code) != float("inf")), code)
             parts += [F.count(code).alias(f"c{i}"), F.min(code).alias(f"a{i}"), F.max(code).alias(f"b{i}"), F.min(finite).alias(f"l{i}"), F.max(finite).alias(f"h{i}")]
         for i, name in self._barriers.items():
             parts.append(F.min(name).eqNullSafe(F.max(name)).alias(f"e{i}"))
-        out = []
-        for r in sorted(rows.groupBy("__cell").agg(*parts).collect(), key=lambda r: r["__cell"]):
-            key = 0
+        if len(self._parent):
+            which = rows.sparkSession.createDataFrame([(c.number,) for c in cells], "__cell long")
+            rows = rows.join(F.broadcast(which), "__cell")
+        known = {c.number: c for c in cells}
+        for r in rows.groupBy("__cell").agg(*parts).collect():
+            cell, key = known[r["__cell"]], 0
             while key < len(self._codes) and (r[f"c{key}"] == 0 or (r[f"c{key}"] == r["n"] and r[f"a{key}"] == r[f"b{key}"])):
                 if key in self._barriers and not r[f"e{key}"]:
                     key = len(self._codes)
                     break
                 key += 1
             low, high = (r[f"l{key}"], r[f"h{key}"]) if key < len(self._codes) else (None, None)
-            out.append(_Cell(r["__cell"], r["n"], key, low if low is not None else 0.0, high if high is not None else 0.0))
-        return out
+            cell.rows, cell.key = r["n"], key
+            cell.low, cell.high = (low, high) if low is not None else (0.0, 0.0)
 
     def _divide(self, rows: DataFrame, todo: list[_Cell], share: dict[int, int]) -> DataFrame:
         """New cell numbers for the rows of ``todo``: null, -inf, even steps from low to high, inf and NaN, in this order."""
-        table, self._parent = [], {}
+        table = []
+        self._parent = {}
         for c in todo:
             count = share[c.number]
             scale = count / (c.high - c.low) if c.high > c.low else 0.0
