@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import ref
+from fieldstats.plans.ranks import ranked_between
+from llm.common import ref, saved
 
 # The base kinds.
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -223,7 +224,8 @@ def _prose(text: str) -> str:
 
 def common_words(docs: DataFrame, most: int, least: int, text_col: str = "text") -> list[str]:
     """The ``most`` most frequent words of all texts (4 to 24 letters a-z, lower-cased) that occur ``least`` times or more, the most frequent
-    first, equally frequent ones by letters. Tasks count, one group-by adds the counts up; only the list comes to the driver."""
+    first, equally frequent ones by letters. Tasks count, one group-by adds the counts up, and ranges of counts tell which words are in the list; only
+    the list comes to the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
@@ -240,8 +242,9 @@ def common_words(docs: DataFrame, most: int, least: int, text_col: str = "text")
                     yield out()
         yield out()
 
-    counts = docs.select(ref(text_col).cast("string").alias("text")).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most).collect()]
+    parts = docs.select(ref(text_col).cast("string").alias("text")).mapInArrow(count, "word string, n bigint")
+    counts = saved(parts.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select((-F.col("n")).alias("less"), "word"))
+    return [r["word"] for r in sorted(ranked_between(counts, ["less", "word"], 0, most).collect())]
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
