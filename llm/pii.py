@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -14,7 +17,9 @@ from pyspark.sql import functions as F
 
 from llm.common import ref, saved, unused
 
-_EMAIL = re.compile(r"(?<![\w.+-])([A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?)@((?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24})(?![\w-])")
+_EMAIL = re.compile(r"(?<![\w.+-])([^\W_](?:[\w.%+-]{0,62}[^\W_])?)@((?:[^\W_](?:(?:[^\W_]|-){0,61}[^\W_])?\.){1,8}[^\W\d_]{2,24})(?![\w-])")
+#: What may be an IPv6 address; ``_ipv6`` decides.
+_COLONS = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:])", re.ASCII)
 _IPV4 = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)", re.ASCII)
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _CARD = re.compile(r"(?<![\w.+-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?![\w]|[.-]\d)", re.ASCII)
@@ -61,6 +66,16 @@ def _luhn(digits: str) -> int:
     return -total % 10
 
 
+def _ipv6(text: str) -> str | None:
+    """The short form of an address with three groups or more; names joined by colons seldom have as many."""
+    if sum(1 for group in text.split(":") if group) < 3:
+        return None
+    try:
+        return str(ipaddress.IPv6Address(text))
+    except ValueError:
+        return None
+
+
 def _gender(title: str, given: str) -> str:
     """By the form of address; behind a neutral one by the ending of the given name."""
     if title in _NEUTRAL:
@@ -137,6 +152,8 @@ def find_entities(text: str) -> list[tuple[int, int, str, str]]:
                 at += len(word) + 1
         named = [e for e in found if e[2] != "email"]
         found += _mentions(text, named) if named else ()
+    if text.count(":") >= 3:
+        found += [(m.start(), m.end(), "ip", norm) for m in _COLONS.finditer(text) if (norm := _ipv6(m[0]))]
     found += _numbers(text)
     found.sort(key=lambda e: e[0])  # stable: of two that start together, the one found first
     out, end = [], 0
@@ -163,14 +180,30 @@ class _Stream:
         return value * n >> 32
 
 
+@lru_cache(maxsize=4096)
+def _alphabet(c: str) -> str:
+    """Small letters of the script of a letter, from its part of the code table; a to z for Latin ones."""
+    script = unicodedata.name(c, "LATIN").split(" ")[0]
+    if script == "LATIN":
+        return "abcdefghijklmnopqrstuvwxyz"
+    part = ord(c.lower()[0]) & ~0xFF
+    near = [chr(k) for k in range(part, part + 0x100)]
+    alike = [x for x in near if x.isalpha() and not x.isupper() and unicodedata.name(x, "").split(" ")[0] == script]
+    if c.lower() != c.upper():  # a script with capitals: letters that have one
+        alike = [x for x in alike if x.upper() != x and len(x.upper()) == 1]
+    return "".join(alike) or c
+
+
 def _shaped(text: str, draw: _Stream) -> str:
     """Each letter and digit replaced by one of its kind; the rest stays."""
     out = []
     for c in text:
         if c.isdigit():
             out.append(str(draw.below(10)))
-        elif c.isascii() and c.isalpha():
-            out.append(chr((97 if c.islower() else 65) + draw.below(26)))
+        elif c.isalpha():
+            letters = _alphabet(c)
+            letter = letters[draw.below(len(letters))]
+            out.append(letter.upper() if c.isupper() else letter)
         else:
             out.append(c)
     return "".join(out)
@@ -184,12 +217,16 @@ _LETTERS = {
 }
 
 
-def _script(word: str) -> str:
-    first = ord(word[0].lower())
-    return "cyrillic" if 0x400 <= first < 0x500 else "greek" if 0x370 <= first < 0x400 or 0x1F00 <= first < 0x2000 else "latin"
+def _script(word: str) -> str | None:
+    """A script of the table, or None for another one."""
+    script = unicodedata.name(word[0], "LATIN").split(" ")[0].lower()
+    return script if script in _LETTERS else None
 
 
 def _name(norm: str, kind: str, draw: _Stream, attempt: int) -> str:
+    if _script(norm) is None:
+        letters = _alphabet(norm[0])
+        return "".join(letters[draw.below(len(letters))] for _ in range(5 + draw.below(4) + attempt // 4))
     consonants, vowels, given, family = _LETTERS[_script(norm)]
     syllables = 2 + draw.below(2) + attempt // 4
     stem = "".join(consonants[draw.below(len(consonants))] + vowels[draw.below(len(vowels))] for _ in range(syllables)) + consonants[draw.below(len(consonants))]
@@ -207,6 +244,11 @@ def surrogate(key: bytes, kind: str, norm: str, attempt: int) -> str:
         site = _shaped(body, _Stream(key, "domain", domain, attempt // 2))  # addresses of one domain stay together
         more = "".join(chr(97 + draw.below(26)) for _ in range(attempt // 8))  # short shapes may be used up
         return f"{_shaped(local, draw)}{more}@{site}.{top}"
+    if kind == "ip" and ":" in norm:
+        first = norm.split(":")[0]
+        # Local and private ranges stay what they are, others become public.
+        begin = first if first[:2] in ("fc", "fd", "fe", "ff") else f"{0x2000 + draw.below(0x2000):x}"
+        return str(ipaddress.IPv6Address(":".join([begin, *[f"{1 + draw.below(0xFFFF):x}" for _ in range(7)]])))
     if kind == "ip":
         a, b, *_ = map(int, norm.split("."))
         tail = [draw.below(256) for _ in range(3)]
@@ -340,7 +382,7 @@ def _replaced(key: bytes, text: Column, retries: Column | None, sent: dict[tuple
 def with_surrogates(docs: DataFrame, key: bytes, name: str, text_col: str = "text") -> DataFrame:
     """``docs`` with a further column ``name``, a struct of the text without personal data, n_entities and kinds (``kind:count``, comma-joined).
 
-    Entities: e-mail addresses, phone numbers (international, and national forms of the corpus's languages), IPv4 addresses, card numbers, IBANs, US
+    Entities: e-mail addresses, phone numbers (international, and national forms of the corpus's languages), IP addresses, card numbers, IBANs, US
     social security numbers, and names behind a form of address with all other mentions of their words in the same text.
     Each becomes a surrogate of its type, made from a keyed hash of its normal form, so one entity has one surrogate in all
     texts and spellings. ``collisions`` sees to it that two entities never share one and that none is an entity of the corpus. The

@@ -1,12 +1,15 @@
 import hashlib
+import math
 import random
+import re
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from llm import fingerprint_blocks
 from llm.fingerprint_blocks import document_fingerprints, followers, near_links, weighted_terms
-from tests.llm.helpers import AWKWARD, CLASHING, documents
+from tests.llm.helpers import AWKWARD, CLASHING, LONG, documents
 
 
 def plain_print(spark, text):
@@ -41,6 +44,47 @@ def test_awkward_rows(spark, clashing):
     assert same == {"0" * 16}
 
 
+def brute_print(text):
+    """Hashes, weights and votes without Spark: XXH64 of the second word, seeded by that of the first."""
+    words = re.split(r"[\x20\x09-\x0D]+", text)
+    words = [w for w in words if w]
+    digest = lambda w, seed: xxhash.xxh64_intdigest(w.encode(), seed)
+    terms = [(digest(b, digest(a, 42)), min(16, len(a) + len(b))) for a, b in zip(words, words[1:])]
+    if len(words) == 1:
+        terms = [(digest(words[0], 42), min(16, len(words[0])))]
+    total = sum(w for _, w in terms)
+    return sum(1 << bit for bit in range(64) if 2 * sum(w for h, w in terms if h >> bit & 1) > total)
+
+
+def check_against_brute_force(docs):
+    rows = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    ids = sorted(rows)
+    prints = {i: brute_print(rows[i]) for i in ids}
+    distinct = set(prints.values())
+    likeness = lambda a, b: max(0.0, math.cos((a ^ b).bit_count() / 64 * math.pi))
+    got = {r["doc_id"]: r for r in document_fingerprints(docs).collect()}
+    assert sorted(got) == ids
+    for k, i in enumerate(ids):
+        own, after = rows[i], ids[(k + 1) % len(ids)]
+        cut = len(own) // 4
+        edited = brute_print(own[: len(own) - cut] + rows[after][:cut])
+        r = got[i]
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (f"{prints[i]:016x}", f"{edited:016x}")
+        assert r["near_edited"] == pytest.approx(likeness(prints[i], edited)) and r["near_next"] == pytest.approx(likeness(prints[i], prints[after]))
+        assert r["n_near"] == sum(1 for other in distinct if 0 < (other ^ prints[i]).bit_count() <= 3)
+
+
+def test_given_table_equals_brute_force(spark):
+    check_against_brute_force(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+
+
+def test_near_copies_and_long_texts_equal_brute_force(spark):
+    draw = random.Random(12)
+    base = " ".join(draw.choice("abcdefgh") * draw.randint(1, 6) for _ in range(3000))
+    rows = [(i, base.replace(" ", "  ", i) + f" tail{i // 2}" * (i % 3), "s") for i in range(20)] + [(50, LONG, "s"), (51, LONG + "x", "s"), (60, "one", "s")]
+    check_against_brute_force(documents(spark, rows))
+
+
 def test_likeness_tells_an_edit_from_another_text(spark):
     draw = random.Random(2)
     words = ["".join(draw.choice("abcdefghij") for _ in range(draw.randint(2, 9))) for _ in range(400)]
@@ -54,7 +98,7 @@ def test_likeness_tells_an_edit_from_another_text(spark):
 def test_empty_and_single(spark):
     assert document_fingerprints(documents(spark, [])).count() == 0
     got = document_fingerprints(documents(spark, [(None, "abcdefgh ij", None)])).first()
-    assert got["edited_sha256"] == hashlib.sha256(b"abcdefgh ab").hexdigest()[:0] + hashlib.sha256(("abcdefgh ij"[:9] + "ab").encode()).hexdigest() and got["near_next"] == 1.0
+    assert got["edited_sha256"] == hashlib.sha256(("abcdefgh ij"[:9] + "ab").encode()).hexdigest() and got["near_next"] == 1.0
 
 
 def test_followers_across_partitions(spark):

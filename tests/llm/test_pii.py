@@ -1,4 +1,5 @@
 import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -54,6 +55,27 @@ def test_other_numbers_are_no_phones(text):
     assert [k for k, _ in kinds(text)] == []
 
 
+def test_other_scripts_and_addresses_keep_their_form():
+    text = "Mr Armen Գրիգորյան, Mrs Nino ᲙᲐᲮᲘᲫᲔ; josé.núñez@exämple.de, иван@пример.рф; 2001:db8:85a3::8a2e:370:7334, fe80::1ff:fe23:4567:890a, 10:30:00 a::b std::map::key"
+    found = find_entities(text)
+    assert [(k, text[a:b]) for a, b, k, _ in found] == [
+        ("given_m", "Armen"), ("surname", "Գրիգորյան"), ("given_f", "Nino"), ("surname", "ᲙᲐᲮᲘᲫᲔ"), ("email", "josé.núñez@exämple.de"), ("email", "иван@пример.рф"),
+        ("ip", "2001:db8:85a3::8a2e:370:7334"), ("ip", "fe80::1ff:fe23:4567:890a"),
+    ]
+    for a, b, kind, norm in found:
+        made = {pii._pour(text[a:b], kind, surrogate(KEY, kind, norm, k)) for k in range(8)}
+        assert len(made) > 3 and text[a:b] not in made
+        for m in made:
+            if kind == "ip":
+                assert kinds(f"at {m} now") == [("ip", m)] and m.startswith("fe80:") == (norm[:2] == "fe")
+            elif kind == "email":
+                assert kinds(f"to {m} now") == [("email", m)] and m.rpartition(".")[2] == norm.rpartition(".")[2]
+                assert not set("éúñä") & set(m)
+            else:
+                script = lambda w: {unicodedata.name(c).split(" ")[0] for c in w}
+                assert script(m) == script(text[a:b]) and (m[0].isupper() or text[a] == "Კ")
+
+
 def test_later_mentions_of_a_name_are_the_same_entity(spark):
     text = "Smith's day. Mr John Smith came; Smith said (SMITH!) that John left. Smithson and Johnny, smith and John-Paul stay. Smith@a.io"
     assert [(k, w) for k, w in kinds(text)] == [
