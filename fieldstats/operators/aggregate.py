@@ -39,12 +39,16 @@ def check_aggregations(names: Sequence[str]) -> list[str]:
 def value_columns(
     df: DataFrame, time: str, columns: Sequence[str] | None, roles: Roles | None, verify: bool = True
 ) -> list[str]:
-    """The columns to aggregate. ``verify`` drops those without a single numeric value, found in one scan."""
+    """The columns to aggregate. ``verify`` drops those without a single numeric value and raises where no time can be read, both found in
+    one scan."""
     wanted = list(columns or ()) or list(roles.variables if roles else ()) or numeric_columns(df)
     known = [c for c in wanted if c in df.columns and c != time]
     if verify and known:
-        found = df.agg(*[F.count(number(df, c)).alias(f"n{i}") for i, c in enumerate(known)]).head()
+        times = F.count(timestamp(df, time)).alias("times")
+        found = df.agg(*[F.count(number(df, c)).alias(f"n{i}") for i, c in enumerate(known)], times).head()
         known = [c for i, c in enumerate(known) if found[i]]
+        if known and not found["times"]:
+            raise ValueError(f"Column '{time}' holds no readable time.")
     if not known:
         raise ValueError("There is no numeric value column to aggregate.")
     return known

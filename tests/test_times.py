@@ -2,11 +2,13 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldstats import fixed
+from fieldstats import Dataset, Roles, fixed
 from fieldstats.functions.coerce import time_expr
+from fieldstats.operators.aggregate import temporal_aggregation
 
 
 def plain(column):
@@ -29,3 +31,12 @@ def test_shapes_leave_the_results_alone(spark):
     got = df.select("c", F.unix_micros(time_expr(F.col("c"), T.StringType())).alias("a"), F.unix_micros(plain(F.col("c"))).alias("b")).collect()
     assert [(r["c"], r["a"]) for r in got] == [(r["c"], r["b"]) for r in got]
     assert sum(r["a"] is not None for r in got) > 500
+
+
+def test_resampling_without_a_readable_time_raises(spark):
+    df = spark.createDataFrame([("never", 1.0), (None, 2.0)], "t string, v double")
+    with pytest.raises(ValueError, match="'t' holds no readable time"):
+        temporal_aggregation(df, "t", ["v"])
+    assert temporal_aggregation(df, "t", ["v"], verify=False).count() == 0
+    with pytest.raises(ValueError, match="readable time"):
+        Dataset(df, Roles(time="t", variables=("v",))).temporal_aggregation("D")
