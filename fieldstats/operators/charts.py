@@ -73,11 +73,12 @@ def spatial_grid(
         "v",
     )
     means = cells.groupBy("lat_bin", "lon_bin").agg(F.avg("v").alias("value"))
-    spark = df.sparkSession
-    rows = spark.range(0, lat_bins, 1, 1).select(F.col("id").cast("int").alias("lat_bin"))
-    columns = spark.range(0, lon_bins, 1, 1).select(F.col("id").cast("int").alias("lon_bin"))
-    grid = rows.crossJoin(F.broadcast(columns))
-    return grid.join(F.broadcast(means), ["lat_bin", "lon_bin"], "left").fillna(0.0, subset=["value"])
+    # Cells are numbered, so a fine grid is as many rows of a range, and no side of the join is sent to all tasks unless it is small.
+    number_of = F.col("id")
+    grid = df.sparkSession.range(lat_bins * lon_bins).select(
+        F.floor(number_of / lon_bins).cast("int").alias("lat_bin"), (number_of % lon_bins).cast("int").alias("lon_bin")
+    )
+    return grid.join(means, ["lat_bin", "lon_bin"], "left").fillna(0.0, subset=["value"])
 
 
 def grid_matrix(grid: DataFrame, lon_bins: int = fixed.GRID_LON_BINS) -> DataFrame:
