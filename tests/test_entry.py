@@ -38,7 +38,9 @@ def test_every_oracle_has_a_query():
 @pytest.mark.parametrize(
     "name",
     ["annual_trend_signal", "temporal_agg_gapfill", "describe_stats", "diurnal_season_hour", "baseline_annual_anomalies",
-     "extreme_annual", "decadal_hist", "workflow_preview", "recipe_rolling_mean", "spatial_grid", "systematic_sample_rows"],
+     "extreme_annual", "decadal_hist", "workflow_preview", "recipe_rolling_mean", "spatial_grid", "systematic_sample_rows",
+     "csv_round_trip", "parquet_by_year", "export_primary", "capped_ingest", "raster_capped", "recipe_suggest", "override_roles", "readable_times", "preview_limits",
+     "zscore_listing_text", "infer_roles_ranges", "infer_roles_text", "forest_net_price", "forecast_six_lags"],
 )
 def test_query_equals_its_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
